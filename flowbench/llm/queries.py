@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowbench.llm import bpe, sharding
+from flowbench.llm import bpe, media, quality, sharding, toxicity
 from flowbench.llm.common import table
 
 
@@ -16,6 +16,21 @@ def op2_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), sharding.topology(3, 2, 4))
 
 
+def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as JPEG, read back."""
+    return media.digests(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, with the nearest examples and telling terms."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def vocabulary() -> bpe.Vocabulary:
     """The byte-level vocabulary for many languages."""
     return bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -28,7 +43,7 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
-    return {f.__name__: f for f in (op2_hash_tree_sharding, op7_bpe_round_trip)}
+    return {f.__name__: f for f in (op2_hash_tree_sharding, op3_jpeg_media, op6_quality, op7_bpe_round_trip, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
