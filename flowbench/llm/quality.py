@@ -24,30 +24,40 @@ TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 SCALE = 8.0
 
 
+class Tokens(dict):
+    """Token -> 256 * hash + shape, made when first asked for."""
+
+    def __missing__(self, t: str) -> int:
+        if t[0].isalpha():
+            shape = 1 if t.islower() else 2 if t.istitle() else 3 if t.isupper() else 4
+        else:
+            shape = 5 if t.isdigit() else 6 + zlib.crc32(t[:3].encode()) % 200
+        made = self[t] = zlib.crc32(t.encode()) << 8 | shape
+        return made
+
+
 class Hasher:
-    """Token -> 256 * hash + shape; keeps what it has seen, in bounded memory."""
+    """Texts to feature buckets; the tokens it keeps are bounded."""
 
     def __init__(self) -> None:
-        self.seen: dict[str, int] = {}
-
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct feature buckets of a text and their values; values grow with shares, not with length."""
-        seen, tokens = self.seen, TOKEN.findall(text)
-        if len(seen) > 1 << 18:
-            seen.clear()
-        for t in set(tokens) - seen.keys():
-            if t[0].isalpha():
-                shape = 1 if t.islower() else 2 if t.istitle() else 3 if t.isupper() else 4
-            else:
-                shape = 5 if t.isdigit() else 6 + zlib.crc32(t[:3].encode()) % 200
-            seen[t] = zlib.crc32(t.encode()) << 8 | shape
-        both = np.fromiter(map(seen.__getitem__, tokens), np.int64, len(tokens))
+        self.seen = Tokens()
+
+    def buckets(self, text: str) -> tuple[np.ndarray, float]:
+        """Buckets of a text's features, repeated ones too, and the value of each: shares count, not length."""
+        if len(self.seen) > 1 << 18:
+            self.seen.clear()
+        tokens = TOKEN.findall(text)
+        both = np.fromiter(map(self.seen.__getitem__, tokens), np.int64, len(tokens))
         word, shape = both >> 8, both & 255
         pair = (word[:-1] * 0x9E3779B1 + word[1:] * 0x85EBCA77) >> 7
-        turn = np.where(word[:-1] == word[1:], 255 * 257, shape[:-1] * 256 + shape[1:])
-        n = max(1, len(tokens))
-        index, count = np.unique(np.concatenate([word % BUCKETS, pair % BUCKETS, (turn * 0xC2B2AE35 >> 5) % BUCKETS]), return_counts=True)
-        return index, (SCALE / n * count).astype(np.float64)
+        turn = np.where(word[:-1] == word[1:], 255 * 257, shape[:-1] * 256 + shape[1:]) * 0xC2B2AE35 >> 5
+        return np.concatenate([word, pair, turn]) % BUCKETS, SCALE / max(1, len(tokens))
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct buckets and their values."""
+        index, value = self.buckets(text)
+        index, count = np.unique(index, return_counts=True)
+        return index, value * count
 
 
 class Ftrl:
@@ -74,7 +84,7 @@ def with_bias(index: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.append(index, BUCKETS), np.append(value, 1.0)
 
 
-def train(rows: DataFrame, updates: int = 16000) -> np.ndarray:
+def train(rows: DataFrame, updates: int = 8000) -> np.ndarray:
     """Weights learned from ``doc_id, text, label``, a bounded sample. Features are made by the executors.
 
     Passes over the rows go on until about so many updates, at least two and at most 40 times; without rows all
@@ -91,7 +101,7 @@ def train(rows: DataFrame, updates: int = 16000) -> np.ndarray:
             )
 
     made = rows.select("doc_id", "label", "text").mapInArrow(features, "doc_id long, label int, buckets binary, shares binary")
-    data = sorted(((zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.label, bytes(r.buckets), bytes(r.shares)) for r in made.toLocalIterator()))
+    data = sorted(((zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.label, bytes(r.buckets), bytes(r.shares)) for r in made.collect()))
     data = [(label, *with_bias(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32).astype(np.float64))) for _, _, label, i, v in data]
     model = Ftrl()
     for _ in range(min(40, max(2, updates // max(1, len(data)))) if data else 0):
@@ -108,8 +118,8 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str = "
     hasher = Hasher()
 
     def run(texts: list[str]) -> dict[str, pa.Array]:
-        w = shared.value.astype(np.float64)
-        raw = np.array([w[BUCKETS] + w[i] @ v for i, v in map(hasher, texts)])
+        w = shared.value
+        raw = np.array([w[BUCKETS] + w[i].sum() * v for i, v in map(hasher.buckets, texts)])
         return {out: pa.array(1 / (1 + np.exp(-np.clip(raw, -35, 35))), pa.float64())}
 
     return docs.mapInArrow(per_text(text, run), f"{fields}, `{out}` double")

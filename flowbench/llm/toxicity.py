@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowbench.llm.common import per_text
+from flowbench.llm.common import per_text, saved
 from flowbench.llm.labelled import held_out, sample
 
 #: Labelled rows in the index at most; terms kept at most; evidence that a term needs; neighbours that vote.
@@ -170,12 +170,15 @@ def fit(rows: DataFrame) -> Model:
             )
 
     made = rows.select("doc_id", "label", "text").mapInArrow(words, "doc_id long, label int, words array<string>, counts array<int>")
+    made = saved(made)
     toxic, other, n, model = Counter(), Counter(), [0, 0], Model()
-    for r in made.toLocalIterator():  # counts of terms; the examples themselves follow in a second pass
-        n[r.label > 0] += 1
-        (toxic if r.label > 0 else other).update({t for w in r.words for t in terms_of(w)})
-        if len(other) > 2_000_000:  # rare terms of other examples do not change which terms are kept by much: they are those toxic ones hold
-            other = Counter({t: c for t, c in other.items() if c > 1 or t in toxic})
+    for r in made.where("label > 0").collect():
+        n[1] += 1
+        toxic.update({t for w in r.words for t in terms_of(w)})
+    asked = {t for t, c in toxic.items() if c >= 3}  # no other term can be kept
+    for r in made.where("label <= 0").collect():
+        n[0] += 1
+        other.update({t for w in r.words for t in terms_of(w)} & asked)
     if not sum(n):
         return model
     model.prior = (n[1] + 0.5) / (sum(n) + 1)
@@ -184,7 +187,7 @@ def fit(rows: DataFrame) -> Model:
     model.names, model.terms = kept, {t: i for i, t in enumerate(kept)}
     model.idf = np.array([np.log((1 + sum(n)) / (1 + toxic[t] + other[t])) + 1 for t in kept])
     examples, silent = [], [0, 0]
-    for r in made.toLocalIterator():
+    for r in made.collect():
         counts = Counter()
         for w, c in zip(r.words, r.counts, strict=True):
             for t in terms_of(w):
