@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowbench.llm import bpe, media, quality, sharding, toxicity
+from flowbench.llm import bpe, decontamination, media, pii, quality, sharding, toxicity
 from flowbench.llm.common import table
 
 
+def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that hold a benchmark item, with the item."""
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards (3 regions of 2 racks of 4 shards)."""
     return sharding.shard(table(spark, sf_dir, "documents"), sharding.topology(3, 2, 4))
@@ -31,6 +36,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and disclosing terms of all documents."""
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def vocabulary() -> bpe.Vocabulary:
     """The byte-level vocabulary for many languages."""
     return bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -43,7 +53,10 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
-    return {f.__name__: f for f in (op2_hash_tree_sharding, op3_jpeg_media, op6_quality, op7_bpe_round_trip, op9_toxicity)}
+    return {f.__name__: f for f in (
+        op1_benchmark_leaks, op2_hash_tree_sharding, op3_jpeg_media, op6_quality, op7_bpe_round_trip, op9_toxicity,
+        op10_personal_data,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
