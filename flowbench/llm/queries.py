@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowbench.llm import bpe, decontamination, media, pii, quality, sharding, toxicity
+from flowbench.llm import bpe, decontamination, jaccard, media, pii, quality, sharding, toxicity
 from flowbench.llm.common import table
 
 
@@ -31,6 +31,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under links of at least 90 percent of three-word shingles."""
+    return jaccard.components(table(spark, sf_dir, "documents"), 3, 90)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents, with the nearest examples and telling terms."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -54,7 +59,8 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
     return {f.__name__: f for f in (
-        op1_benchmark_leaks, op2_hash_tree_sharding, op3_jpeg_media, op6_quality, op7_bpe_round_trip, op9_toxicity,
+        op1_benchmark_leaks, op2_hash_tree_sharding, op3_jpeg_media, op6_quality, op7_bpe_round_trip,
+        op8_jaccard_components, op9_toxicity,
         op10_personal_data,
     )}
 
