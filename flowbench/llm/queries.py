@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowbench.llm import bpe, decontamination, jaccard, media, pii, quality, sharding, toxicity
+from flowbench.llm import bpe, decontamination, edits, jaccard, media, pii, pseudo, quality, sharding, toxicity
 from flowbench.llm.common import table
 
 
@@ -26,6 +26,16 @@ def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after four edits each."""
+    return edits.counts(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of all documents under a network trained on all of them."""
+    return pseudo.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -59,7 +69,8 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
     return {f.__name__: f for f in (
-        op1_benchmark_leaks, op2_hash_tree_sharding, op3_jpeg_media, op6_quality, op7_bpe_round_trip,
+        op1_benchmark_leaks, op2_hash_tree_sharding, op3_jpeg_media, op4_edit_aware_counts, op5_pseudo_likelihood,
+        op6_quality, op7_bpe_round_trip,
         op8_jaccard_components, op9_toxicity,
         op10_personal_data,
     )}
