@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from flowbench.plans import evaluation
+
+MODULES = (evaluation,)
+
 
 def queries() -> dict:
     """Name -> query(spark, sf_dir)."""
-    return {}
+    return {name: query for m in MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
     """Name -> DuckDB SQL."""
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQLS.items()}
