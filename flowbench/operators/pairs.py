@@ -89,7 +89,10 @@ def pair_features(nodes: DataFrame, sizes: DataFrame | None = None) -> DataFrame
     ranked = nearest_right_down(rank_features(node_pairs(nodes))).join(image_extent(nodes, sizes), KEY)
 
     def finite(name: str, c: Column) -> Column:
-        return F.when(F.isnan(c) | (F.abs(c) == float("inf")) | c.isNull(), F.raise_error(F.lit(f"{name} is not finite")).cast("double")).otherwise(c)
+        # boxes that are no numbers, or of negative size, show in these
+        if name not in ("dx_norm", "dy_norm", "log_w_ratio", "log_h_ratio"):
+            return c
+        return F.when(F.abs(c) < float("inf"), c).otherwise(F.raise_error(F.lit(f"{name} is not finite")).cast("double"))
 
     return ranked.select(*KEY, "src", "dst", "src_pos", "dst_pos", *[finite(n, c).alias(n) for n, c in feature_columns().items()])
 

@@ -80,11 +80,10 @@ def predict_heuristic(nodes: DataFrame, name: str = "heuristic") -> tuple[DataFr
 
 
 def sigmoid_score(features: list[Column], model: Model) -> Column:
-    """Logistic of the weighted sum, in the form that cannot overflow."""
-    z = F.lit(model.intercept)
-    for c, f in zip(model.coef, features, strict=True):
-        z = z + F.lit(float(c)) * f
-    return F.when(z >= 0, 1 / (1 + F.exp(-z))).otherwise(F.exp(z) / (1 + F.exp(z)))
+    """Logistic of the weighted sum; a very negative sum gives 0, as exp() is then infinite."""
+    terms = F.zip_with(F.array(*features), F.array(*map(F.lit, map(float, model.coef))), lambda f, c: f * c)
+    z = F.aggregate(terms, F.lit(float(model.intercept)), lambda a, x: a + x)
+    return 1 / (1 + F.exp(-z))
 
 
 def learned_edges(scored: DataFrame, model: Model) -> DataFrame:
