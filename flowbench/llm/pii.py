@@ -119,17 +119,17 @@ def disclosures(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
         .groupBy("entity", "term").agg(F.sum("copies").alias("n_ct"), F.count(F.lit(1)).alias("support"))
         .where(F.col("support") >= SUPPORT)
     )
-    pairs = saved(pairs)
+    # a term occurs in no fewer documents than it stands by any entity in: pairs that this bound rules out go at once
+    n = found.count()
+    near = mentions.select("text_key", "copies", "term").distinct().groupBy("term").agg(F.sum("copies").alias("n_near"))
+    most = F.col("n_ct") * F.pow(F.lit(float(n)) / F.col("n_c"), F.lit(1 - GENERALISE))
+    pairs = saved(pairs.join(held, "entity").join(near, "term").where(F.col("n_near") <= most * (1 + 1e-9)).drop("n_near"))
     asked = small(pairs.select("term").distinct())
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1)))).alias("term"))
     spread = words.join(asked, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = docs.agg(F.count(F.lit(1)).alias("n"))
-    pmi = F.log2(F.col("n") * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    share = pmi / F.greatest(F.log2(F.col("n") / F.col("n_c")), F.lit(1e-9))
-    telling = (
-        pairs.join(held, "entity").join(spread, "term").join(F.broadcast(total))
-        .select("entity", "term", share.alias("share")).where((F.col("share") >= GENERALISE - 1e-9))
-    )
+    pmi = F.log2(n * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
+    share = pmi / F.greatest(F.log2(n / F.col("n_c")), F.lit(1e-9))
+    telling = pairs.join(spread, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE - 1e-9)
     return mentions.join(telling, ["entity", "term"]).groupBy("text_key", "start", "end").agg(
         F.when(F.max("share") >= REMOVE - 1e-9, "remove").otherwise("generalise").alias("level")
     )

@@ -23,7 +23,7 @@ from flowbench.llm.common import per_text, saved
 from flowbench.llm.labelled import held_out, sample
 
 #: Labelled rows in the index at most; terms kept at most; evidence that a term needs; neighbours that vote.
-TRAIN_ROWS, TERMS, LEAST_GAIN, NEAREST, BLOCK = 6000, 1024, 15.0, 15, 64
+TRAIN_ROWS, TERMS, LEAST_GAIN, NEAREST, BLOCK = 4000, 1024, 15.0, 15, 64
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -33,12 +33,12 @@ def terms_of(word: str) -> tuple[str, ...]:
 
 
 def gains(toxic: Counter, other: Counter, n_toxic: int, n_other: int) -> dict[str, float]:
-    """Log-likelihood ratio of each term that toxic examples hold more often than chance."""
+    """Log-likelihood ratio of each term that at least three toxic examples hold, and no more others than toxic ones."""
     n, out = n_toxic + n_other, {}
     for term, a in toxic.items():
         b = other[term]
         share = (a + b) / n
-        if a < 3 or a <= share * n_toxic:
+        if a < 3 or a < b or a <= share * n_toxic:
             continue
         cells = ((a, n_toxic * share), (b, n_other * share), (n_toxic - a, n_toxic * (1 - share)), (n_other - b, n_other * (1 - share)))
         out[term] = 2 * sum(x * np.log(x / e) for x, e in cells if x and e)
