@@ -25,17 +25,22 @@ def ordered(value: object) -> object:
     return items
 
 
-@F.pandas_udf("string")
-def canonical_json(text: pd.Series) -> pd.Series:
-    """Free-form JSON in one order and without spaces; null where a text is no JSON."""
+def canonical_text(text: str | None) -> str | None:
+    """JSON in one order and without spaces; null where a text is no JSON."""
+    try:
+        return None if text is None else json.dumps(ordered(json.loads(text)), separators=(",", ":"), ensure_ascii=False)
+    except ValueError:
+        return None
 
-    def one(t: str | None) -> str | None:
-        try:
-            return None if t is None else json.dumps(ordered(json.loads(t)), separators=(",", ":"), ensure_ascii=False)
-        except ValueError:
-            return None
 
-    return text.map(one)
+def canonical_json(value: Column) -> Column:
+    """Free-form JSON in one order, by a vectorised helper."""
+
+    @F.pandas_udf("string")
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(canonical_text)
+
+    return run(value)
 
 
 def canonical_graph(nodes: Column, edges: Column) -> Column:

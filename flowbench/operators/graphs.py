@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from flowbench.operators.keys import KEY
 TOPO_SCHEMA = "dataset string, sample_id string, node_id long, ord int, is_dag boolean, layer int, x double, y double"
 
 
-def topo_rows(key: tuple, nodes: list[int], edges: list[tuple[int, int]]) -> pd.DataFrame:
-    """Order of one graph's ids: always the smallest one that is ready; all ids by size where there is a cycle."""
+def topo_graph(nodes: list[int], edges: list[tuple[int, int]]) -> list[tuple]:
+    """Rows of one graph: always the smallest id that is ready; all ids by size where there is a cycle."""
     ids = sorted({*nodes, *(i for e in edges for i in e)})
     after, waits, layer = defaultdict(set), dict.fromkeys(ids, 0), dict.fromkeys(ids, 0)
     for a, b in edges:
@@ -34,35 +35,36 @@ def topo_rows(key: tuple, nodes: list[int], edges: list[tuple[int, int]]) -> pd.
             waits[j] -= 1
             if not waits[j]:
                 heapq.heappush(ready, j)
-    dag = len(order) == len(ids)
-    order = order if dag else ids
-    seen: dict[int, int] = defaultdict(int)
+    if len(order) < len(ids):
+        return [(i, k, False, None, None, None) for k, i in enumerate(ids)]
+    wide: dict[int, int] = defaultdict(int)
     spots = {}
-    for i in sorted(order, key=lambda i: (layer[i], i)):
-        spots[i] = seen[layer[i]]
-        seen[layer[i]] += 1
-    rows = [
-        (*key, i, k, dag, layer[i] if dag else None, spots[i] - (seen[layer[i]] - 1) / 2 if dag else None, -float(layer[i]) if dag else None)
-        for k, i in enumerate(order)
-    ]
-    out = pd.DataFrame(rows, columns=["dataset", "sample_id", "node_id", "ord", "is_dag", "layer", "x", "y"])
-    return out.astype({"layer": "Int32"})
+    for i in ids:
+        spots[i] = wide[layer[i]]
+        wide[layer[i]] += 1
+    return [(i, k, True, layer[i], spots[i] - (wide[layer[i]] - 1) / 2, -float(layer[i])) for k, i in enumerate(order)]
 
 
 def topo(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Order, layer and place of every node, one graph a group: graphs are small, and their number is what grows.
+    """Order, layer and place of every node. A graph is one row of lists: graphs are small, and their number is what grows.
 
     Ids must be integers. Ends that are no nodes are ordered too. A cyclic graph has its ids in order, and no layers.
     """
-    n = nodes.select(*KEY, F.col("node_id").cast("long").alias("a"), F.lit(None).cast("long").alias("b"))
-    e = edges.select(*KEY, F.col("source").cast("long").alias("a"), F.col("target").cast("long").alias("b"))
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        alone = rows["b"].isna()
-        own = rows.loc[~alone, ["a", "b"]].astype("int64")
-        return topo_rows(key, rows.loc[alone, "a"].astype("int64").tolist(), list(own.itertuples(index=False, name=None)))
-
-    return n.unionByName(e).groupBy(*KEY).applyInPandas(run, TOPO_SCHEMA)
+    whole = lambda c: F.col(c).cast("long").alias(c)
+    n = nodes.select(*KEY, whole("node_id")).groupBy(*KEY).agg(F.collect_list("node_id").alias("n"))
+    e = edges.select(*KEY, F.struct(whole("source"), whole("target")).alias("e")).groupBy(*KEY).agg(F.collect_list("e").alias("e"))
+    none = F.array().cast("array<bigint>")
+    ends = lambda k: F.coalesce(F.transform("e", lambda x: x[k]), none).alias(k)
+    rows = n.join(e, KEY, "full_outer").select(*KEY, F.coalesce("n", none).alias("n"), ends("source"), ends("target"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("dataset", pa.string()), ("sample_id", pa.string()), ("node_id", pa.int64()), ("ord", pa.int32()), ("is_dag", pa.bool_()), ("layer", pa.int32()), ("x", pa.float64()), ("y", pa.float64())])
+        for b in batches:
+            out = [(d, s, *r) for d, s, ids, u, v in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in topo_graph(ids, list(zip(u, v, strict=True)))]
+            columns = zip(*out, strict=True) if out else [[]] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return rows.mapInArrow(run, TOPO_SCHEMA)
 
 
 def topo_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from flowbench.plans import evaluation
+from flowbench.plans import evaluation, tables
 
-MODULES = (evaluation,)
+MODULES = (evaluation, tables)
 
 
 def queries() -> dict:

@@ -135,7 +135,7 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_labels(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, node_id, label`` of label objects; a byte order mark is passed over, keys that are no integers go."""
-    entries = F.from_json(F.ltrim(F.lit("﻿"), F.col("value")), "map<string,string>")
+    entries = F.from_json(F.ltrim(F.col("value"), F.lit("\ufeff")), "map<string,string>")
     out = rows.select(*keys, F.explode(entries).alias("k", "label"))
     return out.select(*keys, F.trim("k").try_cast("int").alias("node_id"), "label").where("node_id IS NOT NULL")
 
