@@ -327,7 +327,7 @@ def q_assign_snapshot_splits(spark: SparkSession, d: str) -> DataFrame:
 def q_file_names(spark: SparkSession, d: str) -> DataFrame:
     """file_stem, artifact_filename, parse_snapshot_url, format_bytes, content_sha256."""
     k = F.col("c_custkey")
-    url = F.when(k % 4 == 0, F.concat(F.lit("https://h.test/a/"), "c_name", F.lit(".tar.gz?x=1"))).when(k % 4 == 1, "https://h.test/").when(k % 4 == 2, F.concat(F.lit("hf://datasets/org/n"), k.cast("string"), F.lit("@v1"))).otherwise("")
+    url = F.when(k % 4 == 0, F.concat(F.lit("https://h.test/a/"), F.translate("c_name", "#", "-"), F.lit(".tar.gz?x=1"))).when(k % 4 == 1, "https://h.test/").when(k % 4 == 2, F.concat(F.lit("hf://datasets/org/n"), k.cast("string"), F.lit("@v1"))).otherwise("")
     snap = X.parse_snapshot_url(url)
     size = F.when(k % 5 == 0, None).otherwise(F.pow(F.lit(10.0), k % 14).cast("long"))
     return read(spark, d, "customer").select(
@@ -488,8 +488,8 @@ SQLS = {
     "filter_rect_contours": f"WITH {CONTOURS} SELECT {K}, pos FROM ct WHERE area >= 800 AND n_vertices = 4 AND w >= 20 AND h >= 20 AND w / h BETWEEN 0.4 AND 2.5", "filter_arrow_contours": f"WITH {CONTOURS} SELECT {K}, pos FROM ct WHERE area BETWEEN 80 AND 20000 AND n_points >= 10",
     "dedupe_bboxes": f"""WITH RECURSIVE {CONTOURS}, rc AS (SELECT {K}, pos, {{'x': x, 'y': y, 'w': w, 'h': h}} AS b, row_number() OVER (PARTITION BY {K} ORDER BY -w * h, pos) AS r FROM ct),
  fd AS (SELECT {K}, r, pos, [b] AS kept, true AS hit FROM rc WHERE r = 1 UNION ALL SELECT c.dataset, c.sample_id, c.r, c.pos, CASE WHEN ok THEN list_append(kept, c.b) ELSE kept END, ok FROM
- (SELECT c.*, f.kept, len(list_filter(f.kept, k -> greatest(0, least(k.x + k.w, c.b.x + c.b.w) - greatest(k.x, c.b.x)) * greatest(0, least(k.y + k.h, c.b.y + c.b.h) - greatest(k.y, c.b.y)) >=
-  0.7 * (k.w * k.h + c.b.w * c.b.h - greatest(0, least(k.x + k.w, c.b.x + c.b.w) - greatest(k.x, c.b.x)) * greatest(0, least(k.y + k.h, c.b.y + c.b.h) - greatest(k.y, c.b.y))))) = 0 AS ok
+ (SELECT c.*, f.kept, len([1 for k in f.kept if greatest(0, least(k.x + k.w, c.b.x + c.b.w) - greatest(k.x, c.b.x)) * greatest(0, least(k.y + k.h, c.b.y + c.b.h) - greatest(k.y, c.b.y)) >=
+  0.7 * (k.w * k.h + c.b.w * c.b.h - greatest(0, least(k.x + k.w, c.b.x + c.b.w) - greatest(k.x, c.b.x)) * greatest(0, least(k.y + k.h, c.b.y + c.b.h) - greatest(k.y, c.b.y)))]) = 0 AS ok
   FROM fd f JOIN rc c ON c.dataset = f.dataset AND c.sample_id = f.sample_id AND c.r = f.r + 1) c) SELECT {K}, pos FROM fd WHERE hit""",
     "assign_node_ids": f"WITH {CONTOURS} SELECT {K}, pos, row_number() OVER (PARTITION BY {K} ORDER BY x, y, pos) - 1 AS node_id FROM ct",
     "nearest_node": f"{ENDS} SELECT {K}, contour_pos, CAST(node_id AS BIGINT) AS node_id FROM {near_sql('tail', 'node_id')}",
@@ -504,7 +504,7 @@ SQLS = {
     "write_manifest": """SELECT 'd' || (s_suppkey % 9) AS dataset, '{"schema_version":1,"name":"set","version":"1","artifacts":[' || string_agg('{"url":"u' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') || '","sha256":"' || sha256(s_name) || '","bytes":' || strlen(s_name) || ',"local_path":"' || s_name || '"}', ',' ORDER BY s_suppkey) || ']}' AS document FROM supplier GROUP BY s_suppkey % 9""",
     "assign_snapshot_splits": """WITH o AS (SELECT DISTINCT 'b' || (o_orderkey % 4) AS subset, o_orderkey AS k FROM orders), f AS (SELECT *, k % 4 < 3 AND k % 7 < 4 AS tr, k % 4 = 0 AND k % 7 > 3 AS te FROM o)
  SELECT subset, subset || ':i' || k AS sample_id, 'train' AS split FROM f WHERE tr UNION ALL SELECT subset, subset || ':i' || k, 'test' FROM f WHERE CASE WHEN subset = 'b0' THEN te ELSE NOT tr END""",
-    "file_names": """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name || '.tar.gz' WHEN 2 THEN 'n' || c_custkey || '@v1' ELSE 'artifact.bin' END AS artifact, 'b.' || c_name AS stem, CASE WHEN c_custkey % 4 = 2 THEN 'org/n' || c_custkey END AS repo_id,
+    "file_names": """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN replace(c_name, '#', '-') || '.tar.gz' WHEN 2 THEN 'n' || c_custkey || '@v1' ELSE 'artifact.bin' END AS artifact, 'b.' || c_name AS stem, CASE WHEN c_custkey % 4 = 2 THEN 'org/n' || c_custkey END AS repo_id,
  CASE WHEN c_custkey % 4 = 2 THEN 'v1' END AS revision, CASE WHEN b IS NULL THEN 'unknown size' WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.2f KiB', b / 1024) WHEN b < 1073741824 THEN printf('%.2f MiB', b / 1048576) WHEN b < 1099511627776 THEN printf('%.2f GiB', b / 1073741824)
  ELSE printf('%.2f TiB', b / 1099511627776) END AS size, sha256(c_name) AS digest FROM (SELECT *, CASE WHEN c_custkey % 5 <> 0 THEN CAST(power(10, c_custkey % 14) AS BIGINT) END AS b FROM customer)""",
     "generate_synthflow": generated_sql("synthflow", generate.SYNTHFLOW, 8, 6, 4, 1, 1), "generate_realworld_like": generated_sql("realworld-like", generate.REALWORLD_LIKE, 10, 10, 6, 60, 35),
