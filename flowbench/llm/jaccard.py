@@ -25,17 +25,14 @@ from flowbench.llm.components import connected_components
 
 #: Counters of the sketch that orders shingles, in blocks; they bound what every task is sent (8 bytes each).
 COUNTERS, BLOCK = 1 << 19, 1 << 12
-FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: Fixed word separators: the space and code points 9 to 13.
-SPACES = str.maketrans({chr(c): " " for c in range(9, 14)})
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class Hashes(dict):
     """Word -> 64-bit hash, made when first asked for."""
 
-    def __missing__(self, word: str) -> int:
-        made = self[word] = xxhash.xxh3_64_intdigest(word.encode())
+    def __missing__(self, word: bytes) -> int:
+        made = self[word] = xxhash.xxh3_64_intdigest(word)
         return made
 
 
@@ -54,7 +51,7 @@ class Shingler:
         """Distinct shingles of n words; with fewer words the whole sequence is one; without words none."""
         if len(self.words) > 1 << 17:
             self.words.clear()
-        found = [w for w in text.translate(FOLD).translate(SPACES).split(" ") if w]
+        found = text.encode().lower().split()  # of bytes: A-Z alone are folded; the space and bytes 9 to 13 divide
         h = np.fromiter(map(self.words.__getitem__, found), np.uint64, len(found))
         size = min(self.n, len(h))
         if not size:
@@ -79,8 +76,8 @@ def sketch(docs: DataFrame, text: str, n: int) -> np.ndarray:
         total, shingle, part = np.zeros(COUNTERS, np.float64), Shingler(n), TaskContext.get().partitionId()
         for whole in batches:
             for batch in slices(whole, text):
-                for t in batch.column(text).to_pylist():
-                    np.add.at(total, (shingle(t or "") >> np.uint64(8)).astype(np.int64) % COUNTERS, 1)
+                found = [shingle(t or "") for t in batch.column(text).to_pylist()]
+                total += np.bincount((np.concatenate(found) >> np.uint64(8)).astype(np.int64) % COUNTERS, minlength=COUNTERS)
         keys = [k for k in range(COUNTERS // BLOCK) if total[k * BLOCK : (k + 1) * BLOCK].any()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys, pa.int32()), pa.array([part] * len(keys), pa.int32()), pa.array([total[k * BLOCK : (k + 1) * BLOCK].tobytes() for k in keys], pa.binary())],
