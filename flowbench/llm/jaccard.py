@@ -1,7 +1,7 @@
 """N-gram Jaccard join by grouped prefixes, and the groups of near copies that its links make.
 
-A document is its set of word shingles; equal sets are one class. Shingles have one global order, rare ones first;
-two sets that are similar enough share a shingle within their prefixes. Classes with the same prefix and size are one
+A document is its set of word shingles; equal sets are one class. Shingles have one global order, rare ones first
+(any order gives the same result; a good one gives few candidates); two sets that are similar enough share a shingle within their prefixes. Classes with the same prefix and size are one
 group: group pairs are found and filtered by size and position, then expand to their members, which are verified on
 the whole sets.
 
@@ -13,6 +13,7 @@ then connected already needs no further pair, and all pairs across the component
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -47,19 +48,61 @@ class Shingler:
     def __init__(self, n: int) -> None:
         self.n, self.words = n, Hashes()
 
-    def __call__(self, text: str) -> np.ndarray:
-        """Distinct shingles of n words; with fewer words the whole sequence is one; without words none."""
+    def hashed(self, text: str) -> np.ndarray:
+        """Hashes of a text's words, of which A-Z are folded; the space and code points 9 to 13 divide them."""
         if len(self.words) > 1 << 17:
             self.words.clear()
-        found = text.encode().lower().split()  # of bytes: A-Z alone are folded; the space and bytes 9 to 13 divide
-        h = np.fromiter(map(self.words.__getitem__, found), np.uint64, len(found))
+        found = text.encode().lower().split()  # of bytes: both hold for ASCII alone
+        return np.fromiter(map(self.words.__getitem__, found), np.uint64, len(found))
+
+    def shingles(self, h: np.ndarray) -> np.ndarray:
+        """A shingle for each run of n words; with fewer words the whole sequence is one; without words none."""
         size = min(self.n, len(h))
         if not size:
             return h
         total = np.full(len(h) - size + 1, size, np.uint64)
         for k in range(size):
             total = mixed(total + h[k : len(h) - size + 1 + k], A)
-        return np.unique(total)
+        return total
+
+    def __call__(self, text: str) -> np.ndarray:
+        return np.unique(self.shingles(self.hashed(text)))
+
+    def ordered(self, text: str, order: Order) -> tuple[np.ndarray, np.ndarray]:
+        """The set, and the same shingles from the rarest on."""
+        words = self.hashed(text)
+        h, at = np.unique(self.shingles(words), return_index=True)
+        common = order.common(h)
+        weights, size = order.word_weights(words), min(self.n, len(words))
+        rarity = sum(weights[k : len(words) - size + 1 + k] for k in range(size))[at] if len(h) else common
+        return h, h[np.lexsort((h, rarity, common))]
+
+
+@dataclass(frozen=True)
+class Order:
+    """One order of all shingles: those that stand out in the counts last, by count; the others by how rare their words are."""
+
+    shingle_counts: np.ndarray
+    log_word_counts: np.ndarray
+    standing_out: float
+
+    @classmethod
+    def of(cls, counts: np.ndarray) -> Order:
+        shingles, words = counts[:COUNTERS], counts[COUNTERS:]
+        usual = float(np.median(shingles))
+        return cls(shingles.astype(np.float32), np.log1p(words).astype(np.float32), usual + 6 * usual**0.5 + 1)
+
+    def common(self, h: np.ndarray) -> np.ndarray:
+        counts = self.shingle_counts[counter(h)]
+        return np.where(counts > self.standing_out, counts, 0)
+
+    def word_weights(self, h: np.ndarray) -> np.ndarray:
+        return self.log_word_counts[counter(h)]
+
+
+def counter(h: np.ndarray) -> np.ndarray:
+    """The counter of each hash."""
+    return (h >> np.uint64(8)).astype(np.int64) % COUNTERS
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -67,18 +110,20 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def sketch(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """How many documents hold the shingles of each counter, over all documents: exact sums, in bounded size."""
+def sketch(docs: DataFrame, text: str, n: int) -> Order:
+    """The order of shingles from counts over all documents: exact sums, in counters of bounded number."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total, shingle, part = np.zeros(COUNTERS, np.float64), Shingler(n), TaskContext.get().partitionId()
+        total, shingle, part = np.zeros(2 * COUNTERS, np.float64), Shingler(n), TaskContext.get().partitionId()
         for whole in batches:
             for batch in slices(whole, text):
-                found = [shingle(t or "") for t in batch.column(text).to_pylist()]
-                total += np.bincount((np.concatenate(found) >> np.uint64(8)).astype(np.int64) % COUNTERS, minlength=COUNTERS)
-        keys = [k for k in range(COUNTERS // BLOCK) if total[k * BLOCK : (k + 1) * BLOCK].any()]
+                words = [shingle.hashed(t or "") for t in batch.column(text).to_pylist()]
+                sets = np.concatenate([np.unique(shingle.shingles(w)) for w in words])
+                total[:COUNTERS] += np.bincount(counter(sets), minlength=COUNTERS)
+                total[COUNTERS:] += np.bincount(counter(np.concatenate(words)), minlength=COUNTERS)
+        keys = [k for k in range(len(total) // BLOCK) if total[k * BLOCK : (k + 1) * BLOCK].any()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys, pa.int32()), pa.array([part] * len(keys), pa.int32()), pa.array([total[k * BLOCK : (k + 1) * BLOCK].tobytes() for k in keys], pa.binary())],
             names=["key", "part", "vector"],
@@ -86,10 +131,10 @@ def sketch(docs: DataFrame, text: str, n: int) -> np.ndarray:
 
     source = docs.select(text)
     parts = source.mapInArrow(count, "key int, part int, vector binary")
-    out = np.zeros(COUNTERS)
-    for row in tree_sum(parts, source.rdd.getNumPartitions()).collect():  # COUNTERS numbers at most
+    out = np.zeros(2 * COUNTERS)
+    for row in tree_sum(parts, source.rdd.getNumPartitions()).collect():  # as many numbers as counters
         out[row.key * BLOCK : (row.key + 1) * BLOCK] = np.frombuffer(row.vector)
-    return out.astype(np.float32)
+    return Order.of(out)
 
 
 def profiles(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
@@ -104,12 +149,11 @@ def profiles(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
             for batch in slices(whole, text):
                 rows = []
                 for t in batch.column(text).to_pylist():
-                    h = shingle(t or "")
-                    counts = order.value[(h >> np.uint64(8)).astype(np.int64) % COUNTERS]
-                    first = h[np.lexsort((h, counts))[: prefix_length(len(h), percent)]] if len(h) else h
+                    h, ranked = shingle.ordered(t or "", order.value)
+                    first = ranked[: prefix_length(len(h), percent)]
                     key = xxhash.xxh3_128_digest(h.tobytes())
                     group = xxhash.xxh3_128_digest(first.tobytes() + len(h).to_bytes(8, "little"))
-                    rows.append((len(h), key, group, first.astype(np.int64), float(np.log(counts + 1).mean()) if len(h) else 0.0))
+                    rows.append((len(h), key, group, first.astype(np.int64), float((order.value.common(h) > 0).mean()) if len(h) else 0.0))
                 kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.float64()]
                 made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
@@ -163,16 +207,16 @@ def close(a: Column, b: Column, at: Column, bt: Column, percent: int) -> Column:
 
 def join_classes(found: DataFrame, docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
     """Rows ``class_id, root`` of the classes that links connect to others; found has the profiles of all documents."""
-    reps = found.where("n_shingles > 0").groupBy("class_id").agg(
-        F.min("_doc_id").alias("rep"), F.first("group_id").alias("group_id"), F.first("n_shingles").alias("n"), F.first("typical").alias("typical"), F.first("prefix").alias("prefix")
-    )
-    reps = saved(reps)
-    groups = reps.groupBy("group_id").agg(
-        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.max(F.struct("typical", "class_id")).alias("top"), F.count(F.lit(1)).alias("members")
-    )
-    index = saved(groups.select("group_id", "n", "top", "members", F.posexplode("prefix").alias("at", "token")))
+    full = found.where("n_shingles > 0")
+    reps = saved(full.groupBy("class_id").agg(F.min("_doc_id").alias("rep"), F.first("group_id").alias("group_id"), F.first("typical").alias("typical")))
+    groups = reps.groupBy("group_id").agg(F.max(F.struct("typical", "class_id")).alias("top"), F.count(F.lit(1)).alias("members"))
+    prefixes = saved(full.groupBy("group_id").agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix")))
+    # shingles in the prefix of one group alone pair nothing: only narrow counts of them are shuffled
+    tokens = prefixes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token")
+    index = prefixes.select("group_id", "n", F.posexplode("prefix").alias("at", "token")).join(small(saved(tokens), 2_000_000), "token")
+    index = saved(index.join(groups, "group_id").select("token", "group_id", "n", "at", "top"))
     # stars: every group of a bucket with the bucket's most typical class, and the members of a group with their own
-    tops = index.groupBy("token").agg(F.max(F.struct("top", "group_id", "n", "at")).alias("hub"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    tops = index.groupBy("token").agg(F.max(F.struct("top", "group_id", "n", "at")).alias("hub"))
     rays = index.join(tops, "token").where(close(F.col("n"), F.col("hub.n"), F.col("at"), F.col("hub.at"), percent)).select("group_id", F.col("hub.top.class_id").alias("b")).distinct()
     own = groups.where("members > 1").select("group_id", F.col("top.class_id").alias("b"))
     members = reps.select("group_id", F.col("class_id").alias("a"))
@@ -183,7 +227,7 @@ def join_classes(found: DataFrame, docs: DataFrame, text: str, n: int, percent:
     # the rest: pairs across components, of groups that may hold such
     state = saved(reps.select("class_id", "group_id").join(roots, "class_id", "left").select("class_id", "group_id", F.coalesce("root", "class_id").alias("root")))
     whole = state.groupBy("group_id").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    placed = index.join(tops.select("token"), "token").join(whole, "group_id").select("token", "group_id", "n", "at", "lo", "hi")
+    placed = index.join(whole, "group_id").select("token", "group_id", "n", "at", "lo", "hi")
     left, right = placed.alias("l"), placed.alias("r")
     across = left.join(
         right,
