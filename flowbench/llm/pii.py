@@ -119,7 +119,8 @@ def disclosures(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
         .groupBy("entity", "term").agg(F.sum("copies").alias("n_ct"), F.count(F.lit(1)).alias("support"))
         .where(F.col("support") >= SUPPORT)
     )
-    # a term occurs in no fewer documents than it stands by any entity in: pairs that this bound rules out go at once
+    # a term occurs in no fewer documents than it stands by any entity in: pairs that this bound rules out go at once,
+    # and with them common words, whose occurrences would all be joined to be counted
     n = found.count()
     near = mentions.select("text_key", "copies", "term").distinct().groupBy("term").agg(F.sum("copies").alias("n_near"))
     most = F.col("n_ct") * F.pow(F.lit(float(n)) / F.col("n_c"), F.lit(1 - GENERALISE))
