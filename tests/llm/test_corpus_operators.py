@@ -202,7 +202,7 @@ def test_network_gradients():
     ids = np.concatenate([[pseudo.PAD] * 2, rng.integers(0, pseudo.WORDS, 40), [pseudo.PAD] * 2])
     at = np.arange(2, 42)
     grads = net.gradients(ids, at)
-    for name, spot in (("a1", (int(ids[4]) // 64,)), ("u2", (int(ids[4]) % 64, 3)), ("c", (int(ids[5]) // 64, 2)), ("b", (1,))):
+    for name, spot in (("a1", (int(ids[4]) // pseudo.HALF,)), ("u2", (int(ids[4]) % pseudo.HALF, 3)), ("c", (int(ids[5]) // pseudo.HALF, 2)), ("b", (1,))):
         view, old = getattr(net, name), getattr(net, name)[spot]
         sides = []
         for step in (1e-2, -1e-2):
