@@ -33,7 +33,9 @@ class TokenTree:
         tree = cls(vocabulary, [""], [0])
         pieces = vocabulary.find.findall(text)
         leaves = ["".join(pieces[k : k + LEAF]) for k in range(0, len(pieces), LEAF)] or [""]
-        ids = [sum(map(tree.count, pieces[k : k + LEAF])) for k in range(0, len(pieces), LEAF)] or [0]
+        known = vocabulary.cache.get
+        counts = [len(c) if (c := known(p)) is not None else tree.count(p) for p in pieces]
+        ids = [sum(counts[k : k + LEAF]) for k in range(0, len(counts), LEAF)] or [0]
         tree.load(leaves, ids)
         return tree
 
