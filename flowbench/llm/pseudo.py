@@ -1,14 +1,19 @@
 """Masked pseudo-likelihood: a bidirectional window network scores each word from those on both sides of it.
 
-Words are numbered by their counts over all documents, the rest fall into hash buckets; a number's upper and lower
-half are predicted in turn from the two words before and the two after. The network is trained in numpy on the words
-of all documents: every partition takes steps of its own from the common start, and the parameters are averaged,
-weighted by words, through the tree of ``tree_sum``. A document's score is the sum of its words' log-probabilities.
+The counts of all words of the corpus are a table. Words whose count reaches ``cutoff`` have a number of their own and
+rows of the embedding; how many they are grows with the corpus. The rest share the numbers of hash buckets, and each
+has its share of its bucket's count, joined by word, as its probability there: no two words need score alike. A
+number's upper and lower half are predicted in turn from the two words before and the two after. The network is
+trained in numpy on the words of all documents: every partition takes steps of its own from the common start, and the
+parameters are averaged, weighted by words, through the tree of ``tree_sum``. A document's score is the sum of its
+words' log-probabilities.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowbench.llm.common import slices, tree_sum
+from flowbench.llm.common import fresh, saved, slices, tree_sum
 
-#: Numbers for words (a square of HALF), those for rare words among them, and the size of the hidden layer.
-HALF, RARE, HIDDEN = 32, 64, 15
+#: Numbers for words are a square, of HALF at least; the size of the hidden layer; the square root of all words is
+#: divided by CUTOFF for the count that gives a word its own number.
+HALF, HIDDEN, CUTOFF = 64, 24, 10
 WORDS, PAD = HALF * HALF, HALF * HALF
 OFFSETS = (-2, -1, 1, 2)
 BATCH, RATE, BLOCK = 8192, 0.15, 1 << 14
@@ -30,34 +36,73 @@ class Numbers(dict):
 
     def __init__(self, words: list[str]) -> None:
         super().__init__((w, k) for k, w in enumerate(words))
-        self.words = words
+        self.words, self.half = words, half_of(len(words))
+        self.pad, self.buckets = self.half**2, self.half**2 - len(words)
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1 << 18:
+        if len(self) > len(self.words) + (1 << 18):
             self.clear()
-            self.__init__(self.words)
-        made = self[word] = WORDS - RARE + zlib.crc32(word.encode()) % RARE
+            self.update((w, k) for k, w in enumerate(self.words))
+        made = self[word] = len(self.words) + zlib.crc32(word.encode()) % self.buckets
         return made
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> list[str]:
-    """The most frequent words of all documents, of equal ones the first in order."""
-    words = docs.select(F.explode(F.split(F.lower(text), r"\s+")).alias("word")).where("word <> ''")
-    top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(WORDS - RARE)
-    return [r.word for r in top.collect()]
+def half_of(n_words: int) -> int:
+    """Side of the square of numbers for so many words and some buckets beside them."""
+    return max(HALF, math.isqrt(n_words + math.isqrt(n_words)) + 1)
+
+
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Rows ``word, n`` of all words of all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Counter()
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+
+        for whole in batches:
+            for b in slices(whole, text):
+                for t in b.column(text).to_pylist():
+                    found.update((t or "").lower().split())
+                if len(found) > 1 << 18:
+                    yield made()
+                    found.clear()
+        yield made()
+
+    return docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(counts: DataFrame) -> list[str]:
+    """The words that have numbers of their own, by count, of equal ones the first in order.
+
+    The count that they need grows with the square root of the corpus, and so does about their number.
+    """
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    cutoff = max(2, math.ceil(math.sqrt(total) / CUTOFF))
+    return [r.word for r in counts.where(F.col("n") >= cutoff).orderBy(F.desc("n"), "word").select("word").collect()]
+
+
+def rare_words(counts: DataFrame, words: list[str]) -> DataFrame:
+    """Rows ``word, share`` of the words without a number of their own: the logarithm of the share of the bucket's count."""
+    spark = counts.sparkSession
+    known = spark.createDataFrame([(w,) for w in words], "word string")
+    rest = counts.join(F.broadcast(known), "word", "left_anti").withColumn("bucket", F.crc32(F.col("word").cast("binary")) % (half_of(len(words)) ** 2 - len(words)))
+    mass = rest.groupBy("bucket").agg(F.sum("n").alias("mass"))  # as many rows as buckets
+    return rest.join(F.broadcast(mass), "bucket").select("word", F.log(F.col("n") / F.col("mass")).alias("share"))
 
 
 class Network:
     """Parameters as one flat array, and views of it."""
 
-    SHAPES = {"e": (len(OFFSETS), WORDS + 1, HIDDEN), "b": (HIDDEN,), "u1": (HALF, HIDDEN), "a1": (HALF,), "c": (HALF, HIDDEN), "u2": (HALF, HIDDEN), "a2": (HALF,)}
-
-    def __init__(self, flat: np.ndarray | None = None) -> None:
-        size = sum(int(np.prod(s)) for s in self.SHAPES.values())
+    def __init__(self, flat: np.ndarray | None = None, half: int = HALF) -> None:
+        self.half = half
+        shapes = {"e": (len(OFFSETS), half**2 + 1, HIDDEN), "b": (HIDDEN,), "u1": (half, HIDDEN), "a1": (half,), "c": (half, HIDDEN), "u2": (half, HIDDEN), "a2": (half,)}
+        size = sum(int(np.prod(s)) for s in shapes.values())
         if flat is None:
             flat = (np.random.default_rng(7).standard_normal(size) * 0.1).astype(np.float32)
         self.flat, at = flat.astype(np.float32), 0
-        for name, shape in self.SHAPES.items():
+        for name, shape in shapes.items():
             n = int(np.prod(shape))
             setattr(self, name, self.flat[at : at + n].reshape(shape))
             at += n
@@ -71,7 +116,7 @@ class Network:
     def logits(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         """Hidden layer, the one with the upper half's embedding, and the logits of both halves."""
         h = self.hidden(ids, at)
-        g = h + self.c[ids[at] // HALF]
+        g = h + self.c[ids[at] // self.half]
         x, y = h @ self.u1.T, g @ self.u2.T
         x += self.a1
         y += self.a2
@@ -81,7 +126,7 @@ class Network:
         """Log-probability of each word at these places."""
         _, _, x, y = self.logits(ids, at)
         rows, word = np.arange(len(at)), ids[at]
-        picked = x[rows, word // HALF] + y[rows, word % HALF]
+        picked = x[rows, word // self.half] + y[rows, word % self.half]
         sums = np.exp(x, out=x).sum(axis=1) * np.exp(y, out=y).sum(axis=1).astype(np.float64)
         return picked - np.log(sums)
 
@@ -89,14 +134,14 @@ class Network:
         """Of the mean negative log-likelihood; under "h" that of the sums which the context's rows of e share."""
         h, g, p, q = self.logits(ids, at)
         rows, word, n = np.arange(len(at)), ids[at], np.float32(1 / len(at))
-        for z, half in ((p, word // HALF), (q, word % HALF)):
+        for z, half in ((p, word // self.half), (q, word % self.half)):
             np.exp(z, out=z)
             z *= (n / z.sum(axis=1))[:, None]
             z[rows, half] -= n
         dg = q @ self.u2
         dh = (p @ self.u1 + dg) * (1 - h * h)
         dc = np.zeros_like(self.c)
-        add_rows(dc, word // HALF, dg)
+        add_rows(dc, word // self.half, dg)
         return {"u1": p.T @ h, "a1": p.sum(axis=0), "u2": q.T @ g, "a2": q.sum(axis=0), "c": dc, "b": dh.sum(axis=0), "h": dh}
 
 
@@ -117,7 +162,7 @@ class Trainer:
     """Steps with a rate for each parameter that falls with the squares of its gradients."""
 
     def __init__(self, network: Network) -> None:
-        self.network, self.squares = network, Network(np.full_like(network.flat, 1e-6))
+        self.network, self.squares = network, Network(np.full_like(network.flat, 1e-6), network.half)
 
     def step(self, ids: np.ndarray, at: np.ndarray) -> None:
         net, sq = self.network, self.squares
@@ -135,14 +180,15 @@ class Trainer:
 
 def numbered(texts: list[str], numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All words of some texts with two pads before and after each text, the words' places, and the words of each text."""
-    flat, counts = [PAD, PAD], []
+    pad = numbers.pad
+    flat, counts = [pad, pad], []
     for t in texts:
         words = t.lower().split()
         flat += map(numbers.__getitem__, words)
-        flat += (PAD, PAD)
+        flat += (pad, pad)
         counts.append(len(words))
-    ids = np.array(flat, np.int16)
-    return ids, np.flatnonzero(ids != PAD), np.array(counts, np.int64)
+    ids = np.array(flat, np.int32)
+    return ids, np.flatnonzero(ids != pad), np.array(counts, np.int64)
 
 
 def train(docs: DataFrame, words: list[str], text: str = "text") -> np.ndarray:
@@ -152,7 +198,8 @@ def train(docs: DataFrame, words: list[str], text: str = "text") -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        numbers, network, seen = Numbers(shared.value), Network(), 0
+        numbers, seen = Numbers(shared.value), 0
+        network = Network(half=numbers.half)
         trainer = Trainer(network)
         for whole in batches:
             for b in slices(whole, text):
@@ -173,36 +220,49 @@ def train(docs: DataFrame, words: list[str], text: str = "text") -> np.ndarray:
     parts = source.mapInArrow(run, "key int, part int, vector binary")
     total = sorted((r.key, bytes(r.vector)) for r in tree_sum(parts, source.rdd.getNumPartitions()).collect())  # as many numbers as parameters
     if not total:
-        return Network().flat
+        return Network(half=half_of(len(words))).flat
     flat = np.concatenate([np.frombuffer(v) for _, v in total])
     return (flat[:-1] / flat[-1]).astype(np.float32)
 
 
-def score(docs: DataFrame, words: list[str], flat: np.ndarray, text: str = "text") -> DataFrame:
-    """docs with ``n_words`` and ``log_likelihood``, the sum over all words; both 0 for null and empty texts."""
+def score(docs: DataFrame, words: list[str], flat: np.ndarray, counts: DataFrame, text: str = "text") -> DataFrame:
+    """docs without the text, with ``n_words`` and ``log_likelihood``, the sum over all words; both 0 for null and empty texts."""
     shared = docs.sparkSession.sparkContext.broadcast((words, flat))
     docs = docs.drop("n_words", "log_likelihood")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    row, rare, share = fresh(docs, "_row", "_rare", "_share")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, network = Numbers(shared.value[0]), Network(shared.value[1])
+        from pyspark import TaskContext
+
+        numbers, at = Numbers(shared.value[0]), TaskContext.get().partitionId() << 40
+        network, known = Network(shared.value[1], numbers.half), set(shared.value[0])
         for whole in batches:
             for b in slices(whole, text):
-                ids, places, counts = numbered([t or "" for t in b.column(text).to_pylist()], numbers)
+                texts = [t or "" for t in b.column(text).to_pylist()]
+                ids, places, counts = numbered(texts, numbers)
                 each = [network.log_likelihood(ids, places[k : k + BATCH]) for k in range(0, len(places), BATCH)]
                 sums = np.concatenate([[0.0], np.cumsum(np.concatenate(each))]) if each else np.zeros(1)
                 ends = np.cumsum(counts)
+                others = pa.array([[w for w in t.lower().split() if w not in known] for t in texts], pa.list_(pa.string()))
+                kept = [(n, c) for n, c in zip(b.schema.names, b.columns, strict=True) if n != text]
                 yield pa.RecordBatch.from_arrays(
-                    [*b.columns, pa.array(counts), pa.array(sums[ends] - sums[ends - counts])], names=[*b.schema.names, "n_words", "log_likelihood"]
+                    [*(c for _, c in kept), pa.array(counts), pa.array(sums[ends] - sums[ends - counts]), pa.array(np.arange(at, at + len(texts))), others],
+                    names=[*(n for n, _ in kept), "n_words", "log_likelihood", row, rare],
                 )
+                at += len(texts)
 
-    return docs.mapInArrow(run, f"{fields}, n_words long, log_likelihood double")
+    made = saved(docs.mapInArrow(run, f"{fields}, n_words long, log_likelihood double, `{row}` long, `{rare}` array<string>"))
+    asked = made.select(row, F.explode(rare).alias("word"))
+    extra = asked.join(rare_words(counts, words), "word").groupBy(row).agg(F.sum("share").alias(share))
+    return made.drop(rare).join(extra, row, "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce(share, F.lit(0.0))).drop(row, share)
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """Per document its words, the summed log-probability, and the mean over its words (no words: 0)."""
     rows = docs.select("doc_id", "text")
-    words = vocabulary(rows)
-    return score(rows, words, train(rows, words)).select(
+    counts = saved(word_counts(rows))
+    words = vocabulary(counts)
+    return score(rows, words, train(rows, words), counts).select(
         "doc_id", "n_words", "log_likelihood", (F.col("log_likelihood") / F.greatest("n_words", F.lit(1))).alias("mean_log_likelihood")
     )

@@ -221,6 +221,23 @@ def test_pseudo_likelihood(spark):
     assert pseudo.pseudo_likelihood(table(spark, docs).limit(0)).count() == 0
 
 
+def test_vocabulary_grows_with_the_corpus(spark):
+    rng = random.Random(10)
+    small, large = ([(k, " ".join(f"w{rng.randrange(size)}" for _ in range(400))) for k in range(n)] for size, n in ((500, 50), (5000, 1000)))
+    few, many = (pseudo.vocabulary(pseudo.word_counts(table(spark, d))) for d in (small, large))
+    assert len(few) == 500 and len(many) > 4096 and pseudo.half_of(len(many)) ** 2 > len(many)
+
+
+def test_rare_words_have_probabilities_of_their_own(spark):
+    common = " ".join(["the cat sat on the mat"] * 40)
+    frequent = ["rareword"] * 9
+    docs = [(k, common) for k in range(200)] + [(1000 + k, w) for k, w in enumerate(frequent)]
+    probe = next(f"x{k}" for k in range(100000) if pseudo.zlib.crc32(f"x{k}".encode()) % (64 * 64 - 5) == pseudo.zlib.crc32(b"rareword") % (64 * 64 - 5))
+    rows = {r.doc_id: r for r in pseudo.pseudo_likelihood(table(spark, [*docs, (2000, probe)])).collect()}
+    assert rows[1000].log_likelihood - rows[2000].log_likelihood == pytest.approx(np.log(9), abs=1e-3)
+    assert len(rows) == 210 and rows[0].n_words == 240
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
