@@ -1,15 +1,16 @@
 """Personal data: base patterns, and terms that disclose an entity by corpus co-occurrence. DataFrame functions only.
 
-An entity is a distinct matched value. A term (a word of four or more letters near a mention) discloses an entity c
-as far as knowing it gives c away: PMI(c; t) = log2(N n_ct / (n_c n_t)) over documents, at most the entity's
-information IC(c) = log2(N / n_c). Terms that stand by an entity in at least SUPPORT different texts and whose PMI
-reaches the share REMOVE of IC(c) are removed, those that reach GENERALISE are generalised; only where they stand by
-that entity. The base matches are always replaced.
+An entity is a distinct matched value. A term (a word of four or more letters or digits) discloses an entity c as far
+as knowing it gives c away: PMI(c; t) = log2(N n_ct / (n_c n_t)) over documents, at most the entity's information
+IC(c) = log2(N / n_c). All terms of a document occur with all entities in it, wherever they stand. n_ct / n_t is drawn
+down where few documents hold both, by n_ct^2 / (n_ct^2 + DOUBT). Terms whose PMI reaches the share REMOVE of IC(c) are
+removed, those that reach GENERALISE give way to their class; everywhere in the documents of that entity, and only
+there. The base matches are always replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowbench.llm.common import fresh, saved, small
@@ -22,10 +23,10 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-WORD = r"(?<![\p{L}\p{N}])\p{L}{4,}+(?![\p{L}\p{N}])"
+WORD = r"(?<![\p{L}\p{N}])[\p{L}\p{N}]{4,}+(?![\p{L}\p{N}])"
 KINDS = (*PATTERNS, "term")
-#: Code points around a mention whose words may disclose it; different texts that must agree; shares of IC(c).
-AROUND, SUPPORT, GENERALISE, REMOVE = 60, 3, 0.8, 0.95
+#: Weight of the doubt in few documents; shares of IC(c).
+DOUBT, GENERALISE, REMOVE = 2, 0.8, 0.95
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
 
@@ -83,56 +84,60 @@ def text_key(text: Column) -> Column:
     return F.concat_ws("-", F.hex(F.xxhash64(text, F.lit(0))), F.hex(F.xxhash64(text, F.lit(1)))).alias("text_key")
 
 
-def near_terms(text: Column, span: Column) -> Column:
-    """Words around a mention; those that the edge of the surroundings may cut are left out."""
-    begin = F.greatest(F.lit(0), span["start"] - AROUND)
-    left = F.substring(text, begin + 1, span["start"] - begin)
-    right = F.substring(text, span["end"] + 1, F.lit(AROUND))
-    before = F.filter(matches(left, WORD, "term"), lambda t: (t["start"] > 0) | (begin == 0))
-    after = F.filter(matches(right, WORD, "term"), lambda t: (t["end"] < F.length(right)) | (span["end"] + F.length(right) == F.length(text)))
+def terms(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.lower))
 
-    def moved(t: Column, by: Column) -> Column:
-        return F.named_struct(F.lit("start"), t["start"] + by, F.lit("end"), t["end"] + by, F.lit("term"), F.lower(t["value"]))
 
-    return F.concat(F.transform(before, lambda t: moved(t, begin)), F.transform(after, lambda t: moved(t, span["end"])))
+def places(texts: DataFrame) -> DataFrame:
+    """Rows ``text_key, term, start, end`` of all words of ``text_key, entity_text``, linear in a text's length."""
+    found = F.regexp_extract_all("entity_text", F.lit(f"({WORD})"), F.lit(1))
+    gaps = F.transform(F.split("entity_text", WORD, -1), F.length)
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
+    rows = texts.select("text_key", F.posexplode(pairs).alias("pos", "word"))
+    end = F.sum(F.col("word.gap") + F.length("word.value")).over(Window.partitionBy("text_key").orderBy("pos"))
+    return rows.withColumn("end", end).select("text_key", F.lower("word.value").alias("term"), (F.col("end") - F.length("word.value")).alias("start"), "end")
 
 
 def disclosures(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
-    """Rows ``text_key, start, end, level`` of terms that disclose an entity by which they stand.
+    """Rows ``text_key, start, end, level`` of all occurrences of terms that disclose an entity of their document.
 
-    found has ``text_key, base, entity_text`` a document. Equal texts are weighed once each and counted as often as
-    they occur, so no hot text gathers rows.
+    found has ``text_key, base, entity_text`` a document. Equal texts are read once each and counted as often as
+    they occur, so no hot text gathers rows; counts of pairs are summed before they are shuffled, so no hot entity does.
     """
-    once = (
+    once = saved(
         found.where(F.size("base") > 0).groupBy("text_key")
         .agg(F.first("base").alias("base"), F.first("entity_text").alias("entity_text"), F.count(F.lit(1)).alias("copies"))
     )
-    mentions = once.select("text_key", "copies", "entity_text", F.explode("base").alias("span")).select(
-        "text_key", "copies",
-        F.concat_ws(":", "span.kind", F.when(F.col("span.kind") == "email", F.lower("span.value")).otherwise(digits(F.col("span.value")))).alias("entity"),
-        F.explode_outer(near_terms(F.col("entity_text"), F.col("span"))).alias("near"),
-    )
-    mentions = saved(mentions.select("text_key", "copies", "entity", "near.term", "near.start", "near.end"))
-    held = mentions.select("text_key", "copies", "entity").distinct().groupBy("entity").agg(F.sum("copies").alias("n_c"))
-    pairs = (
-        mentions.where(F.col("term").isNotNull()).select("text_key", "copies", "entity", "term").distinct()
-        .groupBy("entity", "term").agg(F.sum("copies").alias("n_ct"), F.count(F.lit(1)).alias("support"))
-        .where(F.col("support") >= SUPPORT)
-    )
-    # a term occurs in no fewer documents than it stands by any entity in: pairs that this bound rules out go at once,
-    # and with them common words, whose occurrences would all be joined to be counted
     n = found.count()
-    near = mentions.select("text_key", "copies", "term").distinct().groupBy("term").agg(F.sum("copies").alias("n_near"))
-    most = F.col("n_ct") * F.pow(F.lit(float(n)) / F.col("n_c"), F.lit(1 - GENERALISE))
-    pairs = saved(pairs.join(held, "entity").join(near, "term").where(F.col("n_near") <= most * (1 + 1e-9)).drop("n_near"))
-    asked = small(pairs.select("term").distinct())
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1)))).alias("term"))
-    spread = words.join(asked, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    pmi = F.log2(n * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
+
+    def most(n_c: Column) -> Column:
+        """Documents that a term of an entity in n_c of them can be in and still disclose it, as n_ct <= n_c."""
+        return n_c * F.pow(F.lit(float(n)) / n_c, F.lit(1 - GENERALISE)) * (1 + 1e-9)
+
+    name = lambda s: F.concat_ws(":", s["kind"], F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(digits(s["value"])))
+    mentions = saved(once.select("text_key", "copies", F.explode(F.array_distinct(F.transform("base", name))).alias("entity")))
+    held = mentions.groupBy("entity").agg(F.sum("copies").alias("n_c"))
+    mentions = saved(mentions.join(small(held), "entity"))
+    # a term is in no fewer documents than those with an entity that hold it: terms that this bound rules out for all
+    # entities of their text go at once, and with them common words
+    terms_held = saved(once.select("text_key", "copies", F.explode(terms(F.col("entity_text"))).alias("term")))
+    near = terms_held.groupBy("term").agg(F.sum("copies").alias("n_near"))
+    bound = mentions.groupBy("text_key").agg(most(F.max("n_c")).alias("most"))
+    asked = saved(terms_held.drop("copies").join(bound, "text_key").join(near, "term").where(F.col("n_near") <= F.col("most")).select("text_key", "term"))
+    words = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    spread = words.join(small(asked.select("term").distinct()), "term")
+    pairs = saved(asked.join(spread, "term").join(mentions, "text_key").where(F.col("n_t") <= most(F.col("n_c"))))
+    counted = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_ct"), F.first("n_c").alias("n_c"), F.first("n_t").alias("n_t"))
+    agreed = F.col("n_ct") * F.col("n_ct")
+    pmi = F.log2(n * F.col("n_ct") * agreed / ((agreed + DOUBT) * F.col("n_c") * F.col("n_t")))
     share = pmi / F.greatest(F.log2(n / F.col("n_c")), F.lit(1e-9))
-    telling = pairs.join(spread, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE - 1e-9)
-    return mentions.join(telling, ["entity", "term"]).groupBy("text_key", "start", "end").agg(
-        F.when(F.max("share") >= REMOVE - 1e-9, "remove").otherwise("generalise").alias("level")
+    telling = counted.select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE - 1e-9)
+    marked = saved(pairs.join(telling, ["entity", "term"]).groupBy("text_key", "term").agg(F.max("share").alias("share")))
+    where = places(once.join(marked.select("text_key").distinct(), "text_key", "left_semi"))
+    free = ~F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
+    return where.join(marked, ["text_key", "term"]).join(once.select("text_key", "base"), "text_key").where(free).select(
+        "text_key", "start", "end", F.when(F.col("share") >= REMOVE - 1e-9, "remove").otherwise("generalise").alias("level")
     )
 
 
@@ -145,10 +150,10 @@ def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     whole = F.coalesce(F.col(text), F.lit(""))
     marked = docs.select(*keep, text_key(whole), base_spans(whole).alias("base"), whole.alias("entity_text"))
     found = saved(marked.withColumn("entity_text", F.when(F.size("base") > 0, F.col("entity_text"))))
-    terms = disclosures(docs, found, text).groupBy("text_key").agg(
+    marks = disclosures(docs, found, text).groupBy("text_key").agg(
         F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("level").alias("value")))).alias("terms")
     )
-    return found.drop("entity_text").join(small(terms), "text_key", "left").withColumn(
+    return found.drop("entity_text").join(small(marks), "text_key", "left").withColumn(
         "terms", F.coalesce("terms", F.array().cast(f"array<{SPAN}>"))
     )
 
@@ -171,8 +176,16 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def replaced(text: Column, spans: Column) -> Column:
-    """text with each span's mark in its place, from the left; of overlapping spans the first to start gives the mark."""
-    mark = lambda s: F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(s["value"] == "remove", "[REMOVED]").otherwise("[WORD]")
+    """text with each span's mark in its place, from the left; of overlapping spans the first to start gives the mark.
+
+    A term that is generalised gives way to its class: number, code (letters and digits) or word.
+    """
+
+    def mark(s: Column) -> Column:
+        word = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+        wider = F.when(F.regexp_like(word, F.lit(r"^\p{N}+$")), "[NUMBER]").when(F.regexp_like(word, F.lit(r"\p{N}")), "[CODE]").otherwise("[WORD]")
+        return F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(s["value"] == "remove", "[REMOVED]").otherwise(wider)
+
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), mark(s).alias("mark"))))
 
     def step(acc: Column, s: Column) -> Column:

@@ -149,6 +149,15 @@ def test_disclosing_terms(spark):
     assert pii.sanitise(table(spark, docs).limit(0)).count() == 0
 
 
+def test_terms_far_from_a_mention_disclose(spark):
+    far = " ".join(["plain words that all texts hold"] * 20)
+    docs = [(k, f"Zorblax wrote: {far} agent77 mail jo@ex.com {far} so Zorblax") for k in range(4)]
+    docs += [(4, f"Kwyjibo {far} la@ex.com"), (5, f"agent77 {far}"), *((100 + k, f"wrote mail {far}") for k in range(2000))]
+    texts = {r.doc_id: r.text for r in pii.sanitise(table(spark, docs)).where("doc_id < 6").collect()}
+    assert texts[0] == texts[3] == f"[REMOVED] wrote: {far} [CODE] mail [EMAIL] {far} so [REMOVED]"
+    assert texts[4] == f"[WORD] {far} [EMAIL]" and texts[5] == docs[5][1]
+
+
 def test_quality(spark):
     rng = random.Random(6)
     docs = [(k, " ".join(words(rng, 60, 300)) if k % 4 else "BUY!! " + " ".join(f"{w.upper()}!!" for w in words(rng, 40))) for k in range(300)] + [(900, None), (901, "")]
