@@ -95,26 +95,35 @@ def assign(docs: DataFrame, tree: tuple[Node, ...], key: str = "doc_id", text: s
     )
 
 
+#: Copies of a row that are made at once.
+RUN = 1 << 14
+
+
 def with_slots(rows: DataFrame, bins: int) -> DataFrame:
     """Appends ``slot``, a gapless number from 0 within each shard.
 
     Rows are dealt to ``bins`` hash bins a shard and numbered in their bin; a bin starts where the ones before it
-    end. So no task holds a shard, and the table of bins has shards x bins rows whatever the input.
+    end. So no task holds a shard, and the table of bins has shards x bins rows whatever the input. Equal rows are
+    counted and numbered as one, and made again in runs of at most RUN, so copies don't gather in a task either.
     """
+    names = rows.columns
+    rows = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_copies"))
     rows = rows.withColumn("_bin", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", F.lit("bin")), F.lit(bins)).cast("int"))
-    # rows that are equal in all of these are interchangeable; their copies are dealt over bins by a running number
-    counts = rows.groupBy("shard", "_bin").count()
+    counts = rows.groupBy("shard", "_bin").agg(F.sum("_copies").alias("count"))
     starts = counts.select(
         "shard",
         "_bin",
         (F.sum("count").over(W.partitionBy("shard").orderBy("_bin")) - F.col("count")).alias("_start"),
     )
-    within = F.row_number().over(W.partitionBy("shard", "_bin").orderBy("doc_id", "text_crc32", "size")) - 1
+    order = W.partitionBy("shard", "_bin").orderBy("doc_id", "text_crc32", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
-        rows.withColumn("_at", within)
+        rows.withColumn("_at", F.sum("_copies").over(order) - F.col("_copies"))
         .join(F.broadcast(starts), ["shard", "_bin"])
-        .withColumn("slot", (F.col("_start") + F.col("_at")).cast("long"))
-        .drop("_bin", "_start", "_at")
+        .withColumn("_first", F.col("_start") + F.col("_at"))
+        .withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(RUN).cast("long"))))
+        .repartition("shard", "_first", "_run")
+        .withColumn("_copy", F.explode(F.sequence("_run", F.least(F.col("_run") + RUN, F.col("_copies")) - 1)))
+        .select(*names, (F.col("_first") + F.col("_copy")).cast("long").alias("slot"))
     )
 
 

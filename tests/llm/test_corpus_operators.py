@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowbench.llm import components, decontamination, jaccard, labelled, pii, pseudo, quality, toxicity
+from flowbench.llm import components, decontamination, jaccard, labelled, pii, pseudo, quality, sharding, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -158,6 +158,14 @@ def test_terms_far_from_a_mention_disclose(spark):
     assert texts[4] == f"[WORD] {far} [EMAIL]" and texts[5] == docs[5][1]
 
 
+def test_copies_of_a_row_are_numbered_apart(spark):
+    docs = table(spark, [(None, "one text")]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(40000)))).drop("copy")
+    out = sharding.shard(docs.unionByName(table(spark, [(k, f"t{k}") for k in range(500)])), sharding.topology(3, 2, 4), 8)
+    found = out.groupBy("shard").agg(F.min("slot").alias("a"), F.max("slot").alias("b"), F.countDistinct("slot").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    assert all(r.a == 0 and r.b + 1 == r.n == r.rows for r in found) and sum(r.rows for r in found) == 40500
+    assert "_copies" in out._jdf.queryExecution().optimizedPlan().toString()  # numbered once, not copy by copy
+
+
 def test_quality(spark):
     rng = random.Random(6)
     docs = [(k, " ".join(words(rng, 60, 300)) if k % 4 else "BUY!! " + " ".join(f"{w.upper()}!!" for w in words(rng, 40))) for k in range(300)] + [(900, None), (901, "")]
