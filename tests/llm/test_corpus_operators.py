@@ -192,6 +192,48 @@ def test_toxicity(spark):
     assert len(none) == len(docs) and {r.predicted for r in none} == {0}
 
 
+def test_toxicity_without_telling_terms(spark):
+    """Alike texts, no toxic ones, no words at all, one label: every text is scored, and nothing breaks."""
+    alike = [(k, "the same words again") for k in range(20)] + [(30, None), (31, " 12 !"), (32, "Ω" * 30), (33, "word " * 40000)]
+    for labels in ([(k, 1, k % 2) for k in range(20)], [(k, 1, 0) for k in range(20)], [(31, 1, 1), (30, 1, 0)], [(5, 1, 1)]):
+        table_ = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+        rows = {r.doc_id: r for r in toxicity.classify(table(spark, alike), table_).collect()}
+        assert len(rows) == 24 and all(0 <= r.score <= 1 for r in rows.values()) and len({rows[k].score for k in range(20)}) == 1
+    again = table(spark, [*alike, (3, "another text"), (3, "the same words again")])
+    assert toxicity.classify(again, table_).count() == 26 and toxicity.classify(again.limit(0), table_).count() == 0
+    own = again.withColumn("score", F.lit(42.0)).withColumn("evidence", F.lit("mine"))
+    out = toxicity.score(own, toxicity.learn(own, table_), names=("_score", "_near", "_cosines", "_evidence"))
+    assert {(r.score, r.evidence) for r in out.collect()} == {(42.0, "mine")}
+
+
+def test_every_term_of_the_examples_is_searched(spark):
+    """The nearest are those of whole TF-IDF vectors, by brute force; held-out examples are told apart."""
+    rng = random.Random(17)
+    docs = [(k, " ".join([*words(rng, rng.randrange(1, 80), 400), *(["grumblish"] * 2 if k % 6 == 0 else [])])) for k in range(600)]
+    labels = spark.createDataFrame([(k, 1, int(k % 6 == 0)) for k in range(600)], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(table(spark, docs), labels)
+    texts = dict(docs)
+    examples = [model.near([texts[i]]) for i in model.ids.tolist()]
+    vectors = [dict(zip(*map(np.ndarray.tolist, v), strict=True)) for (_, _, v), in examples]
+    held = [t for i, t in docs if i not in set(model.ids.tolist())]
+    assert len(held) > 150 and {t for v in vectors for t in v} == set(range(len(model.names)))
+    for text in held[:60]:
+        (_, (cosines, found), v), = model.near([text])
+        query = dict(zip(*map(np.ndarray.tolist, v), strict=True))
+        brute_ = sorted(((-round(sum(w * query.get(t, 0.0) for t, w in x.items()), 6), k) for k, x in enumerate(vectors)))[:15]
+        assert np.allclose(cosines, [-c for c, _ in brute_], atol=1e-5)
+    rows = {r.doc_id: r for r in toxicity.classify(table(spark, docs), labels).collect()}
+    assert all(r.predicted == (k % 6 == 0) for k, r in rows.items() if r.held_out)
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    docs = table(spark, [(k, "x" * 1000) for k in range(300)] + [(k, "y") for k in range(100)])
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(300)], "doc_id long, quality int, toxic int")
+    rows = labelled.sample(docs, labels, "quality", 4, 2, 5000, 50_000).collect()
+    assert 50 <= len(rows) <= 52 and {r.text[0] for r in rows} == {"x"}
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.doc_id)] == sorted({r.doc_id for r in rows})
+
+
 def test_index_is_exact():
     rng = np.random.default_rng(3)
     vectors = []
