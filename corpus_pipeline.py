@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowbench.llm import bpe, decontamination, jaccard, pii, toxicity
-from flowbench.llm.common import shared_dir, table
+from flowbench.llm.common import fresh, shared_dir, table
 from flowbench.llm.queries import vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that score 0.7 or more for toxicity."""
-    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("score < 0.7").select(docs.columns)
+    """Without documents that score 0.7 or more for toxicity; a column called score, or otherwise as the model's, stays."""
+    model, names = toxicity.learn(docs, table(spark, sf_dir, "labels")), fresh(docs, "_score", "_neighbours", "_cosines", "_evidence")
+    return toxicity.score(docs, model, names=tuple(names)).where(F.col(names[0]) < 0.7).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every document that is left, and whether they decode to its text."""
+    """The ids of every document that is left, and whether they decode to its text; all other columns end here."""
     words = vocabulary()
     coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), words), words)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
