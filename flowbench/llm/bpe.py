@@ -4,12 +4,16 @@ Long texts are cut into overlapping chunks that separate tasks pre-tokenise. Nei
 pre-token boundaries they see in the overlap; the first common one is where the later chunk has fallen into step
 (what follows a boundary depends on the text after it alone), and there the pieces are stitched. Each piece is
 then encoded by itself. Decoding looks up each id's bytes and joins them.
+
+A piece is encoded in parts that begin with a space before a character that is none: there always is a boundary there,
+and what a part's pre-tokens are depends on the part alone. The ids of short parts are kept from text to text.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,8 +27,24 @@ from flowbench.llm.common import fresh, per_text, saved
 
 #: Texts beyond this many characters are cut, into chunks of so many, with this much overlap.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
-#: Distinct pre-tokens whose ids a Python worker keeps.
-CACHE = 1 << 18
+#: Distinct pre-tokens, and parts, whose ids a Python worker keeps, and the longest of them in characters.
+CACHE, LONGEST = 1 << 18, 64
+#: The space before each part.
+SPACE = re.compile(r" (?=\S)")
+
+
+class Parts(dict):
+    """Part without its space -> ids as bytes, made when first asked for; long parts are not kept."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, part: str) -> bytes:
+        made = self.vocabulary.by_pieces(" " + part)
+        if len(part) <= LONGEST:
+            self[part] = made
+        return made
 
 
 class Vocabulary:
@@ -35,7 +55,8 @@ class Vocabulary:
         self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
         self.pattern = pattern
         self.find = regex.compile(pattern)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.parts = Parts(self)
         size = max(self.ranks.values(), default=-1) + 1
         words = [b""] * size
         for raw, rank in self.ranks.items():
@@ -77,25 +98,37 @@ class Vocabulary:
                 heapq.heappush(heap, (r, p, end))
         return tuple(ranks[raw[i : ends[i]]] for i in range(n) if alive[i])
 
+    def by_pieces(self, text: str) -> bytes:
+        """Ids of a text, as 32-bit numbers, from pre-token to pre-token."""
+        return b"".join(map(self.by_piece, self.find.findall(text)))
+
+    def by_piece(self, piece: str) -> bytes:
+        """Ids of a pre-token, as 32-bit numbers."""
+        if (ids := self.cache.get(piece)) is None:
+            ids = np.array(self.merge(piece.encode()), np.int32).tobytes()
+            if len(piece) <= LONGEST:
+                if len(self.cache) > CACHE:
+                    self.cache.clear()
+                self.cache[piece] = ids
+        return ids
+
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids of a text, as 32-bit numbers."""
+        if len(self.parts) > CACHE:
+            self.parts.clear()
+        first, *rest = SPACE.split(text)
+        return b"".join([self.by_pieces(first), *map(self.parts.__getitem__, rest)])
+
     def encode(self, text: str) -> list[int]:
         """Ids of a text."""
-        cache, out = self.cache, []
-        if len(cache) > CACHE:
-            cache.clear()
-        for piece in self.find.findall(text):
-            if (ids := cache.get(piece)) is None:
-                ids = self.merge(piece.encode())
-                if len(piece) <= 64:
-                    cache[piece] = ids
-            out += ids
-        return out
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes that ids stand for."""
+        return np.frombuffer(self.encode_bytes(text), np.int32).tolist()
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that ids stand for, and where each id's bytes end."""
         lengths = self.lengths[ids]
         ends = np.cumsum(lengths)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[ids] - (ends - lengths), lengths)
-        return self.bytes[at].tobytes()
+        return self.bytes[at], ends
 
 
 def id_lists(lists: Iterable[list[int]]) -> pa.Array:
@@ -106,6 +139,13 @@ def id_lists(lists: Iterable[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
+def encoded(vocabulary: Vocabulary, texts: list[str]) -> pa.Array:
+    """The ids of some texts as one Arrow column."""
+    found = list(map(vocabulary.encode_bytes, texts))
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+
 def boundaries(vocabulary: Vocabulary, text: str, first: bool, last: bool, core: int, overlap: int) -> tuple[list[int], list[int]]:
     """Boundaries of a chunk's pre-tokens in its first ``overlap`` characters and in those after ``core``.
 
@@ -130,15 +170,18 @@ def stitched_pieces(docs: DataFrame, vocabulary: Vocabulary, key: str, text: str
     Where two chunks have no common boundary in their overlap (a pre-token longer than it), all that follows stays
     one piece: slower, never wrong.
     """
+    def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(whole.num_rows):  # long texts: one at a time
+                t = whole.column(text)[k].as_py()
+                starts = range(0, max(1, len(t)), chunk)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(whole.column(key)[k].as_py() for _ in starts), pa.array(range(len(starts)), pa.int32()), pa.array([c + chunk >= len(t) for c in starts], pa.bool_()), pa.array([t[c : c + chunk + overlap] for c in starts], pa.string())],
+                    names=[key, "_no", "_last", "_chunk"],
+                )
+
     schema_text = f"{key} string, _no int, _chunk string, _head array<int>, _tail array<int>"
-    n = F.greatest(F.lit(1), F.ceil(F.length(text) / F.lit(chunk))).cast("int")
-    cut = docs.select(key, text, n.alias("_n")).select(
-        key, "_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_no"), text
-    )
-    cut = cut.select(
-        key, "_no", (F.col("_no") == F.col("_n") - 1).alias("_last"),
-        F.substring(F.col(text), F.col("_no") * chunk + 1, F.lit(chunk + overlap)).alias("_chunk"),
-    ).repartition(F.col(key), F.col("_no"))
+    cut = docs.select(key, text).mapInArrow(pieces_of, f"{key} string, _no int, _last boolean, _chunk string").repartition(F.col(key), F.col("_no"))
 
     def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,7 +233,7 @@ def encode(
     as_ids = f"`{out}` array<int>"
 
     def ids_of(texts: list[str]) -> dict[str, pa.Array]:
-        return {out: id_lists(map(shared.value.encode, texts))}
+        return {out: encoded(shared.value, texts)}
 
     def with_ids(rows: DataFrame, column: str) -> DataFrame:
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
@@ -216,11 +259,14 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
+            for start in range(0, whole.num_rows, 64):
+                batch = whole.slice(start, 64)
                 lists = batch.column(ids)
-                found = [shared.value.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else b"" for x in lists]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, out])
+                raw, ends = shared.value.decode(lists.flatten().to_numpy(zero_copy_only=False))
+                after = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                offsets = np.concatenate([[0], np.concatenate([[0], ends])[after]]).astype(np.int64)
+                found = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
+                yield pa.RecordBatch.from_arrays([*batch.columns, found.cast(pa.binary())], names=[*batch.schema.names, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(run, f"{fields}, `{out}` binary")

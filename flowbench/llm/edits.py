@@ -13,11 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowbench.llm.bpe import CACHE, Vocabulary
+from flowbench.llm.bpe import LONGEST, SPACE, Vocabulary
 from flowbench.llm.common import slices
 
-#: Pre-tokens in a leaf at first; a leaf is split anew where it has grown to four times as many.
-LEAF = 64
+#: Parts (a space and the word after it) or, in texts with parts of over LONGEST characters, pre-tokens in a leaf at
+#: first; a leaf is split anew where it has grown to more than eight times as many pre-tokens.
+LEAF = 16
 EDIT = "struct<start:int,removed:int,inserted:string>"
 
 
@@ -31,12 +32,16 @@ class TokenTree:
     @classmethod
     def build(cls, vocabulary: Vocabulary, text: str) -> TokenTree:
         tree = cls(vocabulary, [""], [0])
-        pieces = vocabulary.find.findall(text)
-        leaves = ["".join(pieces[k : k + LEAF]) for k in range(0, len(pieces), LEAF)] or [""]
-        known = vocabulary.cache.get
-        counts = [len(c) if (c := known(p)) is not None else tree.count(p) for p in pieces]
-        ids = [sum(counts[k : k + LEAF]) for k in range(0, len(counts), LEAF)] or [0]
-        tree.load(leaves, ids)
+        parts = SPACE.split(text)
+        if max(map(len, parts)) <= LONGEST:
+            vocabulary.encode_bytes(text)  # all parts but the first are known then
+            sizes = [len(vocabulary.by_pieces(parts[0])), *(len(vocabulary.parts[p]) for p in parts[1:])]
+            leaves = [" " * (k > 0) + " ".join(parts[k : k + LEAF]) for k in range(0, len(parts), LEAF)]
+        else:
+            pieces = vocabulary.find.findall(text)
+            sizes = [len(vocabulary.by_piece(p)) for p in pieces]
+            leaves = ["".join(pieces[k : k + LEAF]) for k in range(0, len(pieces), LEAF)]
+        tree.load(leaves, [sum(sizes[k : k + LEAF]) // 4 for k in range(0, len(sizes), LEAF)])
         return tree
 
     def load(self, leaves: list[str], ids: list[int]) -> None:
@@ -50,14 +55,7 @@ class TokenTree:
 
     def count(self, piece: str) -> int:
         """Number of ids of a pre-token."""
-        cache = self.vocabulary.cache
-        if (ids := cache.get(piece)) is None:
-            ids = self.vocabulary.merge(piece.encode())
-            if len(piece) <= 64:
-                if len(cache) > CACHE:
-                    cache.clear()
-                cache[piece] = ids
-        return len(ids)
+        return len(self.vocabulary.by_piece(piece)) // 4
 
     def put(self, leaf: int, text: str, ids: int) -> None:
         self.leaves[leaf] = text
@@ -86,18 +84,17 @@ class TokenTree:
         total = self.chars[1]
         start = min(max(0, start), total)
         end = min(start + max(0, removed), total)
-        # a pre-token depends on its text and one character more: all leaves before the one that holds the character
-        # ahead of the edit stay as they are
-        first, begin = self.locate(max(0, start - 1))
-        last, last_begin = self.locate(end)
-        stop = last_begin + len(self.leaves[last])
+        # a pre-token depends on its text and at most two characters more (white space before a word, contractions):
+        # all leaves that end three characters ahead of the edit stay as they are
+        first, begin = self.locate(max(0, start - 3))
+        last, _ = self.locate(end)
         old = "".join(self.leaves[first : last + 1])
         new = old[: start - begin] + inserted + old[end - begin :]
         while True:
-            beyond = last + 1
-            while beyond < len(self.leaves) and not self.leaves[beyond]:
+            context, beyond = "", last + 1
+            while beyond < len(self.leaves) and len(context) < 3:
+                context += self.leaves[beyond]
                 beyond += 1
-            context = self.leaves[beyond] if beyond < len(self.leaves) else ""
             pieces, at = [], 0
             for m in self.vocabulary.find.finditer(new + context):
                 if at >= len(new):
@@ -106,11 +103,11 @@ class TokenTree:
                 at = m.end()
             if at == len(new):
                 break
-            last, new, stop = beyond, new + context, stop + len(context)
+            last, new = beyond - 1, new + context
         self.reencoded += len(pieces)
         spots = last - first + 1
         each = -(-len(pieces) // spots) if pieces else 1
-        if each > 4 * LEAF:
+        if each > 8 * LEAF:
             parts = [pieces[k : k + LEAF] for k in range(0, len(pieces), LEAF)]
             ids = self.ids[self.size : self.size + len(self.leaves)]
             self.load(

@@ -46,6 +46,48 @@ def test_digests(docs, reference):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
+def test_parts_begin_where_pre_tokens_do(reference):
+    """Encoding by parts is encoding the whole, for all white space and whatever stands beside it."""
+    import sys
+
+    import regex
+
+    white = regex.compile(r"\s")
+    for c in map(chr, range(sys.maxunicode + 1)):
+        assert not (bpe.SPACE.search(f" {c}") and white.match(c)), hex(ord(c))
+    rng, words = random.Random(11), vocabulary()
+    for letters in (" \t\n\x0b\x1c\x1f\x85\xa0\u3000a'", "  'sdrelvmt1!é", "  中文\u200b\u2028x ", " a"):
+        for _ in range(150):
+            text = "".join(rng.choice(letters) for _ in range(rng.randrange(0, 80)))
+            assert words.encode(text) == reference.encode_ordinary(text)
+            assert b"".join(map(words.by_piece, words.find.findall(text))) == words.encode_bytes(text)
+
+
+def test_leaves_are_runs_of_pre_tokens(reference):
+    """After any edits the leaves' edges are pre-token boundaries of the whole text, however short leaves are."""
+    rng, words, leaf = random.Random(13), vocabulary(), edits.LEAF
+    try:
+        for edits.LEAF in (1, 2, 16):
+            for _ in range(60):
+                letters = rng.choice(["  \n\t a", "a'' rellvesd ", "ab  '\n1!", " word is"])
+                text = "".join(rng.choice(letters) for _ in range(rng.choice([3, 30, 200])))
+                tree = edits.TokenTree.build(words, text)
+                for _ in range(6):
+                    at, removed = rng.randrange(len(text) + 1), rng.choice([0, 1, 2, 9])
+                    new = "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 12])))
+                    tree.edit(at, removed, new)
+                    text = text[:at] + new + text[at + removed :]
+                    ends = {m.end() for m in words.find.finditer(text)} | {0}
+                    edges, where = [], 0
+                    for x in tree.leaves:
+                        where += len(x)
+                        edges.append(where)
+                    assert tree.text() == text and set(edges) <= ends
+                    assert tree.ids[1] == len(reference.encode_ordinary(text))
+    finally:
+        edits.LEAF = leaf
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert bpe.digests(none, vocabulary()).count() == media.digests(none).count() == edits.counts(none, vocabulary()).count() == 0
