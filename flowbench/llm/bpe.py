@@ -29,6 +29,8 @@ from flowbench.llm.common import fresh, per_text, saved
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: Distinct pre-tokens, and parts, whose ids a Python worker keeps, and the longest of them in characters.
 CACHE, LONGEST = 1 << 18, 64
+#: Bytes up to which pre-tokens are merged together.
+SHORT = 64
 #: The space before each part.
 SPACE = re.compile(r" (?=\S)")
 
@@ -43,6 +45,8 @@ class Parts(dict):
     def __missing__(self, part: str) -> bytes:
         made = self.vocabulary.by_pieces(" " + part)
         if len(part) <= LONGEST:
+            if len(self) > CACHE:
+                self.clear()
             self[part] = made
         return made
 
@@ -57,6 +61,8 @@ class Vocabulary:
         self.find = regex.compile(pattern)
         self.cache: dict[str, bytes] = {}
         self.parts = Parts(self)
+        self.known_pairs: tuple[np.ndarray, np.ndarray] | None = None
+        self.byte_ids = np.array([self.ranks.get(bytes([b]), 0) for b in range(256)], np.int32)
         size = max(self.ranks.values(), default=-1) + 1
         words = [b""] * size
         for raw, rank in self.ranks.items():
@@ -98,6 +104,83 @@ class Vocabulary:
                 heapq.heappush(heap, (r, p, end))
         return tuple(ranks[raw[i : ends[i]]] for i in range(n) if alive[i])
 
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of ids that stand for the two parts of a byte string with a rank, as one sorted number each, and the ranks."""
+        if self.known_pairs is None:
+            get, size = self.ranks.get, len(self.lengths)
+            found = [(a * size + b, r) for raw, r in self.ranks.items() for k in range(1, len(raw)) if (a := get(raw[:k])) is not None and (b := get(raw[k:])) is not None]
+            keys, ranks = np.array(sorted(found), np.int64).reshape(-1, 2).T
+            self.known_pairs = keys.copy(), ranks.astype(np.int32)
+        return self.known_pairs
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """Ids of many pre-tokens, as 32-bit numbers: as merge(), one merge in every word at a time."""
+        keys, ranks = self.pairs()
+        size, never = len(self.lengths), np.int32(len(self.lengths))
+
+        def rank_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            asked = a.astype(np.int64) * size + b
+            at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+            return np.where(keys[at] == asked, ranks[at], never) if len(keys) else np.full(len(asked), never)
+
+        known = map(self.ranks.get, words)
+        out = [b"" if r is None else r.to_bytes(4, "little") for r in known]
+        for k, raw in enumerate(words):
+            if not out[k] and len(raw) > SHORT:
+                out[k] = np.array(self.merge(raw), np.int32).tobytes()
+        left = [k for k, made in enumerate(out) if not made]
+        lengths = np.fromiter((len(words[k]) for k in left), np.int64, len(left))
+        order = np.argsort(lengths, kind="stable")
+        cuts = np.searchsorted(lengths[order], [0, 5, 9, 13, 17, 25, 41, SHORT + 1])  # words of like length go together
+        for at in (order[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if a < b):
+            group, n, width = [left[k] for k in at.tolist()], lengths[at], int(lengths[at].max())
+            inside = np.arange(width) < n[:, None]
+            ids = np.zeros((len(group), width), np.int32)
+            ids[inside] = self.byte_ids[np.frombuffer(b"".join([words[k] for k in group]), np.uint8)]
+            rank, alive = np.full((len(group), width), never, np.int32), inside.copy()
+            both = inside[:, 1:]
+            rank[:, :-1][both] = rank_of(ids[:, :-1][both], ids[:, 1:][both])
+            after, before = np.tile(np.arange(1, width + 1), (len(group), 1)), np.tile(np.arange(-1, width - 1), (len(group), 1))
+            rows = np.arange(len(group))
+            while True:
+                i = rank[rows].argmin(axis=1)
+                least = rank[rows, i]
+                rows, i, least = rows[least < never], i[least < never], least[least < never]
+                if not len(rows):
+                    break
+                j = after[rows, i]
+                k = after[rows, j]
+                ids[rows, i], alive[rows, j], rank[rows, j], rank[rows, i], after[rows, i] = least, False, never, never, k
+                right = k < n[rows]
+                r, c, d = rows[right], i[right], k[right]
+                before[r, d] = c
+                rank[r, c] = rank_of(ids[r, c], ids[r, d])
+                p = before[rows, i]
+                r, c, d = rows[p >= 0], p[p >= 0], i[p >= 0]
+                rank[r, c] = rank_of(ids[r, c], ids[r, d])
+            flat, ends = ids[alive].tobytes(), np.cumsum(alive.sum(axis=1)) * 4
+            for word, a, b in zip(group, [0, *ends.tolist()], ends.tolist(), strict=False):
+                out[word] = flat[a:b]
+        return out
+
+    def learn(self, texts: list[str]) -> None:
+        """Takes the parts of some texts in, all that are new at once."""
+        if len(self.parts) > CACHE:
+            self.parts.clear()
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        split = [SPACE.split(t) for t in texts]
+        new = {p for parts in split for p in parts[1:]} - self.parts.keys()
+        words = [p for p in new if p.isalpha() and len(p) <= LONGEST]  # one pre-token each
+        found = {p: self.find.findall(" " + p) for p in new.difference(words)}
+        pieces = {x for f in found.values() for x in f}
+        pieces.update(x for parts in split for x in self.find.findall(parts[0]))
+        pieces = [x for x in pieces - self.cache.keys() if len(x) <= LONGEST]
+        ids = self.merge_many([(" " + p).encode() for p in words] + [x.encode() for x in pieces])
+        self.parts.update(zip(words, ids, strict=False))
+        self.cache.update(zip(pieces, ids[len(words) :], strict=True))
+        self.parts.update((p, b"".join(map(self.by_piece, f))) for p, f in found.items() if len(p) <= LONGEST)
+
     def by_pieces(self, text: str) -> bytes:
         """Ids of a text, as 32-bit numbers, from pre-token to pre-token."""
         return b"".join(map(self.by_piece, self.find.findall(text)))
@@ -114,8 +197,6 @@ class Vocabulary:
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids of a text, as 32-bit numbers."""
-        if len(self.parts) > CACHE:
-            self.parts.clear()
         first, *rest = SPACE.split(text)
         return b"".join([self.by_pieces(first), *map(self.parts.__getitem__, rest)])
 
@@ -141,6 +222,7 @@ def id_lists(lists: Iterable[list[int]]) -> pa.Array:
 
 def encoded(vocabulary: Vocabulary, texts: list[str]) -> pa.Array:
     """The ids of some texts as one Arrow column."""
+    vocabulary.learn(texts)
     found = list(map(vocabulary.encode_bytes, texts))
     offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))

@@ -34,7 +34,6 @@ class TokenTree:
         tree = cls(vocabulary, [""], [0])
         parts = SPACE.split(text)
         if max(map(len, parts)) <= LONGEST:
-            vocabulary.encode_bytes(text)  # all parts but the first are known then
             sizes = [len(vocabulary.by_pieces(parts[0])), *(len(vocabulary.parts[p]) for p in parts[1:])]
             leaves = [" " * (k > 0) + " ".join(parts[k : k + LEAF]) for k in range(0, len(parts), LEAF)]
         else:
@@ -132,7 +131,9 @@ def build(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, text):
-                trees = [TokenTree.build(shared.value, t or "") for t in b.column(text).to_pylist()]
+                texts = [t or "" for t in b.column(text).to_pylist()]
+                shared.value.learn(texts)
+                trees = [TokenTree.build(shared.value, t) for t in texts]
                 made = [pa.array([[len(x) for x in t.leaves] for t in trees], pa.list_(pa.int32())), pa.array([t.ids[t.size : t.size + len(t.leaves)] for t in trees], pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, "leaf_chars", "leaf_ids"])
 

@@ -63,6 +63,14 @@ def test_parts_begin_where_pre_tokens_do(reference):
             assert b"".join(map(words.by_piece, words.find.findall(text))) == words.encode_bytes(text)
 
 
+def test_merging_many_is_merging_each():
+    rng, words = random.Random(12), vocabulary()
+    letters = "".join(map(chr, range(32, 127))) + "éßñ中文😀\x00"
+    pieces = [b"", b"a", *("".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))).encode() for _ in range(800)), *(c * n for c in (b"a", b" ", b"ab") for n in (2, 63, 64, 65, 200))]
+    assert [np.frombuffer(x, np.int32).tolist() for x in words.merge_many(pieces)] == [list(words.merge(x)) if x else [] for x in pieces]
+    assert words.merge_many([]) == []
+
+
 def test_leaves_are_runs_of_pre_tokens(reference):
     """After any edits the leaves' edges are pre-token boundaries of the whole text, however short leaves are."""
     rng, words, leaf = random.Random(13), vocabulary(), edits.LEAF
