@@ -2,8 +2,8 @@
 
 A document is its set of word shingles; equal sets are one class. Shingles have one global order, rare ones first
 (any order gives the same result; a good one gives few candidates); two sets that are similar enough share a shingle within their prefixes. Classes with the same prefix and size are one
-group: group pairs are found and filtered by size and position, then expand to their members, which are verified on
-the whole sets.
+group: group pairs are found and filtered by size, by position, and by what the counts of their shingles in 64 bins
+allow them to share; then they expand to their members, which are verified on the whole sets.
 
 Groups of thousands of near copies would make the square of their number in pairs, of which components need few.
 So each shingle's bucket first links its groups to its most typical one (a star: as many pairs as members); what is
@@ -26,6 +26,8 @@ from flowbench.llm.components import connected_components
 
 #: Counters of the sketch that orders shingles, in blocks; they bound what every task is sent (8 bytes each).
 COUNTERS, BLOCK = 1 << 19, 1 << 12
+#: Sets beyond this size have no counts by bin (the counts are 16-bit numbers); groups of a shingle that meet in one task.
+MOST_COUNTED, TOGETHER = 1 << 19, 1 << 9
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -110,6 +112,11 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+def bins(h: np.ndarray) -> np.ndarray | None:
+    """How many of a set's hashes begin with each of the 64 runs of six bits."""
+    return np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=64).astype(np.int16) if len(h) <= MOST_COUNTED else None
+
+
 def sketch(docs: DataFrame, text: str, n: int) -> Order:
     """The order of shingles from counts over all documents: exact sums, in counters of bounded number."""
 
@@ -138,10 +145,13 @@ def sketch(docs: DataFrame, text: str, n: int) -> Order:
 
 
 def profiles(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
-    """docs with ``n_shingles``, ``class_id`` (128 bits of hash of the set), ``group_id`` (of prefix and size), ``prefix``, ``typical``."""
+    """docs with ``n_shingles``, ``class_id`` (128 bits of hash of the set), ``group_id`` (of prefix and size), ``prefix``, ``typical``, ``bins``.
+
+    ``bins`` counts the set's shingles by the first six bits of their hash.
+    """
     order = docs.sparkSession.sparkContext.broadcast(sketch(docs, text, n))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    names = ["n_shingles", "class_id", "group_id", "prefix", "typical"]
+    names = ["n_shingles", "class_id", "group_id", "prefix", "typical", "bins"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
@@ -153,12 +163,12 @@ def profiles(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
                     first = ranked[: prefix_length(len(h), percent)]
                     key = xxhash.xxh3_128_digest(h.tobytes())
                     group = xxhash.xxh3_128_digest(first.tobytes() + len(h).to_bytes(8, "little"))
-                    rows.append((len(h), key, group, first.astype(np.int64), float((order.value.common(h) > 0).mean()) if len(h) else 0.0))
-                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.float64()]
+                    rows.append((len(h), key, group, first.astype(np.int64), float((order.value.common(h) > 0).mean()) if len(h) else 0.0, bins(h)))
+                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.float64(), pa.list_(pa.int16())]
                 made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, f"{fields}, n_shingles long, class_id binary, group_id binary, prefix array<long>, typical double")
+    return docs.mapInArrow(run, f"{fields}, n_shingles long, class_id binary, group_id binary, prefix array<long>, typical double, bins array<short>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text: str, n: int, percent: int) -> DataFrame:
@@ -182,10 +192,11 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text: str, n: i
                     names=["class_id", "shingles"],
                 )
 
-    sets = saved(rows.mapInArrow(run, "class_id binary, shingles binary").join(small(asked), "class_id", "left_semi").dropDuplicates(["class_id"]))
-    both = pairs.join(sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("y")), "b"
-    )
+    # each pair's two sets meet once; of repeated rows any stands for all
+    sides = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("class_id"), F.lit(True).alias("left")), F.struct(F.col("b").alias("class_id"), F.lit(False).alias("left")))).alias("side"))
+    sides = small(saved(sides.select("a", "b", "side.*")))
+    sets = rows.mapInArrow(run, "class_id binary, shingles binary").join(sides, "class_id")
+    both = sets.groupBy("a", "b").agg(F.max(F.when(F.col("left"), F.col("shingles"))).alias("x"), F.max(F.when(~F.col("left"), F.col("shingles"))).alias("y"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,44 +207,68 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text: str, n: i
                 keep.append(100 * shared >= percent * (len(p) + len(q) - shared))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(test, "a binary, b binary")
+    return both.mapInArrow(test, "a binary, b binary")
 
 
 def close(a: Column, b: Column, at: Column, bt: Column, percent: int) -> Column:
     """Whether sets of these sizes that share a shingle at these positions (from 0) may be similar enough."""
-    needed = F.ceil((a + b) * percent / F.lit(100.0 + percent) - 1e-9)
-    return (a * 100 >= b * percent) & (b * 100 >= a * percent) & (F.least(a - at, b - bt) >= needed)
+    return (a * 100 >= b * percent) & (b * 100 >= a * percent) & (F.least(a - at, b - bt) >= needed(a, b, percent))
+
+
+def needed(a: Column, b: Column, percent: int) -> Column:
+    """The least number of shingles that similar sets of these sizes share."""
+    return F.ceil((a + b) * percent / F.lit(100.0 + percent) - 1e-9)
+
+
+def plausible(a: Column, b: Column, x: Column, y: Column, percent: int) -> Column:
+    """Whether sets of these sizes and counts by bin (null: unknown) may share so many: in no bin more than the smaller count."""
+    most = F.aggregate(F.zip_with(x, y, lambda p, q: F.least(p, q)), F.lit(0), lambda total, v: total + v)
+    return F.coalesce(most >= needed(a, b, percent), F.lit(True))
 
 
 def join_classes(found: DataFrame, docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
     """Rows ``class_id, root`` of the classes that links connect to others; found has the profiles of all documents."""
     full = found.where("n_shingles > 0")
-    reps = saved(full.groupBy("class_id").agg(F.min("_doc_id").alias("rep"), F.first("group_id").alias("group_id"), F.first("typical").alias("typical")))
-    groups = reps.groupBy("group_id").agg(F.max(F.struct("typical", "class_id")).alias("top"), F.count(F.lit(1)).alias("members"))
-    prefixes = saved(full.groupBy("group_id").agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix")))
+    reps = saved(full.groupBy("class_id").agg(F.min("_doc_id").alias("rep"), F.first("group_id").alias("group_id")))
+    # a group of several classes has no counts by bin: these belong to a class
+    one = F.min("class_id") == F.max("class_id")
+    groups = full.groupBy("group_id").agg(
+        F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.max(F.struct("typical", "class_id")).alias("top"), one.alias("one"), F.when(one, F.first("bins")).alias("bins")
+    )
+    groups = saved(groups)
     # shingles in the prefix of one group alone pair nothing: only narrow counts of them are shuffled
-    tokens = prefixes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token")
-    index = prefixes.select("group_id", "n", F.posexplode("prefix").alias("at", "token")).join(small(saved(tokens), 2_000_000), "token")
-    index = saved(index.join(groups, "group_id").select("token", "group_id", "n", "at", "top"))
-    # stars: every group of a bucket with the bucket's most typical class, and the members of a group with their own
-    tops = index.groupBy("token").agg(F.max(F.struct("top", "group_id", "n", "at")).alias("hub"))
-    rays = index.join(tops, "token").where(close(F.col("n"), F.col("hub.n"), F.col("at"), F.col("hub.at"), percent)).select("group_id", F.col("hub.top.class_id").alias("b")).distinct()
-    own = groups.where("members > 1").select("group_id", F.col("top.class_id").alias("b"))
-    members = reps.select("group_id", F.col("class_id").alias("a"))
-    pairs = members.join(rays.unionByName(own).distinct(), "group_id").where(F.col("a") != F.col("b"))
+    tokens = groups.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token")
+    index = groups.select("group_id", "n", F.col("top.typical").alias("typical"), F.posexplode("prefix").alias("at", "token")).join(small(saved(tokens), 1_000_000), "token")
+    index = saved(index.select("token", "group_id", "n", "at", "typical"))
+    # stars: every group of a bucket with the bucket's most typical one, and the members of a group with their own
+    tops = index.groupBy("token").agg(F.max(F.struct("typical", "group_id", "n", "at")).alias("hub"))
+    rays = index.join(tops, "token").where((F.col("group_id") != F.col("hub.group_id")) & close(F.col("n"), F.col("hub.n"), F.col("at"), F.col("hub.at"), percent))
+    rays = rays.select(F.col("group_id").alias("g"), F.col("hub.group_id").alias("h")).distinct()
+    left = groups.select(F.col("group_id").alias("g"), F.col("n").alias("n"), F.col("bins").alias("x"))
+    right = groups.select(F.col("group_id").alias("h"), F.col("n").alias("m"), F.col("bins").alias("y"), F.col("top.class_id").alias("b"))
+    rays = rays.join(left, "g").join(right, "h").where(plausible(F.col("n"), F.col("m"), F.col("x"), F.col("y"), percent)).select("g", "b")
+    own = groups.where(~F.col("one")).select(F.col("group_id").alias("g"), F.col("top.class_id").alias("b"))
+    members = reps.select(F.col("group_id").alias("g"), F.col("class_id").alias("a"))
+    pairs = members.join(rays.unionByName(own).distinct(), "g").where(F.col("a") != F.col("b"))
     pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     stars = saved(verified(pairs, docs, reps, text, n, percent))
     roots = connected_components(stars).withColumnRenamed("node", "class_id")
-    # the rest: pairs across components, of groups that may hold such
+    # the rest: pairs across components, of groups that may hold such, in buckets of more than one component
     state = saved(reps.select("class_id", "group_id").join(roots, "class_id", "left").select("class_id", "group_id", F.coalesce("root", "class_id").alias("root")))
-    whole = state.groupBy("group_id").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    placed = index.join(whole, "group_id").select("token", "group_id", "n", "at", "lo", "hi")
-    left, right = placed.alias("l"), placed.alias("r")
+    whole = saved(state.groupBy("group_id").agg(F.min("root").alias("lo"), F.max("root").alias("hi")))
+    mixed = index.select("token", "group_id").join(whole, "group_id").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("size"))
+    mixed = small(saved(mixed.where("lo < hi").select("token", F.ceil(F.col("size") / TOGETHER).cast("int").alias("parts"))))
+    placed = index.join(mixed, "token").join(whole, "group_id").join(groups.select("group_id", "bins"), "group_id")
+    placed = saved(placed.select("token", "parts", "group_id", "n", "at", "lo", "hi", "bins"))
+    # large buckets are dealt: each group on the left is in one part, on the right in all
+    left = placed.withColumn("part", F.pmod(F.xxhash64("group_id"), F.col("parts")).cast("int")).alias("l")
+    right = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("r")
     across = left.join(
         right,
-        (F.col("l.token") == F.col("r.token")) & (F.col("l.group_id") < F.col("r.group_id"))
+        (F.col("l.token") == F.col("r.token")) & (F.col("l.part") == F.col("r.part")) & (F.col("l.group_id") < F.col("r.group_id"))
         & ~((F.col("l.lo") == F.col("r.hi")) & (F.col("l.hi") == F.col("r.lo")))
-        & close(F.col("l.n"), F.col("r.n"), F.col("l.at"), F.col("r.at"), percent),
+        & close(F.col("l.n"), F.col("r.n"), F.col("l.at"), F.col("r.at"), percent)
+        & plausible(F.col("l.n"), F.col("r.n"), F.col("l.bins"), F.col("r.bins"), percent),
     ).select(F.col("l.group_id").alias("g"), F.col("r.group_id").alias("h")).distinct()
     within = whole.where(F.col("lo") < F.col("hi")).select(F.col("group_id").alias("g"), F.col("group_id").alias("h"))
     left = state.select(F.col("group_id").alias("g"), F.col("class_id").alias("a"), F.col("root").alias("p"))
