@@ -102,6 +102,83 @@ def test_leaks(spark):
     assert decontamination.leaks(table(spark, docs).limit(0), bench).count() == 0
 
 
+def weighed(words_, n=5):
+    return {tuple(words_[k : k + n]): sum(map(len, words_[k : k + n])) for k in range(len(words_) - n + 1)}
+
+
+def similarity(a, b):
+    x, y = weighed(a), weighed(b)
+    shared = sum(w for s, w in x.items() if s in y)
+    return shared / (sum(x.values()) + sum(y.values()) - shared) if x or y else 0.0
+
+
+def altered(rng, item):
+    """An item with words replaced, put in, taken out, cut off or its two parts swapped."""
+    e, kind = list(item), rng.randrange(5)
+    if kind == 0:
+        for _ in range(rng.choice([1, 2])):
+            e[rng.randrange(len(e))] = f"n{rng.randrange(9999)}"
+    elif kind == 1:
+        at = rng.randrange(len(e))
+        e[at:at] = [f"n{rng.randrange(9999)}" for _ in range(rng.choice([1, 2, 3]))]
+    elif kind == 2:
+        at = rng.randrange(len(e))
+        del e[at : at + rng.choice([1, 2])]
+    elif kind == 3:
+        cut = rng.randrange(1, 5)
+        e = e[cut:] if rng.random() < 0.5 else e[:-cut]
+    else:
+        at = rng.randrange(5, len(e) - 5)
+        e = e[at:] + e[:at]
+    return e
+
+
+@pytest.mark.parametrize(("radius", "least_recall"), [(decontamination.RADIUS, 0.95), (28, 1.0)])
+def test_windows_against_brute_force(spark, radius, least_recall):
+    """Of all windows of all texts: nothing is found that is not similar, and what is similar is found."""
+    rng = random.Random(21)
+    items = [words(rng, rng.randrange(18, 60)) for _ in range(8)]
+    docs = [(k, words(rng, 60)) for k in range(20)]
+    for k in range(420):
+        a, b = words(rng, rng.randrange(0, 50)), words(rng, rng.randrange(0, 50))
+        docs.append((100 + k, a + altered(rng, rng.choice(items)) + b))
+    truth = {}
+    for i, text in docs:
+        for j, item in enumerate(items):
+            n = len(item)
+            best = max(similarity(text[s : s + n], item) for s in range(max(1, len(text) - n + 1)))
+            if best >= 0.8:
+                truth[i, j] = best
+    bench = spark.createDataFrame([(j, " ".join(item)) for j, item in enumerate(items)], "item_id long, text string")
+    rows = decontamination.hits(table(spark, [(i, " ".join(t)) for i, t in docs]), bench, radius=radius)
+    keyed = table(spark, [(i, " ".join(t)) for i, t in docs]).select("doc_id", pii.text_key(F.col("text")))
+    found = {(r.doc_id, r.item_id): r for r in rows.join(keyed, "text_key").collect()}
+    assert len(truth) > 90 and set(found) <= set(truth) and len(found) >= least_recall * len(truth)
+    texts = dict(docs)
+    for (i, j), r in found.items():
+        assert r.similarity == pytest.approx(similarity(texts[i][r.start : r.start + r.n_words], items[j])) and r.hamming <= radius
+        assert r.similarity == pytest.approx(truth[i, j]) or radius < 28
+
+
+def test_unrelated_windows_seldom_meet():
+    """Rows of the block join for a pair of unrelated fingerprints, as blocks of equal bits give them."""
+    edges = [64 * k // (decontamination.RADIUS + 1) for k in range(decontamination.RADIUS + 2)]
+    assert sum(2.0 ** (a - b) for a, b in zip(edges, edges[1:], strict=False)) < 0.25
+
+
+def test_leaks_in_long_and_repeated_texts(spark):
+    rng = random.Random(22)
+    item = words(rng, 30)
+    long_ = words(rng, 30000) + item + words(rng, 200) + item
+    docs = [(1, " ".join(long_)), (2, " ".join(item * 3)), (2, " ".join(item * 3)), (3, " ".join(item[:29])), (None, " ".join(item)), (4, "\x00 " + " ".join(item).upper())]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(item)), (None, "a b"), (9, "")], "item_id long, text string")
+    own = table(spark, docs).withColumn("text_key", F.lit("mine")).withColumn("start", F.lit(0))
+    found = collections.Counter((r.doc_id, r.item_id, r.start) for r in decontamination.leaks(own, bench).collect())
+    assert found == {(i, j, s): n for i, s, n in ((1, 30000, 1), (2, 0, 2), (3, 0, 1), (None, 0, 1), (4, 0, 1)) for j in (7, 8)}
+    kept = decontamination.clean(own.unionByName(own.limit(1).withColumn("text", F.lit("clean"))), bench)
+    assert [r.text for r in kept.collect()] == ["clean"] and kept.columns == own.columns
+
+
 def test_blocks_guarantee_the_radius(spark):
     rng = random.Random(1)
     rows = []
