@@ -12,17 +12,22 @@ from pyspark.sql import functions as F
 ORDER_KEYS = ("id", "node_id", "edge_id", "label", "src_id", "dst_id")
 
 
+def place(item: dict) -> tuple:
+    """Where an object stands among others: by the text of its own first order key, those without one last, by all they hold."""
+    for key in ORDER_KEYS:
+        if key in item:
+            return 0, str(item[key]), []
+    return 1, "", sorted((k, str(v)) for k, v in item.items())
+
+
 def ordered(value: object) -> object:
     """The value with all its objects and lists of objects in order."""
     if isinstance(value, dict):
         return {k: ordered(value[k]) for k in sorted(value)}
     if not isinstance(value, list):
         return value
-    items = [ordered(v) for v in value]
-    if items and all(isinstance(v, dict) for v in items):
-        key = next((k for k in ORDER_KEYS if all(k in v for v in items)), None)
-        return sorted(items, key=(lambda v: str(v[key])) if key else (lambda v: str(sorted(v.items(), key=str))))
-    return items
+    items = sorted(value, key=place) if all(isinstance(v, dict) for v in value) else value
+    return [ordered(v) for v in items]
 
 
 def canonical_text(text: str | None) -> str | None:

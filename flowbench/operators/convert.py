@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowbench.functions.geometry import xyxy_to_xywh
-from flowbench.functions.text import file_stem, parse_mermaid_edges
+from flowbench.functions.text import file_stem, parse_mermaid_edges, stripped
 from flowbench.sources.readers import json, kind
 
 TEXT = "map<string,struct<x0:string,y0:string,x1:string,y1:string,mermaid_entity_i:string>>"
@@ -28,12 +28,11 @@ def convert_records(records: DataFrame, keys: list[str], record: str = "record")
     or from meta.links where it gives none. ``problem`` is null for a sound record.
     """
     rows = records.select(
-        *keys, F.get_json_object(record, "$.file").alias("file"), F.get_json_object(record, "$.mermaid").alias("mermaid"),
-        F.from_json(F.get_json_object(record, "$.meta.text"), TEXT).alias("text"), F.from_json(F.get_json_object(record, "$.meta.links"), LINKS).alias("links"),
-    )
+        *keys, F.from_json(record, f"file string, mermaid string, meta struct<text:{TEXT},links:{LINKS}>").alias("r")
+    ).select(*keys, "r.file", "r.mermaid", "r.meta.text", "r.meta.links")
     entries = F.transform(F.map_entries("text"), lambda e, i: F.struct(e["value"]["mermaid_entity_i"].try_cast("int").alias("id"), i.alias("i"), e["value"].alias("v")))
-    rows = rows.withColumn("entries", F.filter(entries, lambda e: e["id"].isNotNull()))
-    last = F.filter("entries", lambda e: ~F.exists("entries", lambda o: (o["id"] == e["id"]) & (o["i"] > e["i"])))
+    rows = rows.withColumn("entries", F.sort_array(F.filter(entries, lambda e: e["id"].isNotNull())))
+    last = F.filter("entries", lambda e, k: ~F.coalesce(F.get("entries", k + 1)["id"] == e["id"], F.lit(False)))
 
     def node(e: Column) -> Column:
         box = xyxy_to_xywh(*[e["v"][c].try_cast("double") for c in ("x0", "y0", "x1", "y1")])
@@ -45,15 +44,23 @@ def convert_records(records: DataFrame, keys: list[str], record: str = "record")
     rows = rows.select(*keys, "file", "mermaid", "text", F.array_sort(F.transform(last, node)).alias("nodes"), F.when(F.size(drawn) > 0, drawn).otherwise(linked).alias("edges"))
     ids = F.transform("nodes", lambda n: n["id"])
     problem = (
-        F.when(F.coalesce(F.trim("file"), F.lit("")) == "", "file_missing").when(F.col("text").isNull(), "text_missing").when(F.size("nodes") == 0, "no_nodes")
-        .when(F.coalesce(F.trim("mermaid"), F.lit("")) == "", "source_missing").when(F.size("edges") == 0, "no_edges")
+        F.when(F.coalesce(stripped(F.col("file")), F.lit("")) == "", "file_missing").when(F.col("text").isNull(), "text_missing").when(F.size("nodes") == 0, "no_nodes")
+        .when(F.coalesce(stripped(F.col("mermaid")), F.lit("")) == "", "source_missing").when(F.size("edges") == 0, "no_edges")
         .when(F.exists("edges", lambda e: ~F.array_contains(ids, e["u"]) | ~F.array_contains(ids, e["v"])), "dangling_edge")
     )
     return rows.select(*keys, file_stem(F.col("file")).alias("sample_id"), "file", "nodes", "edges", problem.alias("problem"))
 
 
-def convert_flowcharts(records: DataFrame, keys: list[str], images: DataFrame | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges and skipped records; in strict mode the first bad record is an error. images has ``keys, file``."""
+def convert_flowcharts(records: DataFrame, keys: list[str], images: DataFrame | None = None, strict: bool = False, split: str | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and skipped records; in strict mode the first bad record is an error. images has ``keys, file``.
+
+    split keeps records of one ``split``, limit the first of each list of ``keys`` by ``rec_pos``.
+    """
+    if split is not None:
+        records = records.where(F.col("split") == split)
+    if limit is not None:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("rec_pos"))
+        records = records.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
     rows = convert_records(records, keys)
     if images is not None:
         there = images.select(*keys, "file").distinct().withColumn("_there", F.lit(True))

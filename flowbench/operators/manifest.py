@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowbench.functions.text import file_stem
@@ -27,20 +27,31 @@ def snapshot_totals(files: DataFrame) -> DataFrame:
     return files.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("bytes"))
 
 
+def strings_in(value: Column) -> Column:
+    """All string values of a JSON text, decoded; names of fields are none. A text that is no JSON has none."""
+    token = F.lit(r'"((?:[^"\\]|\\.)*)"(\s*:)?')
+    found = F.zip_with(F.regexp_extract_all(value, token, F.lit(1)), F.regexp_extract_all(value, token, F.lit(2)), lambda s, colon: F.when(colon == "", s))
+    sound = F.when(F.try_parse_json(value).isNotNull(), F.array_compact(found))
+    return F.from_json(F.concat(F.lit('["'), F.array_join(sound, '","'), F.lit('"]')), "array<string>")
+
+
 def assign_snapshot_splits(images: DataFrame, splits: DataFrame) -> DataFrame:
     """``dataset, subset, sample_id, split``: membership of a raw snapshot's images by the strings in its split documents.
 
     images has ``dataset, subset, path``; splits ``dataset, subset, split, value`` (JSON). A string that ends in .png, or is
-    the stem of an image, names that image. Where nothing is named all is test; an empty test split is what train leaves.
+    the stem of an image, names the images with that stem, whatever their subset. Where a snapshot's documents name
+    nothing all is test; where no image is in test, what train leaves is. An image may be in both splits, or in none.
     """
     own = images.select("dataset", "subset", file_stem(F.col("path")).alias("stem")).distinct()
-    strings = F.regexp_extract_all("value", F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))
-    named = splits.select("dataset", "subset", "split", F.explode(strings).alias("s"))
-    stem = F.when(F.lower("s").endswith(".png"), file_stem(F.col("s"))).otherwise(F.col("s"))
-    named = named.select("dataset", "subset", "split", stem.alias("stem")).distinct().join(own, ["dataset", "subset", "stem"], "left_semi")
-    flags = named.groupBy("dataset", "subset", "stem").agg(F.bool_or(F.col("split") == "train").alias("train"), F.bool_or(F.col("split") == "test").alias("test"))
-    whole = named.groupBy("dataset", "subset").agg(F.bool_or(F.col("split") == "test").alias("any_test"))
-    rows = own.join(flags, ["dataset", "subset", "stem"], "left").join(whole, ["dataset", "subset"], "left")
-    train, test, any_test = (F.coalesce(c, F.lit(False)) for c in ("train", "test", "any_test"))
-    names = F.array_compact(F.array(F.when(train, "train"), F.when(F.when(any_test, test).otherwise(~train), "test")))
+    stems = own.select("dataset", "stem").distinct()
+    named = splits.where(F.col("split").isin("train", "test")).select("dataset", "split", F.explode(strings_in(F.col("value"))).alias("s"))
+    file = F.lower("s").endswith(".png")
+    files = named.where(file).select("dataset", "split", file_stem(F.col("s")).alias("stem"))
+    bare = named.where(~file).select("dataset", "split", F.col("s").alias("stem")).join(stems, ["dataset", "stem"], "left_semi")
+    flags = files.unionByName(bare).groupBy("dataset", "stem").agg(F.bool_or(F.col("split") == "train").alias("train"), F.bool_or(F.col("split") == "test").alias("test"))
+    rows = own.join(flags, ["dataset", "stem"], "left").select("dataset", "subset", "stem", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("train", "test")])
+    whole = rows.groupBy("dataset").agg(F.bool_or("test").alias("any_test"))
+    rows = rows.join(whole, "dataset")
+    in_test = F.when(F.col("any_test"), F.col("test")).otherwise(~F.col("train"))
+    names = F.array_compact(F.array(F.when(F.col("train"), "train"), F.when(in_test, "test")))
     return rows.select("dataset", "subset", F.concat_ws(":", "subset", "stem").alias("sample_id"), F.explode(names).alias("split"))

@@ -25,10 +25,12 @@ def last_of_id(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy(*keys, "node_id").agg(row).select(*keys, "node_id", "b.*")
 
 
-def match_candidates(gt_nodes: DataFrame, pred_nodes: DataFrame, alpha: float = 0.35) -> DataFrame:
+def match_candidates(gt_nodes: DataFrame, pred_nodes: DataFrame, alpha: float = 0.35, grid: bool = False) -> DataFrame:
     """Pairs whose centres are at most alpha ground-truth diagonals apart: ``predictor, dataset, sample_id, distance, pred_id, gt_id``.
 
-    An equi-join on the sample with the distance as residual; both sides are dealt by the sample once.
+    An equi-join on the sample with the distance as residual; both sides are dealt by the sample once. With ``grid``
+    the join is on the sample and a cell, as wide as the farthest that any match of the sample may be; a predicted node
+    looks into its own cell and those around it, so that large samples don't pair all their nodes.
     """
     if alpha <= 0:
         raise ValueError("alpha must be positive")
@@ -36,8 +38,15 @@ def match_candidates(gt_nodes: DataFrame, pred_nodes: DataFrame, alpha: float =
     pred = last_of_id(pred_nodes.repartition(*KEY)).select(*PRED_KEY, F.col("node_id").alias("pred_id"), *[F.col(c).alias(f"p{c}") for c in "xywh"])
     g, p = Box.of("g"), Box.of("p")
     (gx, gy), (px, py) = bbox_center(g), bbox_center(p)
-    distance = F.hypot(gx - px, gy - py)
-    return pred.join(gt, KEY).withColumn("distance", distance).where(F.col("distance") <= alpha * bbox_diag(g)).select(
+    distance, on = F.hypot(gx - px, gy - py), list(KEY)
+    if grid:
+        reach = gt.groupBy(*KEY).agg((alpha * F.max(bbox_diag(g))).alias("reach"))
+        cell = lambda c: F.when(F.col("reach") > 0, F.floor(c / F.col("reach"))).otherwise(F.lit(0))
+        around = lambda c: F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: c + k))
+        gt = gt.join(reach, KEY).withColumn("across", cell(gx)).withColumn("down", cell(gy)).drop("reach")
+        pred = pred.join(reach, KEY).withColumn("across", around(cell(px))).withColumn("down", around(cell(py))).drop("reach")
+        on += ["across", "down"]
+    return pred.join(gt, on).withColumn("distance", distance).where(F.col("distance") <= alpha * bbox_diag(g)).select(
         *PRED_KEY, "distance", "pred_id", "gt_id"
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowbench.functions.text import stripped
 from flowbench.operators.keys import KEY
 from flowbench.sources.readers import parse_edges, parse_nodes
 
@@ -30,10 +31,10 @@ def infer_graph_shape(graphs: DataFrame, value: str = "value") -> DataFrame:
 
 def node_display_label(nodes: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """``label`` of each node: its own, else that of the table, else its id, else ``node``; ``shown`` with the id below it."""
-    own = F.nullif(F.trim("label"), F.lit(""))
+    own = F.nullif(stripped(F.col("label")), F.lit(""))
     rows = nodes.select(*KEY, "node_id", own.alias("own"))
     if labels is not None:
-        rows = rows.join(labels.select(*KEY, F.col("node_id").cast("string").alias("node_id"), F.nullif(F.trim("label"), F.lit("")).alias("given")), [*KEY, "node_id"], "left")
+        rows = rows.join(labels.select(*KEY, F.col("node_id").cast("string").alias("node_id"), F.nullif(stripped(F.col("label")), F.lit("")).alias("given")), [*KEY, "node_id"], "left")
     else:
         rows = rows.withColumn("given", F.lit(None).cast("string"))
     label = F.coalesce("own", "given", F.nullif("node_id", F.lit("")), F.lit("node"))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowbench.operators.keys import KEY
-from flowbench.operators.pairs import FEATURES, node_pairs, pair_features
+from flowbench.operators.pairs import FEATURES, image_extent, node_pairs, pair_features
 
 NODE_SCHEMA = "predictor string, dataset string, sample_id string, pos int, node_id string, x double, y double, w double, h double"
 EDGE_SCHEMA = "predictor string, dataset string, sample_id string, pos int, source string, target string"
@@ -104,25 +104,24 @@ def python_predictor(function: Callable[[dict], dict], graphs: DataFrame, name:
     """A Python function on one sample (a dict with its key and node list) that returns nodes and edges.
 
     graphs has a row a sample with ``nodes``, an array of structs; the function runs once a sample, batch by batch.
+    What it gives is written to the checkpoint folder, or kept in memory and on disk where there is none.
     """
 
-    def nodes_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for r in frame.to_dict("records"):
-                for k, n in enumerate(function(r)["nodes"]):
-                    rows.append((name, r["dataset"], r["sample_id"], k, str(n["id"]), *map(float, n["bbox"])))
-            yield pd.DataFrame(rows, columns=NODES)
+                found = function(r)
+                nodes = [(k, str(n["id"]), *map(float, n["bbox"])) for k, n in enumerate(found["nodes"])]
+                edges = [(k, str(e["source"]), str(e["target"])) for k, e in enumerate(found["edges"])]
+                rows.append((r["dataset"], r["sample_id"], [dict(zip(NODES[3:], n, strict=True)) for n in nodes], [dict(zip(EDGES[3:], e, strict=True)) for e in edges]))
+            yield pd.DataFrame(rows, columns=[*KEY, "nodes", "edges"])
 
-    def edges_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for r in frame.to_dict("records"):
-                for k, e in enumerate(function(r)["edges"]):
-                    rows.append((name, r["dataset"], r["sample_id"], k, str(e["source"]), str(e["target"])))
-            yield pd.DataFrame(rows, columns=EDGES)
-
-    return graphs.mapInPandas(nodes_of, NODE_SCHEMA), graphs.mapInPandas(edges_of, EDGE_SCHEMA)
+    node, edge = (", ".join(f"{c.split()[0]}:{c.split()[1]}" for c in schema.split(", ")[3:]) for schema in (NODE_SCHEMA, EDGE_SCHEMA))
+    made = graphs.mapInPandas(run, f"dataset string, sample_id string, nodes array<struct<{node}>>, edges array<struct<{edge}>>")
+    made = made.checkpoint() if graphs.sparkSession.sparkContext.getCheckpointDir() else made.persist()
+    each = lambda c: made.select(F.lit(name).alias("predictor"), *KEY, F.explode(c).alias("x")).select("predictor", *KEY, "x.*")
+    return each("nodes"), each("edges")
 
 
 PREDICTORS: dict[str, Callable] = {
@@ -135,3 +134,17 @@ def get_predictor(name: str) -> Callable:
     if name not in PREDICTORS:
         raise ValueError(f"no predictor {name!r}; there are {', '.join(sorted(PREDICTORS))}")
     return PREDICTORS[name]
+
+
+def predict(name: str, nodes: DataFrame, edges: DataFrame, sizes: DataFrame | None = None, model: Model | None = None) -> tuple[DataFrame, DataFrame]:
+    """Predictions of the predictor of this name from the ground truth; sizes are those of the graphs unless given."""
+    function = get_predictor(name)
+    if name == "oracle":
+        return function(nodes, edges)
+    if name == "naive":
+        return function(image_extent(nodes) if sizes is None else sizes)
+    if name == "heuristic":
+        return function(nodes)
+    if model is None:
+        raise ValueError("the learned predictor needs a model")
+    return function(nodes, model, sizes)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowbench.functions.text import stripped
 from flowbench.operators.keys import KEY
 from flowbench.sources.readers import json, kind
 
@@ -22,7 +23,7 @@ def validate_graphs(rows: DataFrame, keys: list[str] = KEY, value: str = "value"
     none = F.lit(-1)
 
     def bad(name: str, field: str) -> Column:
-        spots = F.transform(lists[name], lambda n, i: F.when(F.coalesce((kind(n, f"$.{field}") == "STRING") & (F.trim(F.try_variant_get(n, f"$.{field}", "string")) != ""), F.lit(False)), F.lit(None).cast("int")).otherwise(i))
+        spots = F.transform(lists[name], lambda n, i: F.when(F.coalesce((kind(n, f"$.{field}") == "STRING") & (stripped(F.try_variant_get(n, f"$.{field}", "string")) != ""), F.lit(False)), F.lit(None).cast("int")).otherwise(i))
         return F.transform(F.array_compact(spots), lambda i: code(f"{name}_{field}", i))
 
     whole = F.array_compact(F.array(

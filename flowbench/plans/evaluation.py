@@ -92,7 +92,9 @@ def q_nearest_right_down(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_pair_features(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(pairs.pair_features(T.gt_nodes(spark, d)).drop("src_pos", "dst_pos"))
+    """Ties at the sixth decimal are rounded up in both engines."""
+    found = pairs.pair_features(T.gt_nodes(spark, d)).drop("src_pos", "dst_pos")
+    return found.select(*[(F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes])
 
 
 def q_image_extent(spark: SparkSession, d: str) -> DataFrame:
@@ -171,14 +173,15 @@ _FEATURE_SQL = {
     "is_nearest_right_neighbor": "CASE WHEN nearest_right THEN 1.0 ELSE 0.0 END", "is_nearest_down_neighbor": "CASE WHEN nearest_down THEN 1.0 ELSE 0.0 END",
 }
 _FEATURES = ", ".join(f"round(CAST({e} AS DOUBLE), 6) AS {n}" for n, e in _FEATURE_SQL.items())
+_FEATURES_UP = ", ".join(f"floor(CAST({e} AS DOUBLE) * 1e6 + 0.5) / 1e6 AS {n}" for n, e in _FEATURE_SQL.items())
 _Z = " + ".join([f"({MODEL.intercept})", *(f"({c}) * CAST({e} AS DOUBLE)" for c, e in zip(MODEL.coef, _FEATURE_SQL.values(), strict=True))])
 SCORED = f"sc AS (SELECT *, 1 / (1 + exp(-z)) AS score FROM (SELECT *, {_Z} AS z FROM rk JOIN ext USING (dataset, sample_id)))"
 LEARNED = f"{SCORED}, le AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset, sample_id, src ORDER BY score DESC, dst_pos) AS place FROM sc WHERE score >= 0.5) WHERE place <= 2)"
 HEURISTIC = """
 hs AS (SELECT *, abs(dy) AS rise, euclidean + CASE WHEN dx >= 20 THEN 0 ELSE 80 END + CASE WHEN dy < -20 THEN 120 ELSE 0 END AS score FROM pr WHERE dx >= 20 OR dy >= 30),
 hr AS (SELECT *, row_number() OVER (PARTITION BY dataset, sample_id, src ORDER BY score, rise, dx DESC, dst) AS place FROM hs),
-he AS (SELECT a.* FROM hr a JOIN hr b ON a.dataset = b.dataset AND a.sample_id = b.sample_id AND a.src = b.src AND b.place = 1
-  WHERE a.place = 1 OR (a.place = 2 AND a.score <= b.score + 80 AND abs(a.rise - b.rise) >= 40))
+he AS (SELECT * FROM (SELECT *, first_value(score) OVER best AS s1, first_value(rise) OVER best AS r1 FROM hr WINDOW best AS (PARTITION BY dataset, sample_id, src ORDER BY place))
+  WHERE place = 1 OR (place = 2 AND score <= s1 + 80 AND abs(rise - r1) >= 40))
 """
 
 
@@ -236,7 +239,7 @@ SQLS = {
     "label_pairs": f"{P}, g AS (SELECT DISTINCT dataset, sample_id, source, target FROM gt_edges) SELECT p.dataset, p.sample_id, src, dst, CASE WHEN g.source IS NULL THEN 0 ELSE 1 END AS label FROM pr p LEFT JOIN g ON g.dataset = p.dataset AND g.sample_id = p.sample_id AND g.source = src AND g.target = dst",
     "rank_features": f"{P} SELECT {_K}, rank_distance, rank_dx, rank_dy, candidates FROM rk",
     "nearest_right_down": f"{P} SELECT {_K}, nearest_right, nearest_down FROM rk",
-    "pair_features": f"{P} SELECT {_K}, {_FEATURES} FROM rk JOIN ext USING (dataset, sample_id)",
+    "pair_features": f"{P} SELECT {_K}, {_FEATURES_UP} FROM rk JOIN ext USING (dataset, sample_id)",
     "image_extent": f"{P} SELECT * FROM ext",
     "bbox_geometry": f"""{P} SELECT {_K}, sx + sw / 2 AS center_x, sy + sh / 2 AS center_y, round(sqrt(sw * sw + sh * sh), 6) AS diag, sw * sh AS area,
         round(CASE WHEN u > 0 THEN i / u ELSE 0 END, 6) AS iou, round({_FEATURE_SQL['vertical_overlap_ratio']}, 6) AS vertical_overlap,

@@ -81,7 +81,7 @@ def q_node_display_label(spark: SparkSession, d: str) -> DataFrame:
 
 def q_to_identifier(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "part")
-    label = F.when(F.col("p_size") % 5 == 0, F.concat(F.col("p_size").cast("string"), "p_name")).when(F.col("p_size") % 7 == 0, "###").otherwise(F.concat_ws(" -_ ", "p_brand", "p_name"))
+    label = F.when(F.col("p_size") % 5 == 0, F.concat(F.col("p_size").cast("string"), "p_name")).when(F.col("p_size") % 7 == 0, "###").when(F.col("p_size") % 7 == 1, F.concat(F.lit("\t \n"), F.col("p_name"), F.lit("\u00a0"))).otherwise(F.concat_ws(" -_ ", "p_brand", "p_name"))
     return p.select("p_partkey", X.to_identifier(label, F.lit("node")).alias("identifier"))
 
 
@@ -229,8 +229,22 @@ def q_convert_minimal(spark: SparkSession, d: str) -> DataFrame:
 # --- graphs ----------------------------------------------------------------------------------------------------------
 
 
-def sparse_edges(spark: SparkSession, d: str) -> DataFrame:
-    return T.gt_edges(spark, d).where("pos % 4 > 0")
+def crossed_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges against the order of ids, some of which close cycles: the skips are turned, of the steps those from odd nodes stay."""
+    turned = F.col("pos") % 4 == 1
+    edges = T.gt_edges(spark, d).where("pos % 4 > 0 OR floor(pos / 4) % 2 = 1")
+    return edges.select(*KEY, "pos", F.when(turned, F.col("target")).otherwise(F.col("source")).alias("source"), F.when(turned, F.col("source")).otherwise(F.col("target")).alias("target"))
+
+
+#: The smallest node that is ready, again and again; what is left waits for itself.
+TOPO = f"""WITH RECURSIVE {SQL}, se AS (SELECT dataset, sample_id, CAST(CASE WHEN pos % 4 = 1 THEN target ELSE source END AS BIGINT) AS a, CAST(CASE WHEN pos % 4 = 1 THEN source ELSE target END AS BIGINT) AS b
+  FROM gt_edges WHERE pos % 4 > 0 OR (pos // 4) % 2 = 1),
+ns AS (SELECT {K}, list(CAST(node_id AS BIGINT) ORDER BY CAST(node_id AS BIGINT)) AS ids FROM gt_nodes GROUP BY ALL), es AS (SELECT {K}, list([a, b]) AS ab FROM se GROUP BY ALL),
+st AS (SELECT {K}, ids, coalesce(ab, []) AS ab, CAST([] AS BIGINT[]) AS placed, CAST(NULL AS BIGINT) AS node FROM ns LEFT JOIN es USING ({K})
+  UNION ALL SELECT {K}, ids, ab, list_append(placed, nx), nx FROM (SELECT *, list_min(list_filter(ids, lambda i: NOT list_contains(placed, i) AND len(list_filter(ab, lambda e: e[2] = i AND NOT list_contains(placed, e[1]))) = 0)) AS nx FROM st) WHERE nx IS NOT NULL),
+dg AS (SELECT {K}, max(len(placed)) = any_value(len(ids)) AS is_dag FROM st GROUP BY ALL),
+tp AS (SELECT {K}, node AS node_id, len(placed) - 1 AS ord, true AS is_dag FROM st JOIN dg USING ({K}) WHERE is_dag AND node IS NOT NULL
+  UNION ALL SELECT {K}, CAST(node_id AS BIGINT), pos, false FROM gt_nodes JOIN dg USING ({K}) WHERE NOT is_dag)"""
 
 
 # --- contours --------------------------------------------------------------------------------------------------------
@@ -316,12 +330,16 @@ def q_verify_manifest_deep(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_assign_snapshot_splits(spark: SparkSession, d: str) -> DataFrame:
-    o = read(spark, d, "orders").select("o_orderkey", F.concat(F.lit("b"), (F.col("o_orderkey") % 4).cast("string")).alias("subset"))
-    images = o.select(F.lit("snap").alias("dataset"), "subset", F.concat(F.lit("x/i"), F.col("o_orderkey").cast("string"), F.lit(".png")).alias("path"))
+    snap = F.when(F.col("o_orderkey") % 4 == 3, "bare").when(F.col("o_orderkey") % 4 == 2, "train only").otherwise("both").alias("dataset")
+    o = read(spark, d, "orders").select("o_orderkey", F.concat(F.lit("b"), (F.col("o_orderkey") % 8).cast("string")).alias("subset"), snap)
+    images = o.select("dataset", "subset", F.concat(F.lit("x/i"), F.col("o_orderkey").cast("string"), F.lit(".png")).alias("path"))
     name = F.concat(F.lit('"i'), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, '.png"').otherwise('"'))
-    part = lambda split, c: o.where(c).groupBy(F.lit("snap").alias("dataset"), "subset", F.floor(F.col("o_orderkey") / 50).alias("g")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(name), ","), F.lit("]")).alias("value")).select("dataset", "subset", F.lit(split).alias("split"), "value")
-    splits = part("train", "o_orderkey % 4 < 3 AND o_orderkey % 7 < 4").unionByName(part("test", "o_orderkey % 4 = 0 AND o_orderkey % 7 > 3"))
-    return manifest.assign_snapshot_splits(images, splits).select("subset", "sample_id", "split")
+    # names of fields name no image; strings are decoded; a list in another subset counts too
+    name = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit('{"i'), (F.col("o_orderkey") + 1).cast("string"), F.lit('.png": ['), F.replace(name, F.lit("i"), F.lit("\\u0069")), F.lit(', "no such", 7, null]}'))).otherwise(name)
+    part = lambda split, c: o.where(c).groupBy("dataset", F.lit("b0").alias("subset"), F.floor(F.col("o_orderkey") / 50).alias("g")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(name), ","), F.lit("]")).alias("value")).select("dataset", "subset", F.lit(split).alias("split"), "value")
+    broken = o.select("dataset", "subset", F.lit("test").alias("split"), F.concat(F.lit('["i'), F.col("o_orderkey").cast("string"), F.lit('.png",')).alias("value"))
+    splits = part("train", "o_orderkey % 4 < 3 AND o_orderkey % 7 < 4").unionByName(part("test", "o_orderkey % 4 = 0 AND o_orderkey % 7 > 2")).unionByName(broken)
+    return manifest.assign_snapshot_splits(images, splits).select("dataset", "subset", "sample_id", "split")
 
 
 def q_file_names(spark: SparkSession, d: str) -> DataFrame:
@@ -376,28 +394,28 @@ QUERIES = {
     "validate_dataset_meta": lambda s, d: validate.validate_dataset_meta(meta_docs(s, d), ["s_suppkey"]),
     "validate_manifest": lambda s, d: validate.validate_manifest(manifest_docs(s, d), ["s_suppkey"]),
     "read_manifests": lambda s, d: readers.parse_manifests(manifest_docs(s, d), ["s_suppkey"]).fillna(-1, ["bytes"]),
-    "drop_invalid": lambda s, d: validate.drop_invalid(T.samples(s, d), validate.validate_graphs_strict(*bad_graph(s, d)))[0],
+    "drop_invalid": lambda s, d: validate.drop_invalid(T.samples(s, d), q_validate_graphs(s, d))[0],
     "dangling_edges": lambda s, d: S.dangling_edges(bad_graph(s, d)[1], bad_graph(s, d)[0]),
     "resolve_samples": lambda s, d: S.resolve_samples(*order_files(s, d)), "validate_pairs": lambda s, d: S.validate_pairs(*order_files(s, d)[:2]),
     "validate_splits": lambda s, d: S.validate_splits(order_files(s, d)[2], S.resolve_samples(*order_files(s, d))),
     "select_split": lambda s, d: S.select_split(T.samples(s, d), limit=20),
     "images_dir_rule": lambda s, d: S.images_dir_rule(S.resolve_samples(*order_files(s, d)), order_files(s, d)[0].where("dataset <> 'ds_1'").select("dataset", "path")),
-    "raw_only_guard": lambda s, d: S.raw_only_guard(read(s, d, "documents").select(F.col("source").alias("dataset"), F.when(F.col("doc_id") % 9 == 0, "dataset.json").otherwise(F.concat(F.lit("raw/"), F.col("doc_id").cast("string"))).alias("path"))),
+    "raw_only_guard": lambda s, d: S.raw_only_guard(read(s, d, "documents").select(F.concat(F.lit("d"), F.floor(F.col("doc_id") / 3).cast("string")).alias("dataset"), F.when(F.length("text") % 3 == 0, "dataset.json").when(F.length("text") % 3 == 1, "readme.txt").otherwise(F.concat(F.lit("raw/"), F.col("doc_id").cast("string"))).alias("path"))),
     "read_results": lambda s, d: readers.parse_results(run_docs(s, d)).where("problem IS NOT NULL").select("path", "problem"),
     "write_results": lambda s, d: writers.result_documents(runs(s, d).drop("k"), {"timestamp_utc": F.lit("2026-01-01T00:00:00Z"), "git_sha": F.lit(None)}),
     "leaderboard": lambda s, d: results.leaderboard(valid(s, d)), "leaderboard_markdown": lambda s, d: results.leaderboard_markdown(results.leaderboard(valid(s, d))),
     "result_summary": lambda s, d: results.result_summary(valid(s, d)).select("schema_version", "dataset", "split", "predictor", "num_samples", F.size("metrics").cast("long").alias("n_metrics"), F.element_at("run", "timestamp_utc").alias("timestamp_utc")),
     "validate_results": lambda s, d: results.validate_results(valid(s, d)),
-    "read_split_records": lambda s, d: readers.parse_records(record_lists(s, d), ["list_id"], 20).select("list_id", *long("rec_pos"), F.get_json_object("record", "$.file").alias("file")),
+    "read_split_records": lambda s, d: readers.parse_records(record_lists(s, d), ["list_id"]).select("list_id", *long("rec_pos"), F.get_json_object("record", "$.file").alias("file")),
     "has_graph_supervision": lambda s, d: validate.has_graph_supervision(readers.parse_records(record_lists(s, d).withColumn("value", F.when(F.col("list_id") % 3 == 0, F.replace("value", F.lit("flowchart"), F.lit("drawing"))).otherwise(F.col("value"))), ["list_id"]), ["list_id"]),
     "convert_simflowchart": lambda s, d: converted(s, d)[0].select(*KEY, *long("pos"), "node_id", *long("x", "y", "w", "h")),
     "parse_mermaid_edges": lambda s, d: converted(s, d)[1].select(*KEY, *long("pos"), "source", "target"),
     "links_to_edges": lambda s, d: converted(s, d)[1].where("sample_id % 5 = 0").select(*KEY, "source", "target"),
     "convert_skipped": lambda s, d: converted(s, d)[2], "convert_minimal": q_convert_minimal,
     "xyxy_to_xywh": lambda s, d: read(s, d, "lineitem").select("l_orderkey", *[c.alias(n) for n, c in xyxy_to_xywh(F.col("l_quantity") / 2, F.col("l_partkey") / 4, F.col("l_quantity") / 2 + F.col("l_suppkey") / 4 - 5, F.col("l_partkey") / 2).items()]),
-    "topo_order": lambda s, d: graphs.topo_order(T.gt_nodes(s, d), sparse_edges(s, d)).select(*KEY, "node_id", *long("ord"), "is_dag"),
-    "topo_layers": lambda s, d: graphs.topo_layers(T.gt_nodes(s, d), sparse_edges(s, d)).select(*KEY, "node_id", *long("layer"), "x", "y"),
-    "program_text": lambda s, d: graphs.program_text(T.gt_nodes(s, d), sparse_edges(s, d), labels(s, d)),
+    "topo_order": lambda s, d: graphs.topo_order(T.gt_nodes(s, d), crossed_edges(s, d)).select(*KEY, "node_id", *long("ord"), "is_dag"),
+    "topo_layers": lambda s, d: graphs.topo_layers(T.gt_nodes(s, d), crossed_edges(s, d)).select(*KEY, "node_id", *long("layer"), "x", "y"),
+    "program_text": lambda s, d: graphs.program_text(T.gt_nodes(s, d), crossed_edges(s, d), labels(s, d)),
     "graph_summary": lambda s, d: graphs.graph_summary(T.gt_nodes(s, d), T.gt_edges(s, d)), "graph_extent": lambda s, d: graphs.graph_extent(T.gt_nodes(s, d)),
     "reading_order": lambda s, d: graphs.reading_order(T.gt_nodes(s, d)).select(*KEY, "node_id", *long("place")),
     "dedupe_edges": lambda s, d: graphs.dedupe_edges(T.gt_edges(s, d)).select(*KEY, "source", "target", *long("pos")),
@@ -443,7 +461,7 @@ SQLS = {
     "read_labels": f"{LABELS} SELECT {K}, n AS node_id, label FROM lb",
     "node_display_label": f"""{LABELS} SELECT {K}, node_id, CASE WHEN n % 3 = 0 THEN 'own' WHEN n % 2 = 0 THEN coalesce(label, node_id) ELSE node_id END AS label,
  CASE WHEN n % 3 = 0 THEN 'own' || chr(10) || '[' || node_id || ']' WHEN n % 2 = 0 AND label IS NOT NULL THEN label || chr(10) || '[' || node_id || ']' ELSE node_id END AS shown FROM (SELECT *, pos + 1 AS n FROM gt_nodes) LEFT JOIN lb USING ({K}, n)""",
-    "to_identifier": f"SELECT p_partkey, {ident('label', repr('node'))} AS identifier FROM (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN p_size || p_name WHEN p_size % 7 = 0 THEN '###' ELSE p_brand || ' -_ ' || p_name END AS label FROM part)",
+    "to_identifier": f"SELECT p_partkey, {ident('label', repr('node'))} AS identifier FROM (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN p_size || p_name WHEN p_size % 7 = 0 THEN '###' WHEN p_size % 7 = 1 THEN p_name ELSE p_brand || ' -_ ' || p_name END AS label FROM part)",
     "resolve_labels": f"{LABELS}, q AS (SELECT *, CAST(sample_id AS BIGINT) % 3 AS k FROM lb) SELECT {K}, n AS node_id, label, CASE WHEN k = 0 AND has THEN 'explicit' WHEN k <= 1 THEN 'export' ELSE 'ocr' END AS source FROM (SELECT *, bool_or(n = 1) OVER (PARTITION BY {K}) AS has FROM q) WHERE NOT (k = 0 AND has AND n <> 1)",
     "labels_template": f"""{WITH} SELECT {K}, '{{' || string_agg('"' || node_id || '":""', ',' ORDER BY pos) || '}}' AS template FROM gt_nodes GROUP BY ALL""",
     "validate_graphs": f"""{WITH}, q AS (SELECT *, CAST(sample_id AS BIGINT) % 7 AS k FROM samples) SELECT {K}, 'invalid_json' AS code, CAST(-1 AS BIGINT) AS item_pos FROM q WHERE k = 0 UNION ALL SELECT {K}, unnest(['nodes_missing', 'edges_missing']), -1 FROM q WHERE k = 1
@@ -453,34 +471,35 @@ SQLS = {
     "validate_dataset_meta": "SELECT s_suppkey, unnest(CASE s_suppkey % 7 WHEN 0 THEN ['not_object'] WHEN 1 THEN ['schema_version_missing'] WHEN 2 THEN ['schema_version_type'] WHEN 3 THEN ['schema_version_unsupported', 'name_type'] WHEN 4 THEN ['not_object'] ELSE [] END) AS code FROM supplier",
     "validate_manifest": "SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'schema_version' WHEN 1 THEN 'missing_key' ELSE 'artifact_key' END AS code FROM supplier WHERE s_suppkey % 6 < 3",
     "read_manifests": "SELECT s_suppkey, s_name AS name, '1' AS version, 'u' || s_suppkey AS url, 's' AS sha256, s_suppkey AS bytes, 'p' AS local_path FROM supplier WHERE s_suppkey % 6 <> 1 UNION ALL SELECT s_suppkey, s_name, '1', 'v', 't', CASE WHEN s_suppkey % 6 <> 2 THEN 2 ELSE -1 END, 'q' FROM supplier WHERE s_suppkey % 6 <> 1",
-    "drop_invalid": f"{BAD} SELECT * FROM samples WHERE ({K}) NOT IN (SELECT ({K}) FROM bi WHERE n > 1 OR flat UNION SELECT ({K}) FROM be WHERE source = target OR ({K}, target) NOT IN (SELECT ({K}, node_id) FROM bi))",
+    "drop_invalid": f"{WITH} SELECT * FROM samples WHERE CAST(sample_id AS BIGINT) % 7 > 3 OR CAST(sample_id AS BIGINT) % 7 = 2 AND ({K}) NOT IN (SELECT ({K}) FROM gt_edges)",
     "dangling_edges": f"{BAD} SELECT DISTINCT {K}, source, target FROM be WHERE ({K}, target) NOT IN (SELECT ({K}, node_id) FROM bi)",
     "resolve_samples": f"{FILES} SELECT im.dataset, im.sample_id, 'images/' || im.k || '.png' AS image_path, 'graphs/' || im.k || '.json' AS graph_path, coalesce((SELECT arg_max(split, ord) FROM sp WHERE sp.sample_id = im.sample_id), 'all') AS split FROM im JOIN gr USING (k)",
     "validate_pairs": f"{FILES} SELECT {K}, CASE WHEN k % 13 = 0 THEN 'missing_graph' ELSE 'missing_image' END AS code FROM o WHERE (k % 11 = 0) <> (k % 13 = 0)",
     "validate_splits": f"{FILES} SELECT {K}, 'unknown_sample' AS code FROM o WHERE k % 10 < 9 AND (k % 11 = 0 OR k % 13 = 0) UNION ALL SELECT {K}, 'several_splits' FROM o WHERE k % 10 = 6",
     "select_split": f"{WITH} SELECT {K}, split FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY sample_id) AS r FROM samples WHERE split = 'test') WHERE r <= 20",
     "images_dir_rule": "SELECT DISTINCT 'ds_1' AS dataset FROM orders WHERE o_orderkey % 3 = 1 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0",
-    "raw_only_guard": "SELECT source AS dataset FROM documents GROUP BY source HAVING bool_or(doc_id % 9 <> 0) AND NOT bool_or(doc_id % 9 = 0)",
+    "raw_only_guard": "SELECT 'd' || (doc_id // 3) AS dataset FROM documents GROUP BY doc_id // 3 HAVING bool_or(coalesce(length(text) % 3, 2) = 2) AND NOT bool_or(coalesce(length(text) % 3, 2) = 0)",
     "read_results": f"{RUNS} SELECT predictor AS path, CASE k % 17 WHEN 0 THEN 'no object' WHEN 1 THEN 'missing keys' WHEN 2 THEN 'schema version' ELSE 'unknown keys' END AS problem FROM r WHERE k % 17 < 4",
     "write_results": f"""{RUNS} SELECT dataset, split, predictor, '{{"schema_version":"1.1","dataset":"' || dataset || '","split":"' || split || '","predictor":"' || predictor || '","num_samples":' || num_samples || ',"metrics":{{' || rtrim({_METRIC_JSON}, ',') || '}},"run":{{"timestamp_utc":"2026-01-01T00:00:00Z"}}}}' AS document FROM r""",
     "leaderboard": f"{RUNS}{BOARD} SELECT {_BOARD} FROM v",
     "leaderboard_markdown": f"{RUNS}{BOARD} SELECT '| ' || " + " || ' | ' || ".join(f"coalesce(replace(CAST({c} AS VARCHAR), '|', '\\|'), '')" for c in results.LEADERBOARD) + " || ' |' AS line FROM v",
     "result_summary": f"{RUNS}{BOARD} SELECT schema_version, dataset, split, predictor, CAST(num_samples AS VARCHAR) AS num_samples, CAST((exact_match_rate IS NOT NULL)::INT + 3 + (node_f1 IS NOT NULL)::INT + (edge_count_error IS NOT NULL)::INT AS BIGINT) AS n_metrics, timestamp_utc FROM v",
     "validate_results": f"{RUNS}{BOARD} SELECT dataset, split, predictor, 'missing_metric' AS code FROM v WHERE exact_match_rate IS NULL OR node_f1 IS NULL UNION ALL SELECT dataset, split, predictor, 'num_samples' FROM v WHERE num_samples < 0",
-    "read_split_records": "SELECT l_orderkey // 100 AS list_id, r AS rec_pos, l_orderkey || '.jpeg' AS file FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey // 100 ORDER BY l_orderkey) - 1 AS r FROM (SELECT DISTINCT l_orderkey FROM lineitem)) WHERE r < 20",
+    "read_split_records": "SELECT l_orderkey // 100 AS list_id, r AS rec_pos, l_orderkey || '.jpeg' AS file FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey // 100 ORDER BY l_orderkey) - 1 AS r FROM (SELECT DISTINCT l_orderkey FROM lineitem))",
     "has_graph_supervision": "SELECT DISTINCT l_orderkey // 100 AS list_id, (l_orderkey // 100) % 3 <> 0 AS supervised FROM lineitem",
     "convert_simflowchart": f"{WITH} SELECT {K}, pos, node_id, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(w AS BIGINT) AS w, CAST(h AS BIGINT) AS h FROM gt_nodes SEMI JOIN gt_edges USING ({K})",
     "parse_mermaid_edges": f"{WITH} SELECT {K}, idx AS pos, source, target FROM {_EDGE}", "links_to_edges": f"{WITH} SELECT {K}, source, target FROM gt_edges WHERE CAST(sample_id AS BIGINT) % 5 = 0",
     "convert_skipped": f"{WITH} SELECT dataset, sample_id || '.jpeg' AS file, 'no_edges' AS problem FROM samples ANTI JOIN gt_edges USING ({K})",
     "convert_minimal": f"{WITH} SELECT {K}, n AS n_nodes, coalesce(m, 0) AS n_edges, CASE WHEN CAST(sample_id AS BIGINT) % 4 = 0 THEN 'image' WHEN CAST(sample_id AS BIGINT) % 4 = 1 AND m > 0 THEN 'edge' END AS problem FROM (SELECT {K}, count(*) AS n FROM gt_nodes GROUP BY ALL) LEFT JOIN (SELECT {K}, count(*) AS m FROM gt_edges GROUP BY ALL) USING ({K})",
     "xyxy_to_xywh": "SELECT l_orderkey, CAST(a AS BIGINT) AS x, CAST(b AS BIGINT) AS y, CAST(greatest(0, c - a) AS BIGINT) AS w, CAST(greatest(0, e - b) AS BIGINT) AS h FROM (SELECT l_orderkey, round_even(l_quantity / 2, 0) AS a, round_even(l_partkey / 4, 0) AS b, round_even(l_quantity / 2 + l_suppkey / 4 - 5, 0) AS c, round_even(l_partkey / 2, 0) AS e FROM lineitem)",
-    "topo_order": f"{WITH} SELECT {K}, CAST(node_id AS BIGINT) AS node_id, pos AS ord, true AS is_dag FROM gt_nodes",
-    "topo_layers": f"""WITH RECURSIVE {SQL}, se AS (SELECT * FROM gt_edges WHERE pos % 4 > 0), wk AS (SELECT {K}, node_id, 0 AS layer FROM gt_nodes UNION SELECT se.dataset, se.sample_id, se.target, layer + 1 FROM wk JOIN se ON se.dataset = wk.dataset AND se.sample_id = wk.sample_id AND se.source = wk.node_id),
+    "topo_order": f"{TOPO} SELECT {K}, node_id, CAST(ord AS BIGINT) AS ord, is_dag FROM tp",
+    "topo_layers": f"""{TOPO}, wk AS (SELECT {K}, node_id, 0 AS layer FROM tp WHERE is_dag UNION SELECT se.dataset, se.sample_id, se.b, layer + 1 FROM wk JOIN se ON se.dataset = wk.dataset AND se.sample_id = wk.sample_id AND se.a = wk.node_id),
  ly AS (SELECT {K}, CAST(node_id AS BIGINT) AS node_id, max(layer) AS layer FROM wk GROUP BY ALL)
  SELECT {K}, node_id, CAST(layer AS BIGINT) AS layer, row_number() OVER (PARTITION BY {K}, layer ORDER BY node_id) - 1 - (count(*) OVER (PARTITION BY {K}, layer) - 1) / 2 AS x, -CAST(layer AS DOUBLE) AS y FROM ly""",
-    "program_text": f"""{LABELS}, nm AS (SELECT {K}, pos, {ident('label', "('node_' || node_id)")} AS name FROM gt_nodes LEFT JOIN lb ON lb.dataset = gt_nodes.dataset AND lb.sample_id = gt_nodes.sample_id AND lb.n = pos + 1)
- SELECT {K}, '\"\"\"A program made from a diagram.\"\"\"' || repeat(chr(10), 2) || '# Every step gets the dict ctx, which all of them share.' || repeat(chr(10), 2) || string_agg('def ' || name || '(ctx):' || chr(10) || '    print(''' || name || ''')' || repeat(chr(10), 3), '' ORDER BY pos)
- || 'def main():' || chr(10) || '    ctx = {{}}' || chr(10) || string_agg('    ' || name || '(ctx)' || chr(10), '' ORDER BY pos) || repeat(chr(10), 2) || 'if __name__ == ''__main__'':' || chr(10) || '    main()' || chr(10) AS program FROM nm GROUP BY ALL""".replace("SELECT dataset, sample_id, pos, (CASE", "SELECT gt_nodes.dataset, gt_nodes.sample_id, pos, (CASE"),
+    "program_text": f"""{TOPO}, lb AS (SELECT dataset, sample_id, n, p_brand || ' - ' || p_name AS label FROM li JOIN part ON l_partkey = p_partkey),
+ nm AS (SELECT tp.dataset, tp.sample_id, ord, {ident('label', "('node_' || node_id)")} AS name FROM tp LEFT JOIN lb ON lb.dataset = tp.dataset AND lb.sample_id = tp.sample_id AND lb.n = tp.node_id)
+ SELECT {K}, '\"\"\"A program made from a diagram.\"\"\"' || repeat(chr(10), 2) || '# Every step gets the dict ctx, which all of them share.' || repeat(chr(10), 2) || string_agg('def ' || name || '(ctx):' || chr(10) || '    print(''' || name || ''')' || repeat(chr(10), 3), '' ORDER BY ord)
+ || 'def main():' || chr(10) || '    ctx = {{}}' || chr(10) || string_agg('    ' || name || '(ctx)' || chr(10), '' ORDER BY ord) || repeat(chr(10), 2) || 'if __name__ == ''__main__'':' || chr(10) || '    main()' || chr(10) AS program FROM nm GROUP BY ALL""",
     "graph_summary": f"{WITH} SELECT {K}, n AS n_nodes, coalesce(m, 0) AS n_edges, coalesce(l, '') AS edge_list FROM (SELECT {K}, count(*) AS n FROM gt_nodes GROUP BY ALL) LEFT JOIN (SELECT {K}, count(*) AS m, string_agg(source || '->' || target, ',' ORDER BY source, target) AS l FROM gt_edges GROUP BY ALL) USING ({K})",
     "graph_extent": f'{WITH} SELECT {K}, min(x) - 30 AS "left", min(y) - 30 AS top, max(x + w) + 30 AS "right", max(y + h) + 30 AS bottom FROM gt_nodes GROUP BY ALL',
     "reading_order": f"{WITH} SELECT {K}, node_id, row_number() OVER (PARTITION BY {K} ORDER BY y + h / 2, x + w / 2, pos) - 1 AS place FROM gt_nodes",
@@ -502,8 +521,8 @@ SQLS = {
     "verify_manifest_deep": "SELECT source AS dataset, doc_id || '.txt' AS local_path, CASE WHEN doc_id % 17 = 0 THEN 'missing' WHEN doc_id % 10 = 0 THEN 'sha_mismatch' ELSE 'ok' END AS status FROM documents",
     "snapshot_totals": "SELECT source AS dataset, count(*) AS n_files, CAST(sum(CASE WHEN doc_id % 2 = 0 THEN n_chars END) AS BIGINT) AS bytes FROM documents GROUP BY source",
     "write_manifest": """SELECT 'd' || (s_suppkey % 9) AS dataset, '{"schema_version":1,"name":"set","version":"1","artifacts":[' || string_agg('{"url":"u' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') || '","sha256":"' || sha256(s_name) || '","bytes":' || strlen(s_name) || ',"local_path":"' || s_name || '"}', ',' ORDER BY s_suppkey) || ']}' AS document FROM supplier GROUP BY s_suppkey % 9""",
-    "assign_snapshot_splits": """WITH o AS (SELECT DISTINCT 'b' || (o_orderkey % 4) AS subset, o_orderkey AS k FROM orders), f AS (SELECT *, k % 4 < 3 AND k % 7 < 4 AS tr, k % 4 = 0 AND k % 7 > 3 AS te FROM o)
- SELECT subset, subset || ':i' || k AS sample_id, 'train' AS split FROM f WHERE tr UNION ALL SELECT subset, subset || ':i' || k, 'test' FROM f WHERE CASE WHEN subset = 'b0' THEN te ELSE NOT tr END""",
+    "assign_snapshot_splits": """WITH f AS (SELECT o_orderkey AS k, 'b' || (o_orderkey % 8) AS subset, CASE o_orderkey % 4 WHEN 3 THEN 'bare' WHEN 2 THEN 'train only' ELSE 'both' END AS dataset, o_orderkey % 4 < 3 AND o_orderkey % 7 < 4 AS tr, o_orderkey % 4 = 0 AND o_orderkey % 7 > 2 AS te FROM orders)
+ SELECT dataset, subset, subset || ':i' || k AS sample_id, 'train' AS split FROM f WHERE tr UNION ALL SELECT dataset, subset, subset || ':i' || k, 'test' FROM f WHERE CASE dataset WHEN 'both' THEN te WHEN 'train only' THEN NOT tr ELSE true END""",
     "file_names": """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN replace(c_name, '#', '-') || '.tar.gz' WHEN 2 THEN 'n' || c_custkey || '@v1' ELSE 'artifact.bin' END AS artifact, 'b.' || c_name AS stem, CASE WHEN c_custkey % 4 = 2 THEN 'org/n' || c_custkey END AS repo_id,
  CASE WHEN c_custkey % 4 = 2 THEN 'v1' END AS revision, CASE WHEN b IS NULL THEN 'unknown size' WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.2f KiB', b / 1024) WHEN b < 1073741824 THEN printf('%.2f MiB', b / 1048576) WHEN b < 1099511627776 THEN printf('%.2f GiB', b / 1073741824)
  ELSE printf('%.2f TiB', b / 1099511627776) END AS size, sha256(c_name) AS digest FROM (SELECT *, CASE WHEN c_custkey % 5 <> 0 THEN CAST(power(10, c_custkey % 14) AS BIGINT) END AS b FROM customer)""",

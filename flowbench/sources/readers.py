@@ -145,11 +145,13 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_model(spark: SparkSession, path: str) -> Model:
-    """A model file, one row, checked; threshold 0.5 and top_k 2 unless given."""
-    schema = "feature_names array<string>, coef array<double>, intercept double, threshold double, top_k int"
+    """A model file, one row, checked: version and type are required; threshold 0.5 and top_k 2 unless given."""
+    schema = "schema_version int, model_type string, feature_names array<string>, coef array<double>, intercept double, threshold double, top_k int"
     row = spark.read.schema(schema).json(path, multiLine=True).first()
     if row is None or row.coef is None or row.feature_names is None:
         raise ValueError("the model needs coef and feature_names")
+    if row.schema_version is None or row.model_type is None:
+        raise ValueError("the model needs schema_version and model_type")
     threshold, top_k = (0.5 if row.threshold is None else row.threshold), (2 if row.top_k is None else row.top_k)
     return Model(tuple(row.coef), row.intercept or 0.0, threshold, top_k, tuple(row.feature_names))
 

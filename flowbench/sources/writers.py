@@ -69,7 +69,7 @@ def write_manifest(files: DataFrame, name: str, version: str, path: str) -> None
 
 
 def write_model(spark, model: Model, path: str) -> None:  # noqa: ANN001
-    """A model as one JSON row that read_model() reads."""
-    row = (list(model.feature_names), list(model.coef), model.intercept, model.threshold, model.top_k)
-    schema = "feature_names array<string>, coef array<double>, intercept double, threshold double, top_k int"
+    """A model as one JSON row that read_model() reads; version and type are fixed values."""
+    row = (1, "logistic_regression", list(model.feature_names), list(model.coef), model.intercept, model.threshold, model.top_k)
+    schema = "schema_version int, model_type string, feature_names array<string>, coef array<double>, intercept double, threshold double, top_k int"
     spark.createDataFrame([row], schema).coalesce(1).write.json(path)

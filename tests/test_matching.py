@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from flowbench.operators import matching, metrics
 from flowbench.operators.evaluate import evaluate
@@ -86,3 +89,14 @@ def test_edges_both_ways(spark):
 def test_half_the_nodes(spark):
     (row,), _ = run(spark, [("s", "1", A), ("s", "2", B)], [], [("s", "p1", A), ("s", "p2", (900, 900, 9, 9))], [])
     assert (row.node_precision, row.node_recall, row.node_f1) == (0.5, 0.5, 0.5)
+
+
+def test_grid_and_helper_give_the_same_matches(spark):
+    rng = random.Random(4)
+    box = lambda: (rng.uniform(-300, 300), rng.uniform(-300, 300), rng.choice([0, 10, 30]), rng.choice([0, 20, 40]))
+    gt = nodes(spark, [(s, f"g{k}", box()) for s in "ab" for k in range(150)] + [("c", "g", (5, 5, 0, 0))])
+    pred = nodes(spark, [(s, f"p{k}", box()) for s in "ab" for k in range(150)] + [("c", "p", (5, 5, 0, 0))]).withColumn("predictor", F.lit("p"))
+    plain = matching.match_candidates(gt, pred, 0.9)
+    grid = matching.match_candidates(gt, pred, 0.9, grid=True)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, grid.collect())) and plain.count() > 200
+    assert sorted(map(tuple, matching.match_nodes(plain).collect())) == sorted(map(tuple, matching.match_nodes(grid, 5).collect()))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from flowbench.functions import text
 from flowbench.functions.canonical import canonical_json
 from flowbench.operators import contours, convert, generate, graphs, manifest, predictors, samples, training, validate
+from flowbench.operators.evaluate import run_benchmark
 from flowbench.operators.pairs import FEATURES, pair_features
 from flowbench.operators.results import LEADERBOARD, leaderboard
 from flowbench.sources import readers, writers
@@ -24,6 +27,11 @@ def test_identifiers(spark):
     assert column(spark, given, lambda c: text.to_identifier(c, F.lit("node_7"))) == ["Step_1_Load_Data", "Step_2_Train_Model", "_1Bad", "node_7", "node_7", "ab_c"]
 
 
+def test_white_space_of_every_kind_goes(spark):
+    given = ["\t Start", "\n\x1c1Bad\u00a0", "\u3000 \x85", "a\tb "]
+    assert column(spark, given, lambda c: text.to_identifier(c, F.lit("node_7"))) == ["Start", "_1Bad", "node_7", "ab"]
+
+
 def test_bytes(spark):
     assert column(spark, [0, 1023, 1024, 1536, 1 << 50, -1, None], text.format_bytes, "long") == ["0 B", "1023 B", "1.00 KiB", "1.50 KiB", "1.00 PiB", "unknown size", "unknown size"]
 
@@ -38,6 +46,13 @@ def test_canonical(spark):
     assert column(spark, given, canonical_json) == ['{"a":[{"id":"10","x":[3,1]},{"id":2}],"b":1}', None, None]
 
 
+def test_canonical_lists_of_free_form(spark):
+    given = ['[{"id":"z"},{"node_id":"a"}]', '[{"k":"a b"},{"k":"a"}]', '[{"x":2},{"label":"q","x":1},{"id":null}]', "[]", '[1,{"b":1,"a":[{"id":2},{"id":1}]}]', '[{"id":{"b":1,"a":2}},{"id":"a"}]']
+    assert column(spark, given, canonical_json) == [
+        '[{"node_id":"a"},{"id":"z"}]', '[{"k":"a"},{"k":"a b"}]', '[{"id":null},{"label":"q","x":1},{"x":2}]', "[]", '[1,{"a":[{"id":1},{"id":2}],"b":1}]', '[{"id":"a"},{"id":{"a":2,"b":1}}]',
+    ]
+
+
 def test_heuristic(spark):
     n = nodes(spark, [("s", "n1", (0, 0, 10, 10)), ("s", "n2", (0, 20, 10, 10)), ("s", "n3", (0, 40, 10, 10))])
     assert {(r.source, r.target) for r in predictors.predict_heuristic(n)[1].collect()} == {("n1", "n3")}
@@ -60,6 +75,33 @@ def test_naive_and_python_predictor(spark):
         predictors.get_predictor("none")
 
 
+def test_python_predictor_runs_once_a_sample(spark):
+    size = spark.createDataFrame([("d", str(k), 10) for k in range(40)], "dataset string, sample_id string, width int")
+    calls = spark.sparkContext.accumulator(0)
+
+    def own(sample):
+        calls.add(1)
+        return {"nodes": [{"id": 1, "bbox": [0, 0, 1, 1]}], "edges": []}
+
+    n, e = predictors.python_predictor(own, size, "mine")
+    assert n.count() == 40 and e.count() == 0 and n.columns == predictors.NODES and e.columns == predictors.EDGES and calls.value == 40
+    spark.catalog.clearCache()
+
+
+def test_benchmark_by_name(spark):
+    n = nodes(spark, [(s, i, box) for s in "abc" for i, box in (("1", (50, 50, 50, 50)), ("2", (200, 50, 50, 50)))])
+    e = edges(spark, [(s, "1", "2") for s in "abc"])
+    table = spark.createDataFrame([("d", "a", "test"), ("d", "b", "test"), ("d", "c", "train")], "dataset string, sample_id string, split string")
+    model = predictors.Model((0.0,) * len(FEATURES))
+    rows = {r.predictor: r for r in run_benchmark(table, n, e, ["oracle", "naive", "heuristic", "learned"], 0.2, model=model).collect()}
+    assert {r.num_samples for r in rows.values()} == {2} and {r.split for r in rows.values()} == {"test"}
+    assert rows["oracle"].exact_match_rate == 1 and rows["naive"].edge_f1 == 0 and rows["heuristic"].edge_f1 == 1
+    assert [(r.split, r.num_samples) for r in run_benchmark(table, n, e, ["oracle"], 0.2, split="train").collect()] == [("train", 1)]
+    assert run_benchmark(table, n, e, ["oracle"], 0.2, limit=1).first().num_samples == 1
+    with pytest.raises(ValueError, match="model"):
+        run_benchmark(table, n, e, ["learned"])
+
+
 def test_order_layers_cycles(spark):
     n = nodes(spark, [("a", str(i), (0, 0, 1, 1)) for i in range(4)] + [("c", "0", (0, 0, 1, 1)), ("c", "1", (0, 0, 1, 1))])
     e = edges(spark, [("a", "0", "1"), ("a", "0", "2"), ("a", "1", "3"), ("a", "2", "3"), ("c", "0", "1"), ("c", "1", "0"), ("c", "1", "9")])
@@ -117,6 +159,12 @@ def test_model_round_trip(spark, tmp_path):
         predictors.Model((1.0,))
 
 
+def test_model_without_its_type(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"feature_names": ["a"], "coef": [1.0], "intercept": 0.0}')
+    with pytest.raises(ValueError, match="model_type"):
+        readers.read_model(spark, str(tmp_path / "m.json"))
+
+
 def test_results_and_leaderboard(spark, tmp_path):
     run = spark.createDataFrame([("d", "test", p, 1, *m) for p, m in (("naive", (0.0, 0.0, 0.2, 0.0, 2.0, 1.0)), ("oracle", (1.0, 1.0, 1.0, 1.0, 0.0, 0.0)), ("none", (None, None, None, None, None, None)), ("heuristic", (0.5, 0.6, 0.8, 0.5, 1.0, 0.5)))],
                                 "dataset string, split string, predictor string, num_samples int, exact_match_rate double, edge_f1 double, node_f1 double, direction_accuracy double, node_count_error double, edge_count_error double")
@@ -165,6 +213,45 @@ def test_conversion(spark):
         convert.convert_flowcharts(rows, ["dataset"], strict=True)
 
 
+def test_conversion_of_a_split_and_the_last_entry(spark):
+    def record(k):
+        boxes = {str(j): {"x0": j, "y0": 0, "x1": j + 5, "y1": 5, "mermaid_entity_i": j % 2} for j in range(k + 2)}
+        return json.dumps({"file": f"{k}.png", "mermaid": "entity0 --> entity1", "meta": {"text": boxes, "links": {}}})
+
+    rows = spark.createDataFrame([("d", "train" if k % 2 else "test", k, record(k)) for k in range(6)], "dataset string, split string, rec_pos int, record string")
+    n, e, bad = convert.convert_flowcharts(rows, ["dataset"], split="test", limit=2)
+    assert sorted({r.sample_id for r in n.collect()}) == ["0", "2"] and e.count() == 2 and bad.count() == 0
+    assert {(r.sample_id, r.node_id): r.x for r in n.collect()} == {("0", "0"): 0, ("0", "1"): 1, ("2", "0"): 2, ("2", "1"): 3}
+
+
+def test_unsupervised_records(spark):
+    rows = lambda *texts: spark.createDataFrame([("d", k, t) for k, t in enumerate(texts)], "dataset string, rec_pos int, record string")
+    with pytest.raises(ValueError, match="no graphs"):
+        validate.check_sciflowchart(rows('{"caption": "x"}', "{}"), ["dataset"])
+    with pytest.raises(ValueError, match="not supported"):
+        validate.check_sciflowchart(rows('{"caption": "x"}', '{"mermaid": "graph TD"}'), ["dataset"])
+    with pytest.raises(ValueError, match="empty_box"):
+        validate.raise_on_invalid(spark.createDataFrame([("d", "s", "empty_box")], "dataset string, sample_id string, code string"))
+
+
+def test_snapshot_splits_are_pooled(spark):
+    """Membership of all subsets together; names of fields and broken documents name nothing; escapes are read."""
+    images = spark.createDataFrame([("s", b, f"raw/{i}.png") for b in "AB" for i in range(1, 5)], "dataset string, subset string, path string")
+
+    def found(*documents):
+        table = spark.createDataFrame([("s", b, split, v) for b, split, v in documents], "dataset string, subset string, split string, value string")
+        out = {}
+        for r in manifest.assign_snapshot_splits(images, table).collect():
+            out.setdefault(r.split, set()).add(r.sample_id)
+        return out
+
+    both = lambda *ids: {f"{b}:{i}" for b in "AB" for i in ids}
+    assert found() == {"test": both(1, 2, 3, 4)} == found(("A", "test", "[\"1\",")) == found(("A", "all", '["1"]'))
+    assert found(("A", "test", '["1.png"]'), ("B", "train", '["2", "3"]')) == {"test": both(1), "train": both(2, 3)}
+    assert found(("A", "train", '{"4": "3.png", "x": [{"y": "x/\\u0031.PNG"}]}')) == {"train": both(1, 3), "test": both(2, 4)}
+    assert found(("A", "train", '["1"]'), ("A", "test", '["1"]')) == {"train": both(1), "test": both(1)}
+
+
 def test_contour_limits(spark):
     schema = "dataset string, sample_id string, pos int, area double, n_vertices int, n_points int, x int, y int, w int, h int"
     c = spark.createDataFrame([("d", "s", k, *r) for k, r in enumerate([(799.0, 4, 9, 0, 0, 40, 40), (800.0, 4, 10, 0, 0, 40, 40), (800.0, 3, 10, 0, 0, 40, 40), (900.0, 4, 10, 0, 0, 19, 40), (900.0, 4, 10, 0, 0, 100, 40), (900.0, 4, 10, 0, 0, 101, 40)])], schema)
