@@ -61,16 +61,17 @@ def convert_flowcharts(records: DataFrame, keys: list[str], images: DataFrame |
     if limit is not None:
         place = F.row_number().over(Window.partitionBy(*keys).orderBy("rec_pos"))
         records = records.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
-    rows = convert_records(records, keys)
+    # with a column that is not deterministic no filter moves below, where it would compute every record's graph again
+    rows = convert_records(records, keys).withColumn("_part", F.spark_partition_id())
     if images is not None:
         there = images.select(*keys, "file").distinct().withColumn("_there", F.lit(True))
         rows = rows.join(there, [*keys, "file"], "left").withColumn("problem", F.coalesce("problem", F.when(F.col("_there").isNull(), "image_missing")))
     if strict and (bad := rows.where("problem IS NOT NULL").select("file", "problem").first()):
         raise ValueError(f"{bad.file}: {bad.problem}")
-    good = rows.where("problem IS NULL")
+    good = rows.where("problem IS NULL AND _part >= 0")
     nodes = good.select(*keys, "sample_id", F.posexplode("nodes").alias("pos", "n")).select(*keys, "sample_id", "pos", F.col("n.id").cast("string").alias("node_id"), "n.x", "n.y", "n.w", "n.h")
     edges = good.select(*keys, "sample_id", F.posexplode("edges").alias("pos", "e")).select(*keys, "sample_id", "pos", F.col("e.u").cast("string").alias("source"), F.col("e.v").cast("string").alias("target"))
-    return nodes, edges, rows.where("problem IS NOT NULL").select(*keys, "file", "problem")
+    return nodes, edges, rows.where("problem IS NOT NULL AND _part >= 0").select(*keys, "file", "problem")
 
 
 def convert_minimal(records: DataFrame, keys: list[str], record: str = "record") -> DataFrame:
