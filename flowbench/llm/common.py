@@ -94,7 +94,7 @@ def tree_sum(parts: DataFrame, n_parts: int, fan_in: int = 32) -> DataFrame:
     """
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(v, dtype=np.float64) for v in pdf["vector"])
+        total = sum(np.frombuffer(v, dtype=np.float64) for v in sorted(map(bytes, pdf["vector"])))  # one order of summing
         return pd.DataFrame({"key": pdf["key"].iloc[:1], "part": pdf["part"].iloc[:1], "vector": [total.tobytes()]})
 
     while True:

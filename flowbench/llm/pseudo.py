@@ -3,10 +3,13 @@
 The counts of all words of the corpus are a table. Words whose count reaches ``cutoff`` have a number of their own and
 rows of the embedding; how many they are grows with the corpus. The rest share the numbers of hash buckets, and each
 has its share of its bucket's count, joined by word, as its probability there: no two words need score alike. A
-number's upper and lower half are predicted in turn from the two words before and the two after. The network is
-trained in numpy on the words of all documents: every partition takes steps of its own from the common start, and the
-parameters are averaged, weighted by words, through the tree of ``tree_sum``. A document's score is the sum of its
-words' log-probabilities.
+number's upper and lower half are predicted in turn from the two words before and the two after.
+
+The network is trained in numpy on the words of all documents. These are dealt, by a hash of the row, into as many parts
+as the number of words asks for, and put in order within each; every part takes steps of its own from the common start,
+and the parameters are averaged, weighted by words, through the tree of ``tree_sum``. So neither the parts nor the steps
+depend on how the table is split, and scores are the same but for rounding. A document's score is the sum of its words'
+log-probabilities.
 """
 
 from __future__ import annotations
@@ -20,15 +23,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from flowbench.llm.common import fresh, saved, slices, tree_sum
+from flowbench.llm.common import saved, slices, tree_sum
 
 #: Numbers for words are a square, of HALF at least; the size of the hidden layer; the square root of all words is
 #: divided by CUTOFF for the count that gives a word its own number.
 HALF, HIDDEN, CUTOFF = 64, 24, 10
 WORDS, PAD = HALF * HALF, HALF * HALF
 OFFSETS = (-2, -1, 1, 2)
+ROW, IDS, RARE, SHARE = "_row", "_ids", "_rare", "_share"
 BATCH, RATE, BLOCK = 8192, 0.15, 1 << 14
+#: Words that one part is to have about, and words of whole documents that a part's steps are cut from at once.
+PART, CHUNK = 1 << 22, 1 << 16
 
 
 class Numbers(dict):
@@ -165,6 +172,7 @@ class Trainer:
         self.network, self.squares = network, Network(np.full_like(network.flat, 1e-6), network.half)
 
     def step(self, ids: np.ndarray, at: np.ndarray) -> None:
+        """A step on the words at these places, which are in order."""
         net, sq = self.network, self.squares
         grads = net.gradients(ids, at)
         dh = grads.pop("h")
@@ -172,90 +180,134 @@ class Trainer:
             s = getattr(sq, name)
             s += g * g
             getattr(net, name)[...] -= RATE * g / np.sqrt(s)
+        # one order of the numbers serves all offsets: what a place hands to its neighbours lies so far away
+        reach = OFFSETS[-1]
+        first, last = at[0] - reach, at[-1] + reach + 1
+        handed = np.zeros((last - first + 2 * reach, dh.shape[1]), np.float32)
+        handed[at - first + reach] = dh
+        order = np.argsort(ids[first:last], kind="stable")
+        index = ids[first:last][order]
+        starts = np.flatnonzero(np.diff(index, prepend=-1))
+        where = index[starts]
         for k, o in enumerate(OFFSETS):
-            where, g = summed(ids[at + o], dh)
-            sq.e[k][where] += g * g
-            net.e[k][where] -= RATE * g / np.sqrt(sq.e[k][where])
-
-
-def numbered(texts: list[str], numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All words of some texts with two pads before and after each text, the words' places, and the words of each text."""
-    pad = numbers.pad
-    flat, counts = [pad, pad], []
-    for t in texts:
-        words = t.lower().split()
-        flat += map(numbers.__getitem__, words)
-        flat += (pad, pad)
-        counts.append(len(words))
-    ids = np.array(flat, np.int32)
-    return ids, np.flatnonzero(ids != pad), np.array(counts, np.int64)
-
-
-def train(docs: DataFrame, words: list[str], text: str = "text") -> np.ndarray:
-    """Parameters learned from all words of all documents in one pass."""
+            g = np.add.reduceat(handed[order + reach - o], starts, axis=0)
+            squares = sq.e[k][where] + g * g
+            sq.e[k][where] = squares
+            net.e[k][where] -= RATE * g / np.sqrt(squares)
+
+
+def joined(documents: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of some documents with two pads before and after each, and the words' places."""
+    gap = np.full(2, pad, np.int32)
+    ids = np.concatenate([gap, *(x for d in documents for x in (d, gap))]) if documents else gap
+    return ids, np.flatnonzero(ids != pad)
+
+
+def coded(docs: DataFrame, words: list[str], text: str = "text") -> DataFrame:
+    """docs without the text, with ``_row``, ``_ids`` (32-bit numbers) and ``_rare`` (the words without a number of their own)."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        numbers, seen = Numbers(shared.value), 0
-        network = Network(half=numbers.half)
-        trainer = Trainer(network)
+        numbers, at, known = Numbers(shared.value), TaskContext.get().partitionId() << 40, len(shared.value)
         for whole in batches:
             for b in slices(whole, text):
-                ids, places, _ = numbered([t or "" for t in b.column(text).to_pylist()], numbers)
-                places = np.random.default_rng(len(places)).permutation(places)
-                for k in range(0, len(places), BATCH):
-                    trainer.step(ids, places[k : k + BATCH])
-                seen += len(places)
-        if seen:
-            flat = np.append(network.flat.astype(np.float64) * seen, seen)
-            cuts = list(range(0, len(flat), BLOCK))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(cuts)), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(cuts), pa.int32()), pa.array([flat[c : c + BLOCK].tobytes() for c in cuts], pa.binary())],
-                names=["key", "part", "vector"],
-            )
-
-    source = docs.select(text)
-    parts = source.mapInArrow(run, "key int, part int, vector binary")
-    total = sorted((r.key, bytes(r.vector)) for r in tree_sum(parts, source.rdd.getNumPartitions()).collect())  # as many numbers as parameters
+                ids, rare = [], []
+                for t in b.column(text).to_pylist():
+                    found = (t or "").lower().split()
+                    made = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
+                    ids.append(made.tobytes())
+                    rare.append([found[k] for k in np.flatnonzero(made >= known).tolist()])
+                kept = [(n, c) for n, c in zip(b.schema.names, b.columns, strict=True) if n != text]
+                yield pa.RecordBatch.from_arrays(
+                    [*(c for _, c in kept), pa.array(np.arange(at, at + len(ids))), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string()))],
+                    names=[*(n for n, _ in kept), ROW, IDS, RARE],
+                )
+                at += len(ids)
+
+    return docs.mapInArrow(run, f"{fields}, {ROW} long, {IDS} binary, {RARE} array<string>".removeprefix(", "))
+
+
+def train(rows: DataFrame, words: list[str], n_parts: int) -> np.ndarray:
+    """Parameters learned from all words of all rows of ``coded()`` in one pass, in so many parts."""
+    half = half_of(len(words))
+    plain = [F.col(f"`{f.name}`") for f in rows.schema if f.name not in (ROW, RARE) and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network, trainer, part, held, size, seen = None, None, -1, [], 0, 0
+
+        def steps() -> None:
+            nonlocal held, size, seen
+            ids, places = joined(held, half**2)
+            for k in range(0, len(places), BATCH):
+                trainer.step(ids, places[k : k + BATCH])
+            held, size, seen = [], 0, seen + len(places)
+
+        def made() -> Iterator[pa.RecordBatch]:
+            steps()
+            if seen:
+                flat = np.append(network.flat.astype(np.float64) * seen, seen)
+                cuts = range(0, len(flat), BLOCK)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(len(cuts)), pa.int32()), pa.array([part] * len(cuts), pa.int32()), pa.array([flat[c : c + BLOCK].tobytes() for c in cuts], pa.binary())],
+                    names=["key", "part", "vector"],
+                )
+
+        for b in batches:
+            for p, raw in zip(b.column("part").to_pylist(), b.column(IDS), strict=True):
+                if p != part:
+                    if network is not None:
+                        yield from made()
+                    network, part, held, size, seen = Network(half=half), p, [], 0, 0
+                    trainer = Trainer(network)
+                document = np.frombuffer(raw.as_buffer(), np.int32)
+                for k in range(0, len(document), CHUNK):  # very long texts are several documents here
+                    held.append(document[k : k + CHUNK])
+                    size += len(held[-1])
+                    if size >= CHUNK:
+                        steps()
+        if network is not None:
+            yield from made()
+
+    dealt = rows.select(F.xxhash64(*plain).alias("deal"), IDS).withColumn("part", F.pmod("deal", F.lit(n_parts)).cast("int"))
+    dealt = dealt.repartitionById(n_parts, "part").sortWithinPartitions("part", "deal", IDS)
+    parts = dealt.select("part", IDS).mapInArrow(run, "key int, part int, vector binary")
+    total = sorted((r.key, bytes(r.vector)) for r in tree_sum(parts, n_parts).collect())  # as many numbers as parameters
     if not total:
-        return Network(half=half_of(len(words))).flat
+        return Network(half=half).flat
     flat = np.concatenate([np.frombuffer(v) for _, v in total])
     return (flat[:-1] / flat[-1]).astype(np.float32)
 
 
-def score(docs: DataFrame, words: list[str], flat: np.ndarray, counts: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the text, with ``n_words`` and ``log_likelihood``, the sum over all words; both 0 for null and empty texts."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, flat))
-    docs = docs.drop("n_words", "log_likelihood")
-    row, rare, share = fresh(docs, "_row", "_rare", "_share")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
+def score(rows: DataFrame, words: list[str], flat: np.ndarray, counts: DataFrame) -> DataFrame:
+    """Rows of ``coded()`` with ``n_words`` and ``log_likelihood``, the sum over all words; both 0 for null and empty texts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    Columns with these names are replaced; the others stay.
+    """
+    shared, half = rows.sparkSession.sparkContext.broadcast(flat), half_of(len(words))
+    keep = [c for c in rows.columns if c not in (IDS, RARE, "n_words", "log_likelihood")]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
 
-        numbers, at = Numbers(shared.value[0]), TaskContext.get().partitionId() << 40
-        network, known = Network(shared.value[1], numbers.half), set(shared.value[0])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network = Network(shared.value, half)
         for whole in batches:
-            for b in slices(whole, text):
-                texts = [t or "" for t in b.column(text).to_pylist()]
-                ids, places, counts = numbered(texts, numbers)
+            for b in slices(whole, IDS):
+                documents = [np.frombuffer(x.as_buffer(), np.int32) for x in b.column(IDS)]
+                ids, places = joined(documents, half**2)
+                counts = np.array([len(d) for d in documents], np.int64)
                 each = [network.log_likelihood(ids, places[k : k + BATCH]) for k in range(0, len(places), BATCH)]
                 sums = np.concatenate([[0.0], np.cumsum(np.concatenate(each))]) if each else np.zeros(1)
                 ends = np.cumsum(counts)
-                others = pa.array([[w for w in t.lower().split() if w not in known] for t in texts], pa.list_(pa.string()))
-                kept = [(n, c) for n, c in zip(b.schema.names, b.columns, strict=True) if n != text]
                 yield pa.RecordBatch.from_arrays(
-                    [*(c for _, c in kept), pa.array(counts), pa.array(sums[ends] - sums[ends - counts]), pa.array(np.arange(at, at + len(texts))), others],
-                    names=[*(n for n, _ in kept), "n_words", "log_likelihood", row, rare],
+                    [*(b.column(c) for c in keep), pa.array(counts), pa.array(sums[ends] - sums[ends - counts])], names=[*keep, "n_words", "log_likelihood"]
                 )
-                at += len(texts)
 
-    made = saved(docs.mapInArrow(run, f"{fields}, n_words long, log_likelihood double, `{row}` long, `{rare}` array<string>"))
-    asked = made.select(row, F.explode(rare).alias("word"))
-    extra = asked.join(rare_words(counts, words), "word").groupBy(row).agg(F.sum("share").alias(share))
-    return made.drop(rare).join(extra, row, "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce(share, F.lit(0.0))).drop(row, share)
+    made = rows.select(*[F.col(f"`{c}`") for c in keep], IDS).mapInArrow(run, f"{fields}, n_words long, log_likelihood double")
+    asked = rows.select(ROW, F.explode(RARE).alias("word"))
+    extra = asked.join(rare_words(counts, words), "word").groupBy(ROW).agg(F.sum("share").alias(SHARE))
+    return made.join(extra, ROW, "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce(SHARE, F.lit(0.0))).drop(ROW, SHARE)
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
@@ -263,6 +315,8 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text")
     counts = saved(word_counts(rows))
     words = vocabulary(counts)
-    return score(rows, words, train(rows, words), counts).select(
+    n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    rows = saved(coded(rows, words))
+    return score(rows, words, train(rows, words, max(1, math.ceil(n_words / PART))), counts).select(
         "doc_id", "n_words", "log_likelihood", (F.col("log_likelihood") / F.greatest("n_words", F.lit(1))).alias("mean_log_likelihood")
     )

@@ -357,6 +357,31 @@ def test_pseudo_likelihood(spark):
     assert pseudo.pseudo_likelihood(table(spark, docs).limit(0)).count() == 0
 
 
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    """One table in two layouts, trained in several parts: the same scores but for rounding. Null rows and copies included."""
+    monkeypatch.setattr(pseudo, "PART", 3000)
+    rng = random.Random(31)
+    docs = table(spark, [(k, " ".join(words(rng, rng.randrange(0, 120), 60))) for k in range(200)] + [(7, "w1 w2 w3"), (7, "w1 w2 w3"), (None, None), (300, "w5 " * 70000)])
+    rows = [pseudo.pseudo_likelihood(d).collect() for d in (docs.coalesce(1), docs.repartition(7, "text"))]
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_words, round(r.log_likelihood, 1))
+    a, b = (sorted(x, key=key) for x in rows)
+    assert len(a) == 204 and [(r.doc_id, r.n_words) for r in a] == [(r.doc_id, r.n_words) for r in b]
+    assert np.allclose([r.log_likelihood for r in a], [r.log_likelihood for r in b], rtol=1e-4, atol=1e-3)
+
+
+def test_steps_follow_the_gradients():
+    """A step over ordered places hands each context's rows what rows summed one by one get."""
+    rng = np.random.default_rng(2)
+    ids, at = pseudo.joined([rng.integers(0, 30, n).astype(np.int32) for n in (5, 0, 1, 40)], pseudo.PAD)
+    plain, trained = pseudo.Network(), pseudo.Trainer(pseudo.Network())
+    dh = plain.gradients(ids, at)["h"]
+    trained.step(ids, at)
+    for k, o in enumerate(pseudo.OFFSETS):
+        g = np.zeros_like(plain.e[k])
+        np.add.at(g, ids[at + o], dh)
+        assert np.allclose(trained.network.e[k], plain.e[k] - pseudo.RATE * g / np.sqrt(1e-6 + g * g), atol=1e-5)
+
+
 def test_vocabulary_grows_with_the_corpus(spark):
     rng = random.Random(10)
     small, large = ([(k, " ".join(f"w{rng.randrange(size)}" for _ in range(400))) for k in range(n)] for size, n in ((500, 50), (5000, 1000)))
