@@ -19,10 +19,12 @@ PRED_KEY = ["predictor", *KEY]
 
 
 def last_of_id(nodes: DataFrame) -> DataFrame:
-    """One row a node id: of several the last in the list."""
-    keys = [c for c in PRED_KEY if c in nodes.columns]
-    row = F.max_by(F.struct("x", "y", "w", "h"), "pos").alias("b")
-    return nodes.groupBy(*keys, "node_id").agg(row).select(*keys, "node_id", "b.*")
+    """One row a node id: of several the last in the list. Brought together by sample, and so dealt by it."""
+    keys = [c for c in PRED_KEY if c in nodes.columns and c not in KEY]
+    rows = nodes.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(*keys, "node_id", "pos", "x", "y", "w", "h"))).alias("n"))
+    same = lambda a, b: F.coalesce(a["node_id"] == b["node_id"], F.lit(False)) & (F.coalesce(a["predictor"] == b["predictor"], F.lit(False)) if keys else F.lit(True))
+    last = F.filter("n", lambda e, k: ~same(e, F.get("n", k + 1)))
+    return rows.select(*KEY, F.explode(last).alias("e")).select(*[f"e.{k}" for k in keys], *KEY, "e.node_id", *[f"e.{c}" for c in "xywh"])
 
 
 def match_candidates(gt_nodes: DataFrame, pred_nodes: DataFrame, alpha: float = 0.35, grid: bool = False) -> DataFrame:
@@ -34,8 +36,8 @@ def match_candidates(gt_nodes: DataFrame, pred_nodes: DataFrame, alpha: float =
     """
     if alpha <= 0:
         raise ValueError("alpha must be positive")
-    gt = last_of_id(gt_nodes.repartition(*KEY)).select(*KEY, F.col("node_id").alias("gt_id"), *[F.col(c).alias(f"g{c}") for c in "xywh"])
-    pred = last_of_id(pred_nodes.repartition(*KEY)).select(*PRED_KEY, F.col("node_id").alias("pred_id"), *[F.col(c).alias(f"p{c}") for c in "xywh"])
+    gt = last_of_id(gt_nodes).select(*KEY, F.col("node_id").alias("gt_id"), *[F.col(c).alias(f"g{c}") for c in "xywh"])
+    pred = last_of_id(pred_nodes).select(*PRED_KEY, F.col("node_id").alias("pred_id"), *[F.col(c).alias(f"p{c}") for c in "xywh"])
     g, p = Box.of("g"), Box.of("p")
     (gx, gy), (px, py) = bbox_center(g), bbox_center(p)
     distance, on = F.hypot(gx - px, gy - py), list(KEY)

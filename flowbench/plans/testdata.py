@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines with their sample, dataset and number."""
-    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        F.concat(F.lit("ds_"), (F.col("l_orderkey") % 3).cast("string")).alias("dataset"),
-        F.col("l_orderkey").cast("string").alias("sample_id"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_discount", "l_tax", "l_returnflag", "l_linestatus", F.row_number().over(order).alias("n"),
+    """Order lines with their sample, dataset and number, dealt by sample as all that follows wants them."""
+    order = W.partitionBy("dataset", "sample_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.concat(F.lit("ds_"), (F.col("l_orderkey") % 3).cast("string")).alias("dataset"), F.col("l_orderkey").cast("string").alias("sample_id"),
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_extendedprice", "l_shipdate",
     )
+    return rows.select("*", F.row_number().over(order).alias("n")).drop("l_extendedprice", "l_shipdate")
 
 
 def boxes(rows: DataFrame) -> DataFrame:
