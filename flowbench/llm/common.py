@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side is sent to every executor; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes, as stored, up to which a side is sent to every executor; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 1 << 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a new one, of this machine, in local mode alone."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -35,12 +37,17 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/flowbench-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows; else df, and Spark's join shuffles it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df saved, and marked for broadcast if it has at most so many rows, and bytes; else Spark's join shuffles it."""
+    df = df if "stored_at" in vars(df) else saved(df)
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    size = path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).getContentSummary(path).getLength()
+    return F.broadcast(df) if size <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows else df
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
