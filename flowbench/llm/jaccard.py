@@ -12,7 +12,7 @@ then connected already needs no further pair, and all pairs across the component
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -171,8 +171,36 @@ def profiles(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, f"{fields}, n_shingles long, class_id binary, group_id binary, prefix array<long>, typical double, bins array<short>")
 
 
+def likely(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text: str, n: int, percent: int) -> DataFrame:
+    """Those of the class pairs ``a, b`` whose sets may be similar enough, judged by an eighth of each set, exactly.
+
+    The hashes that begin with three zero bits are compared; of the other eighths the smaller one bounds what two sets
+    share. Unrelated sets share next to nothing of the first, and so never meet whole.
+    """
+
+    def part(h: np.ndarray) -> bytes:
+        sizes = np.bincount((h >> np.uint64(61)).astype(np.int64), minlength=8)
+        return np.concatenate([sizes.astype(np.uint64), h[: sizes[0]]]).tobytes()  # sets are in order
+
+    def may_be(x: np.ndarray, y: np.ndarray) -> bool:
+        shared = len(x) + len(y) - 16 - len(np.union1d(x[8:], y[8:])) + int(np.minimum(x[1:8], y[1:8]).sum())
+        return 100 * shared >= percent * (int(x[:8].sum()) + int(y[:8].sum()) - shared)
+
+    return compared(pairs, docs, reps, text, n, part, may_be)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text: str, n: int, percent: int) -> DataFrame:
-    """Those of the class pairs ``a, b`` whose sets are similar enough.
+    """Those of the class pairs ``a, b`` whose sets are similar enough."""
+
+    def similar(x: np.ndarray, y: np.ndarray) -> bool:
+        shared = len(x) + len(y) - len(np.union1d(x, y))
+        return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+    return compared(pairs, docs, reps, text, n, lambda h: h.tobytes(), similar)
+
+
+def compared(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text: str, n: int, part: Callable[[np.ndarray], bytes], keep: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
+    """Those of the class pairs ``a, b`` that are to be kept by what ``part`` gives of their sets.
 
     Only the classes in the pairs are read again, one document of each.
     """
@@ -188,7 +216,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text: str, n: i
             for batch in slices(whole, text):
                 found = [shingle(t or "") for t in batch.column(text).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary()), pa.array([h.tobytes() for h in found], pa.binary())],
+                    [pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary()), pa.array([part(h) for h in found], pa.binary())],
                     names=["class_id", "shingles"],
                 )
 
@@ -200,12 +228,8 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text: str, n: i
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = len(p) + len(q) - len(np.union1d(p, q))
-                keep.append(100 * shared >= percent * (len(p) + len(q) - shared))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            chosen = [keep(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column("x"), b.column("y"), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(chosen, pa.bool_()))
 
     return both.mapInArrow(test, "a binary, b binary")
 
@@ -277,7 +301,7 @@ def join_classes(found: DataFrame, docs: DataFrame, text: str, n: int, percent:
         (F.col("p") != F.col("q")) & ((F.col("g") != F.col("h")) | (F.col("a") < F.col("b")))
     )
     rest = saved(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
-    more = verified(rest, docs, reps, text, n, percent)
+    more = verified(saved(likely(rest, docs, reps, text, n, percent)), docs, reps, text, n, percent)
     return connected_components(stars.unionByName(more)).withColumnRenamed("node", "class_id")
 
 

@@ -71,6 +71,25 @@ def test_near_groups(spark, copies, n, percent):
     assert found == brute(copies, n, percent)
 
 
+def test_no_similar_pair_is_held_unlikely(spark):
+    """What an eighth of the sets rules out is never similar; most unrelated pairs are ruled out."""
+    rng = random.Random(41)
+    docs = []
+    for k in range(120):
+        base = words(rng, rng.choice([1, 4, 30, 200, 600]))
+        near = [w if rng.random() > 0.008 else "new" for w in base]
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+    found = jaccard.profiles(table(spark, docs).select(F.col("doc_id").alias("_doc_id"), F.col("text").alias("_text")), "_text", 5, 80)
+    reps = found.groupBy("class_id").agg(F.min("_doc_id").alias("rep"))
+    source = table(spark, docs).select(F.col("doc_id").alias("_doc_id"), F.col("text").alias("_text"))
+    names = {r.rep: bytes(r.class_id) for r in reps.collect()}
+    ids = sorted(names)
+    pairs = {tuple(sorted((names[a], names[b]))) for a in ids for b in rng.sample(ids, 12) if a != b} | {tuple(sorted((names[a], names[a + 1]))) for a in ids[:-1] if a % 2 == 0 and a + 1 in names}
+    df = spark.createDataFrame(sorted(pairs), "a binary, b binary")
+    maybe, sure = ({(bytes(r.a), bytes(r.b)) for r in f(df, source, reps, "_text", 5, 80).collect()} for f in (jaccard.likely, jaccard.verified))
+    assert sure <= maybe <= pairs and len(sure) > 40 and len(maybe) < len(pairs) / 4, (len(sure), len(maybe), len(pairs))
+
+
 def test_one_of_each(spark, copies):
     docs = table(spark, copies)
     kept = jaccard.one_of_each(docs.unionByName(docs.limit(5)).withColumn("class_id", F.lit(1)))
