@@ -15,6 +15,7 @@ import base64
 import heapq
 import re
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from flowbench.llm.common import fresh, per_text, saved
 #: Texts beyond this many characters are cut, into chunks of so many, with this much overlap.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: Distinct pre-tokens, and parts, whose ids a Python worker keeps, and the longest of them in characters.
-CACHE, LONGEST = 1 << 18, 64
+CACHE, LONGEST = 1 << 17, 64
 #: Bytes up to which pre-tokens are merged together.
 SHORT = 64
 #: The space before each part.
@@ -51,6 +52,22 @@ class Parts(dict):
         return made
 
 
+@dataclass(frozen=True)
+class Words:
+    """The bytes of all ids, one after the other: what decoding needs of a vocabulary."""
+
+    lengths: np.ndarray
+    starts: np.ndarray
+    bytes: np.ndarray
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that ids stand for, and where each id's bytes end."""
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[ids] - (ends - lengths), lengths)
+        return self.bytes[at], ends
+
+
 class Vocabulary:
     """Ranks of byte strings, as in a .tiktoken file, and the pattern that splits a text before the merges."""
 
@@ -68,8 +85,8 @@ class Vocabulary:
         for raw, rank in self.ranks.items():
             words[rank] = raw
         self.lengths = np.fromiter(map(len, words), np.int64, size)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64) if size else np.zeros(0, np.int64)
-        self.bytes = np.frombuffer(b"".join(words), np.uint8)
+        starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64) if size else np.zeros(0, np.int64)
+        self.words = Words(self.lengths, starts, np.frombuffer(b"".join(words), np.uint8))
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Vocabulary:
@@ -204,13 +221,6 @@ class Vocabulary:
         """Ids of a text."""
         return np.frombuffer(self.encode_bytes(text), np.int32).tolist()
 
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes that ids stand for, and where each id's bytes end."""
-        lengths = self.lengths[ids]
-        ends = np.cumsum(lengths)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[ids] - (ends - lengths), lengths)
-        return self.bytes[at], ends
-
 
 def id_lists(lists: Iterable[list[int]]) -> pa.Array:
     """Lists of ids as one Arrow column."""
@@ -336,7 +346,7 @@ def encode(
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """rows with the bytes that ``ids`` stand for in ``out`` (binary; null or no ids: empty)."""
-    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = rows.sparkSession.sparkContext.broadcast(vocabulary.words)
     rows = rows.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -155,7 +155,7 @@ class Vectoriser:
 
     def __call__(self, text: str) -> Vector:
         """Distinct terms and their weights."""
-        if len(self.pairs) > 1 << 18:
+        if len(self.pairs) > 1 << 17:
             self.pairs.clear()
         words = WORD.findall(text.lower())
         both = np.fromiter(map(self.pairs.__getitem__, words), np.int64, len(words))
@@ -248,6 +248,7 @@ def fit(rows: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), *made], names=["doc_id", "label", "terms", "weights"])
 
     made = rows.select("doc_id", "label", "text").mapInArrow(vectors, "doc_id long, label int, terms binary, weights binary").toArrow().sort_by("doc_id")
+    bare.destroy()
     found = [(np.frombuffer(a.as_buffer(), np.int32), np.frombuffer(b.as_buffer(), np.float32)) for a, b in zip(made["terms"], made["weights"], strict=True)]
     # neighbours share their weightiest term: blocks are alike, and bounds tight
     order = sorted(range(len(found)), key=lambda i: (int(found[i][0][found[i][1].argmax()]) if len(found[i][0]) else -1, i))
@@ -256,6 +257,7 @@ def fit(rows: DataFrame) -> Model:
     model.labels = (made["label"].to_numpy()[order] > 0).astype(float)
     own = np.concatenate([[0], np.cumsum([len(t) for t, _ in found])])
     model.index = Index(own, np.concatenate([t for t, _ in found]), np.concatenate([w for _, w in found]), len(model.names))
+    del counts, made, found
     shared = spark.sparkContext.broadcast(model)
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,6 +269,7 @@ def fit(rows: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(shares, pa.float64())], names=["doc_id", "label", "share"])
 
     voted = rows.select("doc_id", "label", "text").mapInArrow(votes, "doc_id long, label int, share double").toArrow().sort_by("doc_id")
+    shared.destroy()
     model.slope = calibrate(voted["share"].to_numpy(), (voted["label"].to_numpy() > 0).astype(float))
     return model
 
