@@ -62,6 +62,16 @@ def train_edge_model(rows: DataFrame, l2: float = 1e-4, epochs: int = 25, thresh
     return Model(tuple(map(float, fitted.coefficients)), float(fitted.intercept), threshold, top_k)
 
 
+def loss_gradient(rows: DataFrame, model: Model, l2: float = 1e-4) -> DataFrame:
+    """``feature, gradient`` of the objective that train_edge_model() minimises, at a model: 0 at its optimum alone."""
+    weights = class_weights(rows).first()
+    weight = F.when(F.col("label") == 1, weights.positive_weight).otherwise(weights.negative_weight)
+    error = weight * (sigmoid_score([F.col(f) for f in FEATURES], model) - F.col("label"))
+    mean = rows.agg(*[(F.sum(error * x) / F.sum(weight)).alias(n) for n, x in [*((f, F.col(f)) for f in FEATURES), ("intercept", F.lit(1.0))]])
+    parts = [F.struct(F.lit(n).alias("feature"), (F.col(n) + l2 * c).alias("gradient")) for n, c in zip([*FEATURES, "intercept"], [*model.coef, 0.0], strict=True)]
+    return mean.select(F.inline(F.array(*parts)))
+
+
 def confusion_metrics(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Counts of hits and errors at a threshold, and the rates made of them."""
     p, y = F.col("score") >= threshold, F.col("label") == 1

