@@ -22,32 +22,82 @@ class Pattern:
     edges: tuple[tuple[str, str], ...]
 
 
-def plan(name: str, canvas: tuple[int, int], boxes: str, edges: str) -> Pattern:
-    """A pattern from text: boxes as "id x y w h, ...", edges as "a>b ..."."""
-    parts = [b.split() for b in boxes.split(",")]
-    return Pattern(name, canvas, tuple((i, *map(int, n)) for i, *n in parts), tuple(tuple(e.split(">")) for e in edges.split()))
-
-
 #: Fixed layouts.
 SYNTHFLOW = (
-    plan("chain_horizontal", (640, 360), "0 60 150 120 56, 1 260 150 120 56, 2 460 150 120 56", "0>1 1>2"),
-    plan("chain_vertical", (640, 360), "0 260 30 120 56, 1 260 145 120 56, 2 260 260 120 56", "0>1 1>2"),
-    plan("branch", (640, 360), "0 60 150 120 56, 1 240 120 120 56, 2 460 45 120 56, 3 460 225 120 56", "0>1 1>2 1>3"),
-    plan("merge", (640, 360), "0 60 150 120 56, 1 240 70 120 56, 2 240 230 120 56, 3 460 150 120 56", "0>1 0>2 1>3 2>3"),
-    plan("decision_merge", (640, 360), "0 40 150 120 56, 1 180 150 120 56, 2 340 60 120 56, 3 340 240 120 56, 4 500 150 120 56", "0>1 1>2 1>3 2>4 3>4"),
+    Pattern(
+        "chain_horizontal", (640, 360),
+        (("0", 60, 150, 120, 56), ("1", 260, 150, 120, 56), ("2", 460, 150, 120, 56)),
+        (("0", "1"), ("1", "2")),
+    ),
+    Pattern(
+        "chain_vertical", (640, 360),
+        (("0", 260, 30, 120, 56), ("1", 260, 145, 120, 56), ("2", 260, 260, 120, 56)),
+        (("0", "1"), ("1", "2")),
+    ),
+    Pattern(
+        "branch", (640, 360),
+        (("0", 60, 150, 120, 56), ("1", 240, 120, 120, 56), ("2", 460, 45, 120, 56), ("3", 460, 225, 120, 56)),
+        (("0", "1"), ("1", "2"), ("1", "3")),
+    ),
+    Pattern(
+        "merge", (640, 360),
+        (("0", 60, 150, 120, 56), ("1", 240, 70, 120, 56), ("2", 240, 230, 120, 56), ("3", 460, 150, 120, 56)),
+        (("0", "1"), ("0", "2"), ("1", "3"), ("2", "3")),
+    ),
+    Pattern(
+        "decision_merge", (640, 360),
+        (("0", 40, 150, 120, 56), ("1", 180, 150, 120, 56), ("2", 340, 60, 120, 56), ("3", 340, 240, 120, 56), ("4", 500, 150, 120, 56)),
+        (("0", "1"), ("1", "2"), ("1", "3"), ("2", "4"), ("3", "4")),
+    ),
 )
 REALWORLD_LIKE = (
-    plan("simple_horizontal", (360, 320), "A 50 120 90 70, B 215 120 88 68", "A>B"),
-    plan("branch_merge", (576, 324), "A 40 120 82 78, B 210 38 82 78, C 210 205 82 78, D 405 120 82 78", "A>B A>C B>D C>D"),
-    plan("staged_directional", (400, 300), "A 70 40 78 60, B 225 45 78 60, C 38 185 78 60, D 225 175 78 60", "C>A A>B C>D B>D"),
-    plan("fan_out_pipeline", (720, 420), "A 40 165 88 68, B 220 60 82 64, C 235 165 84 66, D 220 285 82 64, E 470 165 96 68", "A>B A>C A>D B>E C>E D>E"),
-    plan("staggered_multirow", (760, 460), "A 70 65 88 66, B 260 40 86 64, C 255 210 84 64, D 475 110 92 68, E 610 285 88 66", "A>B A>C B>D C>D D>E"),
-    plan("loop_return", (700, 420), "A 110 70 84 64, B 320 70 84 64, C 320 250 86 66, D 535 160 90 68", "A>B B>D A>C C>D D>B"),
+    Pattern(
+        "simple_horizontal", (360, 320),
+        (("A", 50, 120, 90, 70), ("B", 215, 120, 88, 68)),
+        (("A", "B"),),
+    ),
+    Pattern(
+        "branch_merge", (576, 324),
+        (("A", 40, 120, 82, 78), ("B", 210, 38, 82, 78), ("C", 210, 205, 82, 78), ("D", 405, 120, 82, 78)),
+        (("A", "B"), ("A", "C"), ("B", "D"), ("C", "D")),
+    ),
+    Pattern(
+        "staged_directional", (400, 300),
+        (("A", 70, 40, 78, 60), ("B", 225, 45, 78, 60), ("C", 38, 185, 78, 60), ("D", 225, 175, 78, 60)),
+        (("C", "A"), ("A", "B"), ("C", "D"), ("B", "D")),
+    ),
+    Pattern(
+        "fan_out_pipeline", (720, 420),
+        (("A", 40, 165, 88, 68), ("B", 220, 60, 82, 64), ("C", 235, 165, 84, 66), ("D", 220, 285, 82, 64), ("E", 470, 165, 96, 68)),
+        (("A", "B"), ("A", "C"), ("A", "D"), ("B", "E"), ("C", "E"), ("D", "E")),
+    ),
+    Pattern(
+        "staggered_multirow", (760, 460),
+        (("A", 70, 65, 88, 66), ("B", 260, 40, 86, 64), ("C", 255, 210, 84, 64), ("D", 475, 110, 92, 68), ("E", 610, 285, 88, 66)),
+        (("A", "B"), ("A", "C"), ("B", "D"), ("C", "D"), ("D", "E")),
+    ),
+    Pattern(
+        "loop_return", (700, 420),
+        (("A", 110, 70, 84, 64), ("B", 320, 70, 84, 64), ("C", 320, 250, 86, 66), ("D", 535, 160, 90, 68)),
+        (("A", "B"), ("B", "D"), ("A", "C"), ("C", "D"), ("D", "B")),
+    ),
 )
 BASIC = (
-    plan("chain", (400, 300), "A 50 100 80 80, B 240 100 80 80", "A>B"),
-    plan("branch", (500, 350), "A 60 120 80 80, B 260 60 80 80, C 260 200 80 80", "A>B A>C"),
-    plan("diamond", (600, 400), "A 60 160 80 80, B 260 80 80 80, C 260 240 80 80, D 460 160 80 80", "A>B A>C B>D C>D"),
+    Pattern(
+        "chain", (400, 300),
+        (("A", 50, 100, 80, 80), ("B", 240, 100, 80, 80)),
+        (("A", "B"),),
+    ),
+    Pattern(
+        "branch", (500, 350),
+        (("A", 60, 120, 80, 80), ("B", 260, 60, 80, 80), ("C", 260, 200, 80, 80)),
+        (("A", "B"), ("A", "C")),
+    ),
+    Pattern(
+        "diamond", (600, 400),
+        (("A", 60, 160, 80, 80), ("B", 260, 80, 80, 80), ("C", 260, 240, 80, 80), ("D", 460, 160, 80, 80)),
+        (("A", "B"), ("A", "C"), ("B", "D"), ("C", "D")),
+    ),
 )
 
 
