@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowbench.llm import bpe, decontamination, edits, jaccard, media, pii, pseudo, quality, sharding, toxicity
+from flowbench.llm import bpe, decontamination, edits, jaccard, lines, media, pii, pseudo, quality, sharding, toxicity
 from flowbench.llm.common import table
 
 
@@ -56,6 +56,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that five or more of them share."""
+    return lines.digests(table(spark, sf_dir, "documents"))
+
+
 def vocabulary() -> bpe.Vocabulary:
     """The byte-level vocabulary for many languages."""
     return bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -72,7 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_benchmark_leaks, op2_hash_tree_sharding, op3_jpeg_media, op4_edit_aware_counts, op5_pseudo_likelihood,
         op6_quality, op7_bpe_round_trip,
         op8_jaccard_components, op9_toxicity,
-        op10_personal_data,
+        op10_personal_data, op11_line_dedup,
     )}
 
 
@@ -88,6 +93,16 @@ SELECT r.x AS doc_id, coalesce(n.n, 0) AS n_shingles, min(r.y) AS component_id F
 """
 
 
+#: Keys that five documents or more hold, and the lines that they take from all but the largest.
+LINES_SQL = r"""
+WITH l AS (SELECT doc_id, k, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, row_number() OVER () AS k, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+g AS (SELECT key, max(doc_id) AS largest FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.*, g.key IS NOT NULL AND k.doc_id <> largest AS gone FROM k LEFT JOIN g ON g.key = k.key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL."""
-    return {"op8_jaccard_components": JACCARD_SQL}
+    return {"op8_jaccard_components": JACCARD_SQL, "op11_line_dedup": LINES_SQL}
