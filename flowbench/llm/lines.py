@@ -34,8 +34,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def long_lines(rows: DataFrame, min_chars: int) -> DataFrame:
     """``h1, h2, doc_id, text_key, n_lines, pos`` of the lines of keyed() whose key has at least ``min_chars`` code points."""
-    lines = F.split("text", "\n", -1)
-    each = rows.select("doc_id", "text_key", F.size(lines).alias("n_lines"), F.posexplode(lines).alias("pos", "line"))
+    # what a text gives once stands below the explode, or it would be made for every line
+    once = rows.select("doc_id", "text_key", F.split("text", "\n", -1).alias("lines")).select("*", F.size("lines").alias("n_lines"))
+    each = once.select("doc_id", "text_key", "n_lines", F.posexplode("lines").alias("pos", "line"))
     key = folded(F.btrim("line", F.lit(SPACE)))
     each = each.select("doc_id", "text_key", "n_lines", "pos", key.alias("key")).where(F.char_length("key") >= min_chars)
     return each.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "text_key", "n_lines", "pos")
@@ -73,9 +74,13 @@ def stream(min_docs: int):  # noqa: ANN201
             new_key = np.concatenate(([key != (h1[0], h2[0])], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
             new_doc = np.concatenate(([new_key[0] or last != batch.column(2)[0].as_py()], changes(batch.column(2)))) | new_key
             starts = np.flatnonzero(new_key)
-            bounds = [0, *starts[starts > 0].tolist(), len(h1)]
+            bounds = np.concatenate(([0], starts[starts > 0], [len(h1)]))
             ordinal = np.cumsum(new_doc)
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            # a key that begins and ends in this batch, in too few documents, asks for nothing
+            many = ordinal[bounds[1:] - 1] - ordinal[bounds[:-1]] >= min_docs - 1
+            many[[0, -1]] = True
+            for at in np.flatnonzero(many).tolist():
+                lo, hi = int(bounds[at]), int(bounds[at + 1])
                 if new_key[lo]:
                     if key is not None:
                         if edge:
