@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowbench.llm import bpe, decontamination, edits, jaccard, lines, media, pii, pseudo, quality, sharding, toxicity
+from flowbench.llm import bpe, conversations, decontamination, edits, jaccard, lines, media, pii, pseudo, quality, sharding, toxicity
 from flowbench.llm.common import table
 
 
@@ -61,6 +61,12 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by a hash of each row and repaired."""
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.digests(conversations.damaged(rows), rows)
+
+
 def vocabulary() -> bpe.Vocabulary:
     """The byte-level vocabulary for many languages."""
     return bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -77,7 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_benchmark_leaks, op2_hash_tree_sharding, op3_jpeg_media, op4_edit_aware_counts, op5_pseudo_likelihood,
         op6_quality, op7_bpe_round_trip,
         op8_jaccard_components, op9_toxicity,
-        op10_personal_data, op11_line_dedup,
+        op10_personal_data, op11_line_dedup, op13_conversation_repair,
     )}
 
 
