@@ -9,15 +9,14 @@ its ranges give; there are at most two such keys a range.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowbench.llm.common import folded, fresh, saved, slices, small
+from flowbench.llm.common import folded, fresh, saved, small
 
 #: Fixed white space of a line's ends.
 SPACE = " \t\n\x0b\x0c\r"
@@ -26,10 +25,15 @@ MIN_CHARS, MIN_DOCS = 40, 5
 GOES, OPEN, COUNT = 0, 1, 2
 
 
+def text_key(text: Column) -> Column:
+    """What tells texts of one id apart."""
+    return F.struct(F.xxhash64(text).alias("a"), F.octet_length(text).alias("b"))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` (null: empty) with ``text_key``, which tells texts of one id apart."""
+    """``doc_id, text`` (null: empty) with their text_key."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.struct(F.xxhash64(text).alias("a"), F.octet_length(text).alias("b")).alias("text_key"))
+    return docs.select("doc_id", text.alias("text"), text_key(text).alias("text_key"))
 
 
 def long_lines(rows: DataFrame, min_chars: int) -> DataFrame:
@@ -105,21 +109,10 @@ def stream(min_docs: int):  # noqa: ANN201
     return run
 
 
-def deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Positions of lines that go as deflated bitmaps of those that stay, eight lines a byte, the first in the highest bit."""
-    for batch in batches:
-        made = []
-        for size, gone in zip(batch.column("n_lines").to_pylist(), batch.column("gone"), strict=True):
-            bits = np.ones(size, bool)
-            bits[gone.values.to_numpy(zero_copy_only=False)] = False
-            made.append(zlib.compress(np.packbits(bits).tobytes(), 9))
-        columns = {c: batch.column(c) for c in ("doc_id", "text_key", "n_lines", "n_dropped")} | {"keep": pa.array(made, pa.binary())}
-        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``doc_id, text_key, n_lines, n_dropped long, keep binary`` of the documents that lose lines; all others keep all.
+    """``doc_id, text_key, n_lines, n_dropped long, keep`` of the documents that lose lines; all others keep all.
 
+    keep is a bitmap of the lines that stay, compressed as runs: array<struct<start,end>>, the end exclusive.
     A line's key is the line without white space at its ends, A-Z in lower case. Keys of ``min_chars`` code points or more
     in ``min_docs`` documents or more lose their lines in all but the largest doc_id. Rows of one doc_id are one document,
     whatever their texts; a null id is a document of its own, smaller than all others; repeated rows count once. A null
@@ -135,23 +128,16 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     late = told.where(F.col("kind") == OPEN).join(F.broadcast(counts), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("largest")))
     columns = ["doc_id", "text_key", "n_lines", "pos"]
     gone = told.where(F.col("kind") == GOES).select(*columns).unionByName(late.select(*columns))
-    lists = gone.groupBy("doc_id", "text_key", "n_lines").agg(F.collect_list("pos").alias("gone"), F.count(F.lit(1)).alias("n_dropped"))
-    id_type, key_type = (dict(lists.dtypes)[c] for c in ("doc_id", "text_key"))
-    return lists.mapInArrow(deflated, f"doc_id {id_type}, text_key {key_type}, n_lines int, n_dropped long, keep binary")
+    lists = gone.groupBy("doc_id", "text_key", "n_lines").agg(F.sort_array(F.collect_list("pos")).alias("gone"), F.count(F.lit(1)).alias("n_dropped"))
+    starts, ends = F.concat(F.array(F.lit(0)), F.transform("gone", lambda p: p + 1)), F.concat("gone", F.array("n_lines"))
+    runs = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+    return lists.select("doc_id", "text_key", "n_lines", "n_dropped", F.filter(runs, lambda r: r["end"] > r["start"]).alias("keep"))
 
 
-def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the lines that their bitmaps leave out."""
-    for batch in batches:
-        for part in slices(batch, "text"):
-            texts = part.column("text").to_pylist()
-            for k, keep in enumerate(part.column("keep").to_pylist()):
-                if keep is not None:
-                    lines = texts[k].split("\n")
-                    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=len(lines))
-                    texts[k] = "\n".join(line for line, stays in zip(lines, bits.tolist(), strict=True) if stays)
-            columns = dict(zip(part.schema.names, part.columns, strict=True)) | {"text": pa.array(texts, pa.string())}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+def kept_text(text: Column, keep: Column) -> Column:
+    """A text's lines that its bitmap keeps; all where there is none."""
+    runs = F.transform(keep, lambda r: F.slice(F.split(text, "\n", -1), r["start"] + 1, r["end"] - r["start"]))
+    return F.when(keep.isNull(), text).otherwise(F.array_join(F.flatten(runs), "\n"))
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -163,19 +149,15 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 def without_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with their texts less the lines of keep_bitmaps(); all rows and columns stay, a null text stays null."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    [other, dropped, keep, key] = fresh(docs, "_rest", "n_dropped", "keep", "text_key")
-    bitmaps = small(keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("_id"), F.col("text_key").alias(key), "keep"))
-    text = F.coalesce("text", F.lit(""))
-    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias(other), F.struct(F.xxhash64(text).alias("a"), F.octet_length(text).alias("b")).alias("_key"))
-    rows = packed.join(bitmaps, packed.doc_id.eqNullSafe(F.col("_id")) & (F.col("_key") == F.col(key)), "left").select("doc_id", "text", other, "keep")
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    return rows.mapInArrow(kept, schema).select(*[F.col(other)[c].alias(c) if c in rest else F.col(c) for c in docs.columns])
+    own, key, mark, keep = fresh(docs, "_id", "_key", "_mark", "_keep")
+    bitmaps = small(keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias(own), F.col("text_key").alias(key), F.col("keep").alias(keep)))
+    rows = docs.withColumn(mark, text_key(F.coalesce("text", F.lit(""))))
+    rows = rows.join(bitmaps, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(mark) == F.col(key)), "left")
+    return rows.select(*[kept_text(F.col("text"), F.col(keep)).alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 
 def digests(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept_sha256`` of all documents, from their bitmaps."""
     rows = with_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs))
-    rows = rows.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"), "text", "keep")
-    rows = rows.mapInArrow(kept, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes))
-    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+    n_lines, dropped = F.size(F.split("text", "\n", -1)).cast("long"), F.coalesce("n_dropped", F.lit(0).cast("long"))
+    return rows.select("doc_id", n_lines.alias("n_lines"), dropped.alias("n_dropped"), F.sha2(kept_text(F.col("text"), F.col("keep")), 256).alias("kept_sha256"))

@@ -5,9 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import random
-import zlib
 
-import numpy as np
 import pytest
 
 from flowbench.llm import lines
@@ -68,7 +66,7 @@ def test_lines_against_brute_force(spark, rows, ranges):
 def test_bitmaps_and_texts(spark, rows):
     docs = spark.createDataFrame([(i, t, "mine", 1) for i, t in rows], "doc_id long, text string, keep string, n_dropped int")
     made = {(r.doc_id, r.text_key.a): r for r in lines.keep_bitmaps(docs).collect()}
-    assert all(r.n_dropped == r.n_lines - np.unpackbits(np.frombuffer(zlib.decompress(r.keep), np.uint8), count=r.n_lines).sum() > 0 for r in made.values())
+    assert all(r.n_dropped == r.n_lines - sum(k.end - k.start for k in r.keep) > 0 for r in made.values())
     out = lines.without_shared_lines(docs)
     assert out.columns == docs.columns and {(r.keep, r.n_dropped) for r in out.collect()} == {("mine", 1)}
     texts = collections.Counter((r.doc_id, r.text) for r in out.collect())
