@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowbench.llm import bpe, conversations, decontamination, edits, jaccard, lines, media, pii, pseudo, quality, sharding, toxicity
+from flowbench.llm import bpe, conversations, decontamination, edits, jaccard, lines, media, phrases, pii, pseudo, quality, sharding, toxicity
 from flowbench.llm.common import table
 
 
@@ -61,6 +61,11 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language in all documents."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, damaged by a hash of each row and repaired."""
     rows = table(spark, sf_dir, "conversations")
@@ -83,7 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_benchmark_leaks, op2_hash_tree_sharding, op3_jpeg_media, op4_edit_aware_counts, op5_pseudo_likelihood,
         op6_quality, op7_bpe_round_trip,
         op8_jaccard_components, op9_toxicity,
-        op10_personal_data, op11_line_dedup, op13_conversation_repair,
+        op10_personal_data, op11_line_dedup, op12_collocations, op13_conversation_repair,
     )}
 
 
@@ -109,6 +114,24 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone
 """
 
 
+#: Counts of all phrases, the lowest-scoring cut of each candidate, and what no longer candidate covers.
+COLLOCATIONS_SQL = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, [x for x in regexp_split_to_array(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+') if x <> ''] AS w FROM t),
+g AS (SELECT lang, unnest(w) AS phrase, 1 AS k FROM p UNION ALL SELECT lang, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]), 2 FROM p
+  UNION ALL SELECT lang, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]), 3 FROM p),
+f AS (SELECT lang, phrase, k, count(*) AS n FROM g GROUP BY ALL),
+tot AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, k, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 10),
+u AS (SELECT lang, phrase, k, a, 1 AS cut, w[1] AS lp, array_to_string(w[2:], ' ') AS rp FROM c UNION ALL SELECT lang, phrase, k, a, 2, w[1] || ' ' || w[2], w[3] FROM c WHERE k = 3),
+s AS (SELECT u.*, l.n AS l, r.n AS r, CAST((CAST(a AS HUGEINT) * a * 1000000) // (CAST(l.n AS HUGEINT) * r.n) AS BIGINT) AS score FROM u JOIN f l ON l.lang = u.lang AND l.phrase = lp JOIN f r ON r.lang = u.lang AND r.phrase = rp),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT lang, part, max(a) AS a FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS part FROM c WHERE k = 3) GROUP BY ALL),
+z AS (SELECT b.lang, b.phrase, b.a, l, r, score FROM b LEFT JOIN o ON o.lang = b.lang AND o.part = b.phrase WHERE o.a IS NULL OR 100 * o.a < 50 * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z) JOIN tot USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL."""
-    return {"op8_jaccard_components": JACCARD_SQL, "op11_line_dedup": LINES_SQL}
+    return {"op8_jaccard_components": JACCARD_SQL, "op11_line_dedup": LINES_SQL, "op12_collocations": COLLOCATIONS_SQL}
