@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowbench.functions.text import file_stem
+from flowbench.sources.files import hash_files
 
 
 def verify_manifest(expected: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -16,8 +17,16 @@ def verify_manifest(expected: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 
 def verify_manifest_deep(artifacts: DataFrame, files: DataFrame) -> DataFrame:
-    """``dataset, local_path, status`` after hashing the files (``dataset, path, content``) again."""
-    have = files.select("dataset", F.col("path").alias("local_path"), F.sha2("content", 256).alias("have"), F.lit(True).alias("there"))
+    """``dataset, local_path, status`` after hashing the files again: ok, missing or sha_mismatch.
+
+    files has ``dataset, path`` (as the artifact's local_path) and the file's ``content``, or its ``location``: it is then
+    read as a stream by one task, and may be of any size. A location without a file counts as missing.
+    """
+    if "content" in files.columns:
+        have = files.select("dataset", F.col("path").alias("local_path"), F.sha2("content", 256).alias("have"), F.lit(True).alias("there"))
+    else:
+        digests = hash_files(files.select(F.col("location").alias("path"))).select(F.col("path").alias("location"), F.col("sha256").alias("have"))
+        have = files.join(digests, "location").where(F.col("have").isNotNull()).select("dataset", F.col("path").alias("local_path"), "have", F.lit(True).alias("there"))
     status = F.when(F.col("there").isNull(), "missing").when(~F.col("sha256").eqNullSafe(F.col("have")), "sha_mismatch").otherwise("ok")
     return artifacts.join(have, ["dataset", "local_path"], "left").select("dataset", "local_path", status.alias("status"))
 

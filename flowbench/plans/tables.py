@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,8 @@ from flowbench.operators.pairs import FEATURES, label_pairs, pair_features
 from flowbench.plans import testdata as T
 from flowbench.plans.evaluation import _FEATURES, LEARNED, MODEL, PAIRS, SCORED, rounded  # noqa: F401
 from flowbench.plans.testdata import SQL
-from flowbench.sources import readers, writers
+from flowbench.sources import files, readers, writers
+from flowbench.sources.files import shared_dir
 
 WITH = f"WITH {SQL}"
 K = "dataset, sample_id"
@@ -91,6 +94,61 @@ def q_resolve_labels(spark: SparkSession, d: str) -> DataFrame:
     return graphs.resolve_labels(found).select(*KEY, *long("node_id"), "label", "source")
 
 
+# --- files -----------------------------------------------------------------------------------------------------------
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+def q_graph_files(spark: SparkSession, d: str) -> DataFrame:
+    """write_graphs and read_graphs: every diagram in a file of its own, and read again."""
+    path = folder(spark)
+    writers.write_graphs(T.gt_nodes(spark, d), T.gt_edges(spark, d), path)
+    nodes, edges = readers.read_graphs(spark, path)
+    ends = edges.select(*KEY, *long("pos"), F.lit("edge").alias("kind"), F.concat_ws(">", "source", "target").alias("name"), F.lit(None).cast("double").alias("x"))
+    return nodes.select(*KEY, *long("pos"), F.lit("node").alias("kind"), F.col("node_id").alias("name"), "x").unionByName(ends)
+
+
+def q_dataset_files(spark: SparkSession, d: str) -> DataFrame:
+    """write_dataset_meta and read_dataset_meta."""
+    path = folder(spark)
+    writers.write_dataset_meta(T.samples(spark, d), path)
+    return readers.read_dataset_meta(spark, path)[1].select("dataset", "split", *long("ord"), "sample_id")
+
+
+def q_result_files(spark: SparkSession, d: str) -> DataFrame:
+    """write_results and read_results."""
+    path = folder(spark)
+    writers.write_results(runs(spark, d).drop("k"), {"timestamp_utc": F.lit("2026-01-01T00:00:00Z")}, path)
+    metric = lambda n: F.col("metrics")[n].alias(n)
+    return readers.read_results(spark, path)[0].select("dataset", "split", "predictor", "num_samples", metric("edge_f1"), metric("node_f1"), F.col("run")["timestamp_utc"].alias("timestamp_utc"))
+
+
+def text_files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as files, and rows ``dataset, k, path, location`` of where they are; every 17th is not written."""
+    root, k = folder(spark), F.col("doc_id")
+    name = F.concat("source", F.lit("/"), k.cast("string"), F.lit(".txt"))
+    rows = read(spark, d, "documents").select(F.col("source").alias("dataset"), k.alias("k"), name.alias("path"), F.concat(F.lit(f"{root}/"), name).alias("location"), "text")
+    files.write_documents(rows.where("k % 17 <> 0").select("path", F.col("text").alias("value")), root)
+    return rows, rows.drop("text")
+
+
+def q_manifest_files(spark: SparkSession, d: str) -> DataFrame:
+    """write_manifest of files that are hashed as streams, and read_manifests."""
+    path, where = folder(spark), text_files(spark, d)[1]
+    writers.write_manifest(where.select("dataset", F.concat(F.lit("https://host.test/"), "path").alias("url"), F.col("path").alias("local_path"), F.col("location").alias("path")), "set", "1", path)
+    return readers.read_manifests(spark, path).select("name", "version", "url", "sha256", "bytes", "local_path")
+
+
+def q_verify_manifest_files(spark: SparkSession, d: str) -> DataFrame:
+    """verify_manifest_deep over files."""
+    rows, where = text_files(spark, d)
+    listed = rows.select("dataset", F.col("path").alias("local_path"), F.when(F.col("k") % 10 == 0, "0").otherwise(F.sha2("text", 256)).alias("sha256"))
+    return manifest.verify_manifest_deep(listed, where)
+
+
 # --- checks ----------------------------------------------------------------------------------------------------------
 
 
@@ -386,6 +444,7 @@ QUERIES = {
     "write_graphs": lambda s, d: graph_docs(s, d), "canonical_json": lambda s, d: graph_docs(s, d).select(*KEY, canonical_json(F.col("value")).alias("value")),
     "write_dataset_meta": lambda s, d: writers.dataset_documents(T.samples(s, d)),
     "read_dataset_meta": lambda s, d: readers.parse_splits(writers.dataset_documents(T.samples(s, d)).withColumnRenamed("document", "value"), ["dataset"]).select("dataset", "split", *long("ord"), "sample_id"),
+    "graph_files": q_graph_files, "dataset_files": q_dataset_files, "result_files": q_result_files, "manifest_files": q_manifest_files, "verify_manifest_files": q_verify_manifest_files,
     "list_files": lambda s, d: readers.listed(read(s, d, "documents").select(F.concat(F.lit("raw/"), "source", F.lit("/img_"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".PNG").when(F.col("doc_id") % 3 == 1, ".jpg").otherwise(".txt")).alias("path"), F.col("n_chars").alias("length"))),
     "read_labels": q_read_labels, "node_display_label": q_node_display_label, "to_identifier": q_to_identifier, "resolve_labels": q_resolve_labels,
     "labels_template": lambda s, d: graphs.labels_template(T.gt_nodes(s, d)),
@@ -457,6 +516,11 @@ SQLS = {
     "write_dataset_meta": f"""{WITH}, l AS (SELECT dataset, split, '"' || split || '":[' || string_agg('"' || sample_id || '"', ',' ORDER BY sample_id) || ']' AS e FROM samples GROUP BY dataset, split)
  SELECT dataset, '{{"schema_version":"1.0","name":"' || dataset || '","version":"0.1","splits":{{' || string_agg(e, ',' ORDER BY e) || '}}}}' AS document FROM l GROUP BY dataset""",
     "read_dataset_meta": f"{WITH} SELECT dataset, split, row_number() OVER (PARTITION BY dataset, split ORDER BY sample_id) - 1 AS ord, sample_id FROM samples",
+    "graph_files": f"{WITH} SELECT {K}, pos, 'node' AS kind, node_id AS name, x FROM gt_nodes UNION ALL SELECT {K}, idx, 'edge', source || '>' || target, NULL FROM {_EDGE}",
+    "dataset_files": f"{WITH} SELECT dataset, split, row_number() OVER (PARTITION BY dataset, split ORDER BY sample_id) - 1 AS ord, sample_id FROM samples",
+    "result_files": f"{RUNS} SELECT dataset, split, predictor, num_samples, edge_f1, node_f1, '2026-01-01T00:00:00Z' AS timestamp_utc FROM r",
+    "manifest_files": "SELECT 'set' AS name, '1' AS version, 'https://host.test/' || source || '/' || doc_id || '.txt' AS url, sha256(text) AS sha256, strlen(text) AS bytes, source || '/' || doc_id || '.txt' AS local_path FROM documents WHERE doc_id % 17 <> 0",
+    "verify_manifest_files": "SELECT source AS dataset, source || '/' || doc_id || '.txt' AS local_path, CASE WHEN doc_id % 17 = 0 THEN 'missing' WHEN doc_id % 10 = 0 THEN 'sha_mismatch' ELSE 'ok' END AS status FROM documents",
     "list_files": "SELECT 'raw/' || source || '/img_' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.PNG' ELSE '.jpg' END AS path, 'img_' || doc_id AS sample_id, CASE doc_id % 3 WHEN 0 THEN 'png' ELSE 'jpg' END AS suffix, n_chars AS length FROM documents WHERE doc_id % 3 < 2",
     "read_labels": f"{LABELS} SELECT {K}, n AS node_id, label FROM lb",
     "node_display_label": f"""{LABELS} SELECT {K}, node_id, CASE WHEN n % 3 = 0 THEN 'own' WHEN n % 2 = 0 THEN coalesce(label, node_id) ELSE node_id END AS label,

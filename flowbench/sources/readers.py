@@ -17,9 +17,13 @@ IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "bmp", "gif", "webp", "tif", "tiff")
 
 
 def documents(spark: SparkSession, paths: str | list[str], glob: str = "*.json") -> DataFrame:
-    """Whole files as rows ``path, value``, each path once."""
+    """Whole files as rows ``path, value``, each path once; paths as the files are called, not as addresses escape them."""
     rows = spark.read.text(paths, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
-    return rows.select(F.col("_metadata.file_path").alias("path"), "value").dropDuplicates(["path"])
+    return rows.select(unescaped(F.col("_metadata.file_path")).alias("path"), "value").dropDuplicates(["path"])
+
+
+def unescaped(path: Column) -> Column:
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 def json(value: Column) -> Column:
@@ -67,9 +71,16 @@ def parse_edges(graphs: DataFrame, keys: list[str], value: str = "value") -> Dat
     return rows.select(*keys, "pos", pick(0).alias("source"), pick(1).alias("target"), text("direction").alias("direction"))
 
 
-def read_graphs(spark: SparkSession, path: str, dataset: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the graph files below a path; the sample is the file's stem."""
-    rows = documents(spark, path).select(F.lit(dataset).alias("dataset"), file_stem(F.col("path")).alias("sample_id"), "value")
+def read_graphs(spark: SparkSession, path: str, dataset: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the graph files below a path; the sample is the file's stem.
+
+    Without a name, the dataset is the folder that a file's folder is in (``<dataset>/graphs/<sample_id>.json``), and only
+    files in folders called graphs count.
+    """
+    rows = documents(spark, path)
+    own = F.lit(dataset) if dataset is not None else F.element_at(F.split("path", "/"), -3)
+    rows = rows if dataset is not None else rows.where(F.element_at(F.split("path", "/"), -2) == "graphs")
+    rows = rows.select(own.alias("dataset"), file_stem(F.col("path")).alias("sample_id"), "value")
     keys = ["dataset", "sample_id"]
     return parse_nodes(rows, keys), parse_edges(rows, keys)
 
