@@ -126,6 +126,15 @@ def q_result_files(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_results(spark, path)[0].select("dataset", "split", "predictor", "num_samples", metric("edge_f1"), metric("node_f1"), F.col("run")["timestamp_utc"].alias("timestamp_utc"))
 
 
+def q_record_files(spark: SparkSession, d: str) -> DataFrame:
+    """read_split_records over list files, many tasks a file."""
+    path = folder(spark)
+    lists = record_lists(spark, d).withColumn("value", F.replace("value", F.lit('{"file"'), F.lit(' {\n"note":"[,\\"]}", "file"')))
+    files.write_documents(lists.select(F.format_string("list-%d.json", F.col("list_id")).alias("path"), "value"), path)
+    found = readers.read_split_records(spark, path)
+    return found.select(F.regexp_extract("path", r"list-(\d+)\.json$", 1).cast("long").alias("list_id"), *long("rec_pos"), *[F.get_json_object("record", f"$.{n}").alias(n) for n in ("file", "note")])
+
+
 def text_files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Documents as files, and rows ``dataset, k, path, location`` of where they are; every 17th is not written."""
     root, k = folder(spark), F.col("doc_id")
@@ -444,7 +453,7 @@ QUERIES = {
     "write_graphs": lambda s, d: graph_docs(s, d), "canonical_json": lambda s, d: graph_docs(s, d).select(*KEY, canonical_json(F.col("value")).alias("value")),
     "write_dataset_meta": lambda s, d: writers.dataset_documents(T.samples(s, d)),
     "read_dataset_meta": lambda s, d: readers.parse_splits(writers.dataset_documents(T.samples(s, d)).withColumnRenamed("document", "value"), ["dataset"]).select("dataset", "split", *long("ord"), "sample_id"),
-    "graph_files": q_graph_files, "dataset_files": q_dataset_files, "result_files": q_result_files, "manifest_files": q_manifest_files, "verify_manifest_files": q_verify_manifest_files,
+    "graph_files": q_graph_files, "record_files": q_record_files, "dataset_files": q_dataset_files, "result_files": q_result_files, "manifest_files": q_manifest_files, "verify_manifest_files": q_verify_manifest_files,
     "list_files": lambda s, d: readers.listed(read(s, d, "documents").select(F.concat(F.lit("raw/"), "source", F.lit("/img_"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".PNG").when(F.col("doc_id") % 3 == 1, ".jpg").otherwise(".txt")).alias("path"), F.col("n_chars").alias("length"))),
     "read_labels": q_read_labels, "node_display_label": q_node_display_label, "to_identifier": q_to_identifier, "resolve_labels": q_resolve_labels,
     "labels_template": lambda s, d: graphs.labels_template(T.gt_nodes(s, d)),
@@ -517,6 +526,7 @@ SQLS = {
  SELECT dataset, '{{"schema_version":"1.0","name":"' || dataset || '","version":"0.1","splits":{{' || string_agg(e, ',' ORDER BY e) || '}}}}' AS document FROM l GROUP BY dataset""",
     "read_dataset_meta": f"{WITH} SELECT dataset, split, row_number() OVER (PARTITION BY dataset, split ORDER BY sample_id) - 1 AS ord, sample_id FROM samples",
     "graph_files": f"{WITH} SELECT {K}, pos, 'node' AS kind, node_id AS name, x FROM gt_nodes UNION ALL SELECT {K}, idx, 'edge', source || '>' || target, NULL FROM {_EDGE}",
+    "record_files": """SELECT l_orderkey // 100 AS list_id, r AS rec_pos, l_orderkey || '.jpeg' AS file, '[,"]}' AS note FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey // 100 ORDER BY l_orderkey) - 1 AS r FROM (SELECT DISTINCT l_orderkey FROM lineitem))""",
     "dataset_files": f"{WITH} SELECT dataset, split, row_number() OVER (PARTITION BY dataset, split ORDER BY sample_id) - 1 AS ord, sample_id FROM samples",
     "result_files": f"{RUNS} SELECT dataset, split, predictor, num_samples, edge_f1, node_f1, '2026-01-01T00:00:00Z' AS timestamp_utc FROM r",
     "manifest_files": "SELECT 'set' AS name, '1' AS version, 'https://host.test/' || source || '/' || doc_id || '.txt' AS url, sha256(text) AS sha256, strlen(text) AS bytes, source || '/' || doc_id || '.txt' AS local_path FROM documents WHERE doc_id % 17 <> 0",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from flowbench.functions.text import file_name, file_stem
 from flowbench.operators.predictors import Model
+from flowbench.sources.arrays import read_array_records
 
 #: Fixed suffixes of image files.
 IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "bmp", "gif", "webp", "tif", "tiff")
@@ -127,9 +128,10 @@ def parse_records(rows: DataFrame, keys: list[str], limit: int | None = None) ->
     return out.select(*keys, "rec_pos", F.to_json("r").alias("record"))
 
 
-def read_split_records(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Records of list files, dealt out anew so that one large file is not one task."""
-    return parse_records(documents(spark, path), ["path"], limit).repartition("path", "rec_pos")
+def read_split_records(spark: SparkSession, path: str, limit: int | None = None, glob: str = "*.json") -> DataFrame:
+    """``path, rec_pos, record`` of list files of any size: many tasks read each; a record that is no JSON is null."""
+    rows = read_array_records(spark, path, glob, limit)
+    return rows.select(unescaped(F.col("path")).alias("path"), F.col("rec_pos").cast("int").alias("rec_pos"), F.to_json(json(F.col("record"))).alias("record"))
 
 
 def parse_manifests(rows: DataFrame, keys: list[str]) -> DataFrame:

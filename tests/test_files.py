@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
+import json
 import os
+import random
 import subprocess
 import sys
 from pathlib import Path
@@ -12,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from flowbench.sources import files, readers, writers
+from flowbench.sources import arrays, files, readers, writers
 from tests.test_matching import edges, nodes
 
 NODE = ["dataset", "sample_id", "pos", "node_id", "x", "y", "w", "h", "label"]
@@ -121,6 +124,46 @@ def test_a_task_that_fails_once(tmp_path):
     assert done.returncode == 0, done.stderr[-3000:]
 
 
+def odd_lists():
+    rng = random.Random(6)
+    word = lambda: rng.choice(["a,b", '"', "\\", "\\\\", "[{", "}]", "é🙂\u2028", "", " x "])
+
+    def value(deep=0):
+        kind = rng.randrange(6 if deep < 3 else 4)
+        if kind < 4:
+            return [None, rng.random(), word(), 12][kind]
+        return [value(deep + 1) for _ in range(rng.randrange(4))] if kind == 4 else {word(): value(deep + 1) for _ in range(rng.randrange(3))}
+
+    for k in range(30):
+        rows = [value() for _ in range(rng.choice([0, 1, 2, 5, 40]))]
+        yield f"{k}.json", rows, json.dumps(rows, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]), separators=rng.choice([None, (",", ":")]))
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1009, 1 << 20])
+def test_arrays_cut_anywhere(spark, tmp_path, size):
+    want = {}
+    for name, rows, text in odd_lists():
+        if len(text) > 300 * size:
+            continue
+        (tmp_path / name).write_text(f"\n {text}\t ", encoding="utf-8")
+        want[name] = rows
+    for k, text in enumerate(['{"a":[1,2]}', "[1,2", "[1,2]]", '["a,]', "", "12", "[1],[2", '{"a":1},[2]']):
+        (tmp_path / f"no-{k}.json").write_text(text)
+    (tmp_path / "mark.json").write_text('\ufeff[ 1 , {"a" : [ ] } ]', encoding="utf-8")
+    want["mark.json"] = [1, {"a": []}]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        found = collections.defaultdict(dict)
+        for r in arrays.read_array_records(spark, str(tmp_path)).collect():
+            found[r.path.rsplit("/", 1)[1]][r.rec_pos] = json.loads(r.record)
+        some = readers.read_split_records(spark, str(tmp_path), 2).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {n: [v[k] for k in range(len(v))] for n, v in found.items()} == {n: rows for n, rows in want.items() if rows}
+    assert sorted((r.path.rsplit("/", 1)[1], r.rec_pos) for r in some) == sorted((n, k) for n, rows in want.items() for k in range(min(2, len(rows))))
+
+
 def test_digests_of_files_over_2_gb(spark, tmp_path):
     big, size = tmp_path / "big file.bin", (2 << 30) + 12345
     with big.open("wb") as f:
