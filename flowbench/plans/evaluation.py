@@ -27,7 +27,7 @@ def q_match_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def matches(spark: SparkSession, d: str) -> DataFrame:
-    return matching.match_nodes(matching.match_candidates(T.gt_nodes(spark, d), T.pred_nodes(spark, d)))
+    return matching.matched(T.gt_nodes(spark, d), T.pred_nodes(spark, d))
 
 
 def q_project_edges(spark: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,44 @@ def test_grid_and_helper_give_the_same_matches(spark):
     grid = matching.match_candidates(gt, pred, 0.9, grid=True)
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, grid.collect())) and plain.count() > 200
     assert sorted(map(tuple, matching.match_nodes(plain).collect())) == sorted(map(tuple, matching.match_nodes(grid, 5).collect()))
+
+
+def scattered(spark, n, predictor=None, seed=5, canvas=True):
+    rng = random.Random(seed)
+    side = 40 * n**0.5
+    rows = [("big", f"{k}", (rng.randrange(int(side)), rng.randrange(int(side)), rng.choice([1, 20, 30, 60]), rng.choice([2, 20, 40]))) for k in range(n)]
+    rows += [("big", "canvas", (0, 0, side, side))] * canvas + [(s, f"{k}", (k * 50, 0, 30, 30)) for s in ("a", "b") for k in range(4)]
+    return nodes(spark, rows, predictor), rows
+
+
+def test_sizes_decide_and_give_the_same(spark):
+    gt, _ = scattered(spark, 400)
+    pred, _ = scattered(spark, 400, "p", 5)
+    pred = pred.withColumn("x", F.col("x") + F.pmod(F.hash("node_id"), F.lit(15)))
+    want = sorted(map(tuple, matching.match_nodes(matching.match_candidates(gt, pred, 0.4, large=10**6)).collect()))
+    assert sorted(map(tuple, matching.matched(gt, pred, 0.4, 100).collect())) == want == sorted(map(tuple, matching.matched(gt, pred, 0.4, 0).collect())) and len(want) > 300
+    assert pairs(matching.matched(gt, pred, 0.4, 100)) == {(a, b) for *_, a, b in want}
+
+
+def test_one_large_box_does_not_make_all_pairs(spark):
+    """20,000 boxes and one of the whole canvas: candidates as by brute force, few joined rows a node."""
+    gt, rows = scattered(spark, 20000)
+    pred = gt.withColumn("x", F.col("x") + 3).withColumn("predictor", F.lit("p"))
+    grid = matching.match_candidates(gt, pred, 0.35)
+    found = {(r.pred_id, r.gt_id) for r in grid.where("sample_id = 'big'").collect()}
+    box = np.array([b for s, _, b in rows if s == "big"], float)
+    ids = [i for s, i, _ in rows if s == "big"]
+    gx, gy, far = box[:, 0] + box[:, 2] / 2, box[:, 1] + box[:, 3] / 2, 0.35 * np.hypot(box[:, 2], box[:, 3])
+    want = set()
+    for k, i in enumerate(ids):
+        for j in np.flatnonzero(np.hypot(gx - (gx[k] + 3), gy - gy[k]) <= far):
+            want.add((i, ids[j]))
+    assert found == want
+    few, many = matching.split_by_size(matching.last_of_id(gt), matching.LARGE)
+    joined = []
+    inner, matching.within_reach = matching.within_reach, lambda pairs, alpha: joined.append(pairs) or inner(pairs, alpha)
+    try:
+        matching.grid_candidates(many, matching.last_of_id(pred), 0.35)
+    finally:
+        matching.within_reach = inner
+    assert joined[0].count() < 50 * len(ids)
