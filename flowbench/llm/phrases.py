@@ -25,7 +25,9 @@ from flowbench.llm.common import saved, slices
 
 SUPPORT, SHARDS, TOP = 10, 4, 2000
 #: Text that a task counts at once, in bytes; a longer text is a chunk of its own.
-CHUNK = 1 << 23
+CHUNK = 1 << 22
+#: Phrases of chunks that a task adds up before it hands them on, and ranges of hashes for each shuffle partition.
+PAIRS, BUCKETS = 1 << 20, 8
 #: Bits of the candidates' filter and bits a candidate sets. It costs 16 MB; on larger corpora it lets more phrases through.
 FILTER_BITS, FILTER_HASHES, STRIDE = 1 << 27, 4, 12
 #: Fixed kinds of bytes: 0 of a word, 1 between words, 2 between pieces.
@@ -96,14 +98,72 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]
     yield from held.items()
 
 
-def mine(shards: int):  # noqa: ANN201
-    """A mapInArrow function: ``shard, h, n`` of every phrase in each chunk; a task's documents are of one shard."""
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order, each once, with the sums of their counts."""
+    h, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(h)
+    h, n = h[order], n[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(h), 1), bool), h[1:] != h[:-1])))
+    return h[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def mine(shards: int, buckets: int):  # noqa: ANN201
+    """A mapInArrow function: ``bucket, shard, h, n`` of a task's phrases, whose documents are of one shard.
+
+    A row holds the hashes of one range and their counts, as bytes, so that what is shuffled is a few rows a task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId() % shards
+        shard, parts, size = TaskContext.get().partitionId() % shards, [], 0
+        edges = [(k << 64) // buckets for k in range(1, buckets)]
+
+        def flush() -> pa.RecordBatch:
+            h, n = merged(parts)
+            n = n.astype(np.int32)
+            at = [0, *np.searchsorted(h, np.array(edges, np.uint64)).tolist(), len(h)]
+            full = [k for k in range(buckets) if at[k] < at[k + 1]]
+            cut = lambda x: pa.array([x[at[k] : at[k + 1]].tobytes() for k in full], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([shard] * len(full), pa.int32()), cut(h), cut(n)], names=["bucket", "shard", "h", "n"])
+
         for lang, texts in chunks(batches):
             for h, n, _ in phrases_of(texts, lang):
-                yield from cut_up(pa.RecordBatch.from_arrays([pa.array(np.full(len(h), shard, np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["shard", "h", "n"]))
+                parts.append((h, n.astype(np.int32)))
+                size += len(h)
+            if size >= PAIRS:
+                yield flush()
+                parts, size = [], 0
+        if parts:
+            yield flush()
+
+    return run
+
+
+def frequent_in_shards(support: int):  # noqa: ANN201
+    """A mapInArrow function over mine()'s rows in order of bucket and shard: ``h`` of phrases that a shard finds frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, parts, found = None, [], []
+
+        def mined() -> np.ndarray:
+            h, n = merged(parts)
+            return h[n >= support]
+
+        def union() -> Iterator[pa.RecordBatch]:
+            yield from cut_up(pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).view(np.int64))], names=["h"]))
+
+        for batch in batches:
+            for bucket, shard, h, n in zip(*[batch.column(c).to_pylist() for c in ("bucket", "shard", "h", "n")], strict=True):
+                if own != (bucket, shard):
+                    if own is not None:
+                        found.append(mined())
+                        if own[0] != bucket:
+                            yield from union()
+                            found = []
+                    own, parts = (bucket, shard), []
+                parts.append((np.frombuffer(h, np.uint64), np.frombuffer(n, np.int32)))
+        if own is not None:
+            found.append(mined())
+            yield from union()
 
     return run
 
@@ -144,18 +204,31 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, shards: int = SHAR
     A null lang is ``und``, a null text is empty. Repeated rows count as often as they stand there.
     """
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    local = rows.mapInArrow(mine(shards), "shard int, h long, n long").groupBy("shard", "h").agg(F.sum("n").alias("n"))
-    union = saved(local.where(F.col("n") >= -(-support // shards)).select("h").distinct())
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    local = rows.mapInArrow(mine(shards, buckets), "bucket int, shard int, h binary, n binary").repartition("bucket").sortWithinPartitions("bucket", "shard")
+    union = saved(local.mapInArrow(frequent_in_shards(-(-support // shards)), "h long"))
     words = docs.sparkSession.sparkContext.broadcast(filter_of(union))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"])
+            yield from table.to_batches(max_chunksize=1 << 16)
+
         for lang, texts in chunks(batches):
             for k, (h, n, parts) in enumerate(phrases_of(texts, lang)):
                 if k == 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.string()), pa.array([int(n.sum())])], names=["lang", "phrase", "n"])
+                    held.append(pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.string()), pa.array([int(n.sum())])], names=["lang", "phrase", "n"]))
                 stay = pa.array(np.flatnonzero(passes(words.value, h)))
                 phrase = pa.compute.binary_join_element_wise(*[p.take(stay) for p in parts], " ")
-                yield from cut_up(pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(phrase)), phrase, pa.array(n).take(stay).cast(pa.int64())], names=["lang", "phrase", "n"]))
+                held.append(pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(phrase)), phrase, pa.array(n).take(stay).cast(pa.int64())], names=["lang", "phrase", "n"]))
+                size += len(phrase)
+            if size >= PAIRS // 2:
+                yield from summed()
+                held, size = [], 0
+        if held:
+            yield from summed()
 
     counts = rows.mapInArrow(count, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     return saved(counts.where(F.col("phrase").isNull() | (F.col("n") >= support)))
