@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowbench.operators.boxes import best_steps
 from flowbench.operators.keys import KEY
 from flowbench.operators.pairs import FEATURES, image_extent, node_pairs, pair_features
+from flowbench.sources.files import shared_dir
 
 NODE_SCHEMA = "predictor string, dataset string, sample_id string, pos int, node_id string, x double, y double, w double, h double"
 EDGE_SCHEMA = "predictor string, dataset string, sample_id string, pos int, source string, target string"
@@ -55,13 +60,24 @@ def predict_naive(sizes: DataFrame, name: str = "naive") -> tuple[DataFrame, Dat
     return nodes, nodes.limit(0).selectExpr("predictor", "dataset", "sample_id", "pos", "node_id AS source", "node_id AS target")
 
 
-def heuristic_edges(nodes: DataFrame) -> DataFrame:
+#: Nodes beyond which a sample's pairs are searched by a helper and not made as rows.
+LARGE = 500
+
+
+def by_size(nodes: DataFrame, large: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes of samples of up to ``large`` nodes, and of larger ones."""
+    sized = nodes.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*KEY)))
+    return sized.where(F.col("_n") <= large).drop("_n"), sized.where(F.col("_n") > large).drop("_n")
+
+
+def heuristic_edges(nodes: DataFrame, large: int = LARGE) -> DataFrame:
     """Best step forward from each node, and the second best where it is close in score and apart in height.
 
     A target counts if it is 20 to the right or 30 further down; targets not to the right cost 80 more, targets over
-    20 higher up 120.
+    20 higher up 120. Samples of more than ``large`` nodes look at nearby nodes alone: a score is at least the distance.
     """
-    pairs = node_pairs(nodes).where((F.col("dx") >= 20) | (F.col("dy") >= 30))
+    few, many = by_size(nodes, large)
+    pairs = node_pairs(few).where((F.col("dx") >= 20) | (F.col("dy") >= 30))
     score = F.col("euclidean") + F.when(F.col("dx") >= 20, 0.0).otherwise(80.0) + F.when(F.col("dy") < -20, 120.0).otherwise(0.0)
     own = W.partitionBy(*KEY, "src")
     order = own.orderBy("score", "rise", F.desc("dx"), "dst")
@@ -69,7 +85,17 @@ def heuristic_edges(nodes: DataFrame) -> DataFrame:
     ranked = ranked.withColumn("place", F.row_number().over(order)).where("place <= 2")
     ranked = ranked.withColumn("best", F.first(F.struct("score", "rise")).over(own.orderBy("place")))
     second = (F.col("score") <= F.col("best.score") + 80) & (F.abs(F.col("rise") - F.col("best.rise")) >= 40)
-    return ranked.where((F.col("place") == 1) | second).select(*KEY, "src", "dst", "place", "score")
+    plain = ranked.where((F.col("place") == 1) | second).select(*KEY, "src", "dst", "place", "score")
+
+    def search(frame: pd.DataFrame) -> pd.DataFrame:
+        x, y = (frame[a].to_numpy(float) + frame[b].to_numpy(float) / 2 for a, b in ("xw", "yh"))
+        names = frame["node_id"].to_numpy()
+        source, target, place, score, _ = best_steps(x, y, np.unique(names.astype(str), return_inverse=True)[1])
+        key = {c: frame[c].iloc[0] for c in KEY}
+        return pd.DataFrame(key | {"src": names[source], "dst": names[target], "place": place.astype(np.int32), "score": score}, index=range(len(source)))
+
+    found = many.select(*KEY, "node_id", "x", "y", "w", "h").groupBy(*KEY).applyInPandas(search, "dataset string, sample_id string, src string, dst string, place int, score double")
+    return plain.unionByName(found)
 
 
 def predict_heuristic(nodes: DataFrame, name: str = "heuristic") -> tuple[DataFrame, DataFrame]:
@@ -100,28 +126,50 @@ def predict_learned(nodes: DataFrame, model: Model, sizes: DataFrame | None = No
     return named(nodes, name), edges.dropDuplicates(["dataset", "sample_id", "source", "target"])
 
 
-def python_predictor(function: Callable[[dict], dict], graphs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """A Python function on one sample (a dict with its key and node list) that returns nodes and edges.
+RUN_SCHEMA = "predictor string, dataset string, sample_id string, runtime_s double, error string"
 
-    graphs has a row a sample with ``nodes``, an array of structs; the function runs once a sample, batch by batch.
-    What it gives is written to the checkpoint folder, or kept in memory and on disk where there is none.
+
+def python_runs(function: Callable[[dict], dict], graphs: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A Python function on one sample (a dict with its key and node list): its nodes, its edges, and a row a sample of how it went.
+
+    graphs has a row a sample with ``nodes``, an array of structs; the function runs once a sample, in a worker, and gives a
+    dict with ``nodes`` (id, bbox) and ``edges`` (source, target). The last table has ``predictor, dataset, sample_id, runtime_s,
+    error``: the seconds of the call, and what it raised, or what is wrong with what it gave; such a sample has no nodes and
+    no edges, and does not end the run. What the calls give is written to the folder that driver and executors share, so
+    that neither a later step nor a lost executor calls the function again.
     """
 
+    def call(sample: dict) -> tuple[list, list, float, str | None]:
+        start = time.perf_counter()
+        try:
+            found = function(sample)
+            seconds = time.perf_counter() - start
+            nodes = [dict(zip(NODES[3:], (k, str(n["id"]), *map(float, n["bbox"])), strict=True)) for k, n in enumerate(found["nodes"])]
+            return nodes, [dict(zip(EDGES[3:], (k, str(e["source"]), str(e["target"])), strict=True)) for k, e in enumerate(found["edges"])], seconds, None
+        except Exception as error:  # noqa: BLE001  whatever a predictor raises becomes a row
+            return [], [], time.perf_counter() - start, f"{type(error).__name__}: {error}"
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for r in frame.to_dict("records"):
-                found = function(r)
-                nodes = [(k, str(n["id"]), *map(float, n["bbox"])) for k, n in enumerate(found["nodes"])]
-                edges = [(k, str(e["source"]), str(e["target"])) for k, e in enumerate(found["edges"])]
-                rows.append((r["dataset"], r["sample_id"], [dict(zip(NODES[3:], n, strict=True)) for n in nodes], [dict(zip(EDGES[3:], e, strict=True)) for e in edges]))
-            yield pd.DataFrame(rows, columns=[*KEY, "nodes", "edges"])
+            rows = [(r["dataset"], r["sample_id"], *call(r)) for r in frame.to_dict("records")]
+            yield pd.DataFrame(rows, columns=[*KEY, "nodes", "edges", "runtime_s", "error"])
 
     node, edge = (", ".join(f"{c.split()[0]}:{c.split()[1]}" for c in schema.split(", ")[3:]) for schema in (NODE_SCHEMA, EDGE_SCHEMA))
-    made = graphs.mapInPandas(run, f"dataset string, sample_id string, nodes array<struct<{node}>>, edges array<struct<{edge}>>")
-    made = made.checkpoint() if graphs.sparkSession.sparkContext.getCheckpointDir() else made.persist()
+    made = graphs.mapInPandas(run, f"dataset string, sample_id string, nodes array<struct<{node}>>, edges array<struct<{edge}>>, runtime_s double, error string")
+    path = f"{shared_dir(graphs.sparkSession)}/predictions-{uuid.uuid4().hex}"
+    made.write.parquet(path)
+    made = graphs.sparkSession.read.schema(made.schema).parquet(path)
     each = lambda c: made.select(F.lit(name).alias("predictor"), *KEY, F.explode(c).alias("x")).select("predictor", *KEY, "x.*")
-    return each("nodes"), each("edges")
+    return each("nodes"), each("edges"), made.select(F.lit(name).alias("predictor"), *KEY, "runtime_s", "error")
+
+
+def python_predictor(function: Callable[[dict], dict], graphs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of python_runs(); a sample at which the function raises is an error."""
+    nodes, edges, runs = python_runs(function, graphs, name)
+    failed = runs.where(F.col("error").isNotNull()).first()
+    if failed is not None:
+        raise RuntimeError(f"{name} failed at {failed.dataset}/{failed.sample_id}: {failed.error}")
+    return nodes, edges
 
 
 PREDICTORS: dict[str, Callable] = {

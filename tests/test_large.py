@@ -8,7 +8,7 @@ import time
 import numpy as np
 import pytest
 
-from flowbench.operators import boxes, contours
+from flowbench.operators import boxes, contours, predictors
 
 BOX = "dataset string, sample_id string, pos int, x int, y int, w int, h int"
 
@@ -47,6 +47,24 @@ def test_nearest_of_many(spark):
     assert contours.nearest_node(points, nodes, large=50).count() == 301
 
 
+def test_heuristic_of_many(spark):
+    rng = random.Random(5)
+    box = lambda: (float(rng.randrange(900)), float(rng.randrange(900)), rng.choice([20.0, 30.0]), 20.0)
+    given = spark.createDataFrame([("d", s, k, f"n{k % 70}" if s == "a" else f"n{k}", *box()) for s in "abc" for k in range(80 if s != "c" else 3)], "dataset string, sample_id string, pos int, node_id string, x double, y double, w double, h double")
+    plain = rows(predictors.heuristic_edges(given, large=10**6))
+    assert rows(predictors.heuristic_edges(given, large=50)) == plain == rows(predictors.heuristic_edges(given, large=0)) and len(plain) > 150
+
+
+def test_heuristic_looks_at_a_bounded_number_of_pairs():
+    rng, looked = np.random.default_rng(1), []
+    for n in (2000, 20000):
+        side = 60 * n**0.5
+        source, _, place, _, pairs = boxes.best_steps(rng.uniform(0, side, n), rng.uniform(0, side, n), np.arange(n))
+        looked.append(pairs / n)
+        assert (place == 1).sum() == len(np.unique(source)) >= n - 3
+    assert looked[1] < 1.3 * looked[0] < 400
+
+
 def test_nearest_of_10000_points_and_boxes():
     rng = np.random.default_rng(2)
     b = np.column_stack([rng.integers(0, 20000, (10000, 2)), rng.integers(1, 400, (10000, 2))]).astype(float)

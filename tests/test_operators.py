@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +89,29 @@ def test_python_predictor_runs_once_a_sample(spark):
     spark.catalog.clearCache()
 
 
+def test_a_predictor_that_fails_at_one_sample(spark):
+    n = nodes(spark, [(s, i, box) for s in "abc" for i, box in (("1", (50, 50, 50, 50)), ("2", (200, 50, 50, 50)))])
+    e = edges(spark, [(s, "1", "2") for s in "abc"])
+    table = spark.createDataFrame([("d", s, "test") for s in "abcz"], "dataset string, sample_id string, split string")
+
+    def own(sample):
+        if sample["sample_id"] == "b":
+            raise KeyError("b")
+        time.sleep(0.02)
+        found = [] if sample["nodes"] is None else sample["nodes"]
+        return {"nodes": [{"id": x["node_id"], "bbox": [x["x"], x["y"], x["w"], x["h"]]} for x in found], "edges": [{"source": 1, "target": 2}] * bool(len(found))}
+
+    graphs = n.groupBy("dataset", "sample_id").agg(F.collect_list(F.struct("node_id", "x", "y", "w", "h")).alias("nodes"))
+    found, steps, runs = predictors.python_runs(own, graphs, "mine")
+    assert found.count() == 4 and steps.count() == 2
+    assert sorted((r.sample_id, r.error, r.runtime_s >= 0.02) for r in runs.collect()) == [("a", None, True), ("b", "KeyError: 'b'", False), ("c", None, True)]
+    with pytest.raises(RuntimeError, match="d/b"):
+        predictors.python_predictor(own, graphs, "mine")
+    assert predictors.python_runs(lambda s: {"nodes": [{"id": 1, "bbox": [1]}], "edges": []}, graphs, "short")[2].where("error IS NOT NULL").count() == 3
+    rows = {r.predictor: r for r in run_benchmark(table, n, e, ["oracle"], 0.2, functions={"mine": own, "naught": lambda s: {"nodes": [], "edges": []}}).collect()}
+    assert rows["mine"].num_samples == 4 and rows["mine"].edge_f1 == 0.5 and 0.01 < rows["mine"].runtime_mean_s < 5 and rows["oracle"].runtime_mean_s is None and rows["naught"].runtime_mean_s < rows["mine"].runtime_mean_s
+
+
 def test_benchmark_by_name(spark):
     n = nodes(spark, [(s, i, box) for s in "abc" for i, box in (("1", (50, 50, 50, 50)), ("2", (200, 50, 50, 50)))])
     e = edges(spark, [(s, "1", "2") for s in "abc"])
