@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowbench.functions.geometry import Box, bbox_area, overlap_ratio, pair_delta, safe_log_ratio
+from flowbench.operators.boxes import asked_ranks
 from flowbench.operators.keys import KEY
 
 #: Fixed names and order of the features.
@@ -19,6 +22,16 @@ FEATURES = (
 )
 
 
+#: Nodes beyond which a sample's pairs are searched by a helper and not made as rows.
+LARGE = 500
+
+
+def by_size(nodes: DataFrame, large: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes of samples of up to ``large`` nodes, and of larger ones."""
+    sized = nodes.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*KEY)))
+    return sized.where(F.col("_n") <= large).drop("_n"), sized.where(F.col("_n") > large).drop("_n")
+
+
 def node_pairs(nodes: DataFrame) -> DataFrame:
     """All ordered pairs of nodes with different ids, with boxes ``s*``, ``t*`` and steps between centres."""
     side = lambda name, p: nodes.select(*KEY, F.col("node_id").alias(name), F.col("pos").alias(f"{name}_pos"), *[F.col(c).cast("double").alias(f"{p}{c}") for c in "xywh"])
@@ -86,7 +99,12 @@ def pair_features(nodes: DataFrame, sizes: DataFrame | None = None) -> DataFrame
 
     A feature that is no finite number raises an error when the row is made.
     """
-    ranked = nearest_right_down(rank_features(node_pairs(nodes))).join(image_extent(nodes, sizes), KEY)
+    return features_of(nearest_right_down(rank_features(node_pairs(nodes))), nodes, sizes)
+
+
+def features_of(ranked: DataFrame, nodes: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """The 28 features of pairs with ranks and nearest flags."""
+    ranked = ranked.join(image_extent(nodes, sizes), KEY)
 
     def finite(name: str, c: Column) -> Column:
         # boxes that are no numbers, or of negative size, show in these
@@ -97,6 +115,37 @@ def pair_features(nodes: DataFrame, sizes: DataFrame | None = None) -> DataFrame
     return ranked.select(*KEY, "src", "dst", "src_pos", "dst_pos", *[finite(n, c).alias(n) for n, c in feature_columns().items()])
 
 
+def asked_features(nodes: DataFrame, asked: DataFrame, sizes: DataFrame | None = None, large: int = LARGE) -> DataFrame:
+    """pair_features() of the pairs ``dataset, sample_id, src, dst`` alone; those with an unknown node or of one with itself go.
+
+    In samples of more than ``large`` nodes ranks are counted in the coordinates, so that other pairs are not made as rows:
+    time grows with the asked pairs times the nodes, rows with the asked pairs.
+    """
+    wanted = asked.select(*KEY, "src", "dst").distinct()
+    few, many = by_size(nodes, large)
+    plain = nearest_right_down(rank_features(node_pairs(few))).join(wanted, [*KEY, "src", "dst"], "left_semi")
+    boxes = many.select(*KEY, "node_id", "pos", *[F.col(c).cast("double").alias(c) for c in "xywh"])
+    schema = "dataset string, sample_id string, src string, dst string, src_pos int, dst_pos int, " + ", ".join(f"{p}{c} double" for p in "st" for c in "xywh")
+    schema += ", dx double, dy double, euclidean double, manhattan double, rank_distance long, rank_dx long, rank_dy long, candidates long, nearest_right boolean, nearest_down boolean"
+
+    def ranks(own: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        own = own.assign(at=np.arange(len(own)))
+        some = some[some["src"] != some["dst"]]
+        some = some.merge(own.add_prefix("s_"), left_on="src", right_on="s_node_id").merge(own.add_prefix("t_"), left_on="dst", right_on="t_node_id")
+        x, y = (own[a].to_numpy() + own[b].to_numpy() / 2 for a, b in ("xw", "yh"))
+        source, target = some["s_at"].to_numpy(np.int64), some["t_at"].to_numpy(np.int64)
+        ids = np.unique(own["node_id"].to_numpy().astype(str), return_inverse=True)[1]
+        dx, dy = x[target] - x[source], y[target] - y[source]
+        made = {c: some[c].to_numpy() for c in (*KEY, "src", "dst")} | {"src_pos": some["s_pos"].to_numpy(), "dst_pos": some["t_pos"].to_numpy()}
+        made |= {f"{p}{c}": some[f"{p}_{c}"].to_numpy() for p in "st" for c in "xywh"}
+        made |= {"dx": dx, "dy": dy, "euclidean": np.hypot(dx, dy), "manhattan": np.abs(dx) + np.abs(dy)}
+        return pd.DataFrame(made | asked_ranks(x, y, own["pos"].to_numpy(), ids, source, target))
+
+    far = wanted.join(many.select(*KEY).distinct(), KEY, "left_semi")
+    counted = boxes.groupBy(*KEY).cogroup(far.groupBy(*KEY)).applyInPandas(ranks, schema)
+    return features_of(plain.select(*counted.columns).unionByName(counted), nodes, sizes)
+
+
 def label_pairs(pairs: DataFrame, gold: DataFrame) -> DataFrame:
     """pairs with ``label``: 1 where the pair is a gold edge."""
     edges = gold.select(*KEY, F.col("source").alias("src"), F.col("target").alias("dst")).distinct().withColumn("_gold", F.lit(1))

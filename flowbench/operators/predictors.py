@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from flowbench.operators.boxes import best_steps
 from flowbench.operators.keys import KEY
-from flowbench.operators.pairs import FEATURES, image_extent, node_pairs, pair_features
+from flowbench.operators.pairs import FEATURES, LARGE, by_size, image_extent, node_pairs, pair_features
 from flowbench.sources.files import shared_dir
 
 NODE_SCHEMA = "predictor string, dataset string, sample_id string, pos int, node_id string, x double, y double, w double, h double"
@@ -60,16 +60,6 @@ def predict_naive(sizes: DataFrame, name: str = "naive") -> tuple[DataFrame, Dat
     return nodes, nodes.limit(0).selectExpr("predictor", "dataset", "sample_id", "pos", "node_id AS source", "node_id AS target")
 
 
-#: Nodes beyond which a sample's pairs are searched by a helper and not made as rows.
-LARGE = 500
-
-
-def by_size(nodes: DataFrame, large: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes of samples of up to ``large`` nodes, and of larger ones."""
-    sized = nodes.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*KEY)))
-    return sized.where(F.col("_n") <= large).drop("_n"), sized.where(F.col("_n") > large).drop("_n")
-
-
 def heuristic_edges(nodes: DataFrame, large: int = LARGE) -> DataFrame:
     """Best step forward from each node, and the second best where it is close in score and apart in height.
 

@@ -97,6 +97,13 @@ def q_pair_features(spark: SparkSession, d: str) -> DataFrame:
     return found.select(*[(F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes])
 
 
+def q_asked_features(spark: SparkSession, d: str) -> DataFrame:
+    """The features of the true edges alone."""
+    asked = T.gt_edges(spark, d).select(*KEY, F.col("source").alias("src"), F.col("target").alias("dst"))
+    found = pairs.asked_features(T.gt_nodes(spark, d), asked).drop("src_pos", "dst_pos")
+    return found.select(*[(F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes])
+
+
 def q_image_extent(spark: SparkSession, d: str) -> DataFrame:
     return sizes(spark, d)
 
@@ -126,20 +133,29 @@ def nodes_of(p: tuple[DataFrame, DataFrame]) -> DataFrame:
     return p[0].select(*matching.PRED_KEY, "node_id", "x", "y", "w", "h")
 
 
+def q_predict_learned(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes with the number of edges that the model gives each as source and as target."""
+    nodes, edges = predictors.predict_learned(T.gt_nodes(spark, d), MODEL)
+    ends = edges.select(*matching.PRED_KEY, F.explode(F.array(F.struct(F.col("source").alias("node_id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("target").alias("node_id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e"))
+    counts = ends.groupBy(*matching.PRED_KEY, "e.node_id").agg(F.sum("e.o").alias("n_out"), F.sum("e.i").alias("n_in"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return nodes.join(counts, [*matching.PRED_KEY, "node_id"], "left").select(*matching.PRED_KEY, "node_id", "x", "y", "w", "h", zero("n_out"), zero("n_in"))
+
+
 QUERIES = {
     "match_candidates": q_match_candidates, "match_nodes": matches, "project_edges": q_project_edges,
     "node_metrics": scores("node_precision", "node_recall", "node_f1"), "edge_metrics": scores("edge_precision", "edge_recall", "edge_f1"),
     "direction_accuracy": scores("direction_accuracy"), "exact_match": scores("exact_match"),
     "count_errors": scores("node_count_error", "edge_count_error"), "sample_metrics": q_sample_metrics, "run_metrics": q_run_metrics,
     "evaluate": q_evaluate, "node_pairs": q_node_pairs, "label_pairs": q_label_pairs, "rank_features": q_rank_features,
-    "nearest_right_down": q_nearest_right_down, "pair_features": q_pair_features, "image_extent": q_image_extent, "bbox_geometry": q_geometry,
+    "nearest_right_down": q_nearest_right_down, "pair_features": q_pair_features, "asked_features": q_asked_features, "image_extent": q_image_extent, "bbox_geometry": q_geometry,
     "sigmoid_score": q_sigmoid_score,
     "heuristic_edges": lambda s, d: predictors.heuristic_edges(T.gt_nodes(s, d)).select(*KEY, "src", "dst", F.col("place").cast("long").alias("place"), F.round("score", 6).alias("score")),
     "predict_oracle": lambda s, d: edges_of(predictors.predict_oracle(T.gt_nodes(s, d), T.gt_edges(s, d))),
     "predict_naive": lambda s, d: nodes_of(predictors.predict_naive(sizes(s, d))),
     "predict_heuristic": lambda s, d: edges_of(predictors.predict_heuristic(T.gt_nodes(s, d))),
     "learned_edges": lambda s, d: edges_of(predictors.predict_learned(T.gt_nodes(s, d), MODEL)),
-    "predict_learned": lambda s, d: nodes_of(predictors.predict_learned(T.gt_nodes(s, d), MODEL)),
+    "predict_learned": q_predict_learned,
 }
 
 PAIRS = """
@@ -240,6 +256,7 @@ SQLS = {
     "rank_features": f"{P} SELECT {_K}, rank_distance, rank_dx, rank_dy, candidates FROM rk",
     "nearest_right_down": f"{P} SELECT {_K}, nearest_right, nearest_down FROM rk",
     "pair_features": f"{P} SELECT {_K}, {_FEATURES_UP} FROM rk JOIN ext USING (dataset, sample_id)",
+    "asked_features": f"{P}, g AS (SELECT DISTINCT dataset, sample_id, source AS src, target AS dst FROM gt_edges) SELECT {_K}, {_FEATURES_UP} FROM rk JOIN ext USING (dataset, sample_id) JOIN g USING (dataset, sample_id, src, dst)",
     "image_extent": f"{P} SELECT * FROM ext",
     "bbox_geometry": f"""{P} SELECT {_K}, sx + sw / 2 AS center_x, sy + sh / 2 AS center_y, round(sqrt(sw * sw + sh * sh), 6) AS diag, sw * sh AS area,
         round(CASE WHEN u > 0 THEN i / u ELSE 0 END, 6) AS iou, round({_FEATURE_SQL['vertical_overlap_ratio']}, 6) AS vertical_overlap,
@@ -251,5 +268,6 @@ SQLS = {
     "predict_naive": f"{P} SELECT 'naive' AS predictor, dataset, sample_id, '0' AS node_id, CAST(greatest(0, floor((CAST(trunc(width) AS BIGINT) - 120) / 2.0)) AS DOUBLE) AS x, CAST(greatest(0, floor((CAST(trunc(height) AS BIGINT) - 56) / 2.0)) AS DOUBLE) AS y, CAST(120 AS DOUBLE) AS w, CAST(56 AS DOUBLE) AS h FROM ext",
     "predict_heuristic": f"{P}, {HEURISTIC} SELECT 'heuristic' AS predictor, dataset, sample_id, src AS source, dst AS target FROM he",
     "learned_edges": f"{P}, {LEARNED} SELECT 'learned' AS predictor, dataset, sample_id, src AS source, dst AS target FROM le",
-    "predict_learned": f"{WITH} SELECT 'learned' AS predictor, dataset, sample_id, node_id, x, y, w, h FROM gt_nodes",
+    "predict_learned": f"""{P}, {LEARNED} SELECT 'learned' AS predictor, g.dataset, g.sample_id, node_id, x, y, w, h, count(CASE WHEN src = node_id THEN 1 END) AS n_out, count(CASE WHEN dst = node_id THEN 1 END) AS n_in
+        FROM gt_nodes g LEFT JOIN le ON le.dataset = g.dataset AND le.sample_id = g.sample_id AND node_id IN (src, dst) GROUP BY ALL""",
 }

@@ -8,7 +8,7 @@ import time
 import numpy as np
 import pytest
 
-from flowbench.operators import boxes, contours, predictors
+from flowbench.operators import boxes, contours, pairs, predictors
 
 BOX = "dataset string, sample_id string, pos int, x int, y int, w int, h int"
 
@@ -55,6 +55,16 @@ def test_heuristic_of_many(spark):
     assert rows(predictors.heuristic_edges(given, large=50)) == plain == rows(predictors.heuristic_edges(given, large=0)) and len(plain) > 150
 
 
+def test_features_of_asked_pairs(spark):
+    rng = random.Random(9)
+    given = spark.createDataFrame([("d", s, k, f"n{k}", *(float(rng.randrange(9)) for _ in range(2)), 2.0, 1.0 + rng.randrange(3)) for s in "ab" for k in range(30)], "dataset string, sample_id string, pos int, node_id string, x double, y double, w double, h double")
+    asked = spark.createDataFrame([("d", s, f"n{rng.randrange(32)}", f"n{rng.randrange(32)}") for s in "abc" for _ in range(60)], "dataset string, sample_id string, src string, dst string")
+    every = pairs.pair_features(given)
+    want = rows(every.join(asked.distinct(), ["dataset", "sample_id", "src", "dst"]).select(*every.columns))
+    for large in (0, 500):
+        assert rows(pairs.asked_features(given, asked, large=large).select(*every.columns)) == want and len(want) > 80
+
+
 def test_heuristic_looks_at_a_bounded_number_of_pairs():
     rng, looked = np.random.default_rng(1), []
     for n in (2000, 20000):
