@@ -51,12 +51,15 @@ def rank_features(pairs: DataFrame) -> DataFrame:
 
 
 def nearest_right_down(pairs: DataFrame) -> DataFrame:
-    """Whether the target is the nearest with a step to the right, and the nearest with one down."""
+    """Whether the target is the nearest with a step to the right, and the nearest with one down; of equal ones the first by position.
+
+    Least values of a whole partition, which any order of its rows will do for: no sort beyond those of the ranks.
+    """
     own = W.partitionBy(*KEY, "src", "src_pos")
 
     def first(step: str) -> Column:
-        ahead = F.col(step) > 0
-        return ahead & (F.row_number().over(own.orderBy(F.when(ahead, 0).otherwise(1), "euclidean", "dst_pos")) == 1)
+        ahead, place = F.col(step) > 0, F.struct("euclidean", "dst_pos")
+        return ahead & (place == F.min(F.when(ahead, place)).over(own))
 
     return pairs.select("*", first("dx").alias("nearest_right"), first("dy").alias("nearest_down"))
 

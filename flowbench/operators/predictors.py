@@ -72,8 +72,7 @@ def heuristic_edges(nodes: DataFrame, large: int = LARGE) -> DataFrame:
     own = W.partitionBy(*KEY, "src")
     order = own.orderBy("score", "rise", F.desc("dx"), "dst")
     ranked = pairs.select(*KEY, "src", "dst", "dx", score.alias("score"), F.abs("dy").alias("rise"))
-    ranked = ranked.withColumn("place", F.row_number().over(order)).where("place <= 2")
-    ranked = ranked.withColumn("best", F.first(F.struct("score", "rise")).over(own.orderBy("place")))
+    ranked = ranked.select("*", F.row_number().over(order).alias("place"), F.first(F.struct("score", "rise")).over(order).alias("best")).where("place <= 2")
     second = (F.col("score") <= F.col("best.score") + 80) & (F.abs(F.col("rise") - F.col("best.rise")) >= 40)
     plain = ranked.where((F.col("place") == 1) | second).select(*KEY, "src", "dst", "place", "score")
 
