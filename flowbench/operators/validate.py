@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowbench.functions.text import stripped
@@ -46,6 +47,47 @@ def validate_graphs_strict(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return own.unionByName(loops.distinct()).unionByName(unknown)
 
 
+def validate_graphs_typed(rows: DataFrame, keys: list[str] = KEY, value: str = "value") -> DataFrame:
+    """``keys, code, item_pos``: what a document with whole-number ids, ends from and to, and boxes of four whole numbers violates.
+
+    Types are those of the raw JSON: 1.0, "1" and true are no whole numbers. Each node and edge has its first fault; the
+    document's own have position -1. Of nodes with one id all but the first are duplicates.
+    """
+    v = json(F.col(value))
+    whole = lambda x, path: F.coalesce(kind(x, path) == "BIGINT", F.lit(False))
+    there = lambda x, path: kind(x, path).isNotNull()
+    is_list = {n: F.coalesce(kind(v, f"$.{n}") == "ARRAY", F.lit(False)) for n in ("nodes", "edges")}
+    is_object = F.coalesce(kind(v) == "OBJECT", F.lit(False))
+    own = rows.select(*keys, v.alias("_v"), is_object.alias("_object"), *[c.alias(f"_{n}") for n, c in is_list.items()])
+    top = own.select(*keys, F.explode(F.array_compact(F.array(
+        F.when(~F.col("_object"), "not_object"), *[F.when(F.col("_object") & ~F.col(f"_{n}"), f"{n}_missing") for n in ("nodes", "edges")],
+    ))).alias("code"), F.lit(-1).alias("item_pos"))
+
+    def items_of(name: str, fields: list[str]) -> DataFrame:
+        found = own.where(f"_{name}").select(*keys, F.posexplode(F.try_variant_get("_v", f"$.{name}", "array<variant>")).alias("item_pos", "x"))
+        return found.select("*", *[F.when(whole(F.col("x"), f"$.{f}"), F.try_variant_get("x", f"$.{f}", "bigint")).alias(f"_{f}") for f in fields])
+
+    x, side = F.col("x"), lambda k: F.try_variant_get("x", f"$.bbox[{k}]", "bigint")
+    box = F.try_variant_get("x", "$.bbox", "array<variant>")
+    nodes = items_of("nodes", ["id"]).withColumn("_nth", F.when(F.col("_id").isNotNull(), F.row_number().over(W.partitionBy(*keys, "_id").orderBy("item_pos"))))
+    node_code = (
+        F.when(~F.coalesce(kind(x) == "OBJECT", F.lit(False)), "node_not_object").when(~there(x, "$.id"), "node_id_missing").when(~there(x, "$.bbox"), "node_bbox_missing")
+        .when(F.col("_id").isNull(), "node_id_type").when(F.col("_nth") > 1, "duplicate_id").when(~F.coalesce((kind(x, "$.bbox") == "ARRAY") & (F.size(box) == 4), F.lit(False)), "node_bbox_shape")
+        .when(~(whole(x, "$.bbox[0]") & whole(x, "$.bbox[1]") & whole(x, "$.bbox[2]") & whole(x, "$.bbox[3]")), "node_bbox_type").when((side(2) <= 0) | (side(3) <= 0), "node_bbox_size")
+    )
+    ids = nodes.where(F.col("_id").isNotNull()).select(*keys, F.col("_id").alias("_known")).distinct()
+    edges = items_of("edges", ["from", "to"])
+    for end in ("from", "to"):
+        known = ids.withColumnRenamed("_known", f"_{end}").withColumn(f"_{end}_known", F.lit(True))
+        edges = edges.join(known, [*keys, f"_{end}"], "left")
+    edge_code = (
+        F.when(~F.coalesce(kind(x) == "OBJECT", F.lit(False)), "edge_not_object").when(~there(x, "$.from") | ~there(x, "$.to"), "edge_end_missing")
+        .when(F.col("_from").isNull() | F.col("_to").isNull(), "edge_end_type").when(F.col("_from_known").isNull() | F.col("_to_known").isNull(), "unknown_node").when(F.col("_from") == F.col("_to"), "self_loop")
+    )
+    each = lambda rows, code: rows.select(*keys, code.alias("code"), "item_pos").where(F.col("code").isNotNull())
+    return top.unionByName(each(nodes, node_code)).unionByName(each(edges, edge_code))
+
+
 def validate_bbox_bounds(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
     """Nodes whose box leaves the image."""
     out = (F.col("x") < 0) | (F.col("y") < 0) | (F.col("x") + F.col("w") > F.col("width")) | (F.col("y") + F.col("h") > F.col("height"))

@@ -167,6 +167,17 @@ def q_validate_graphs(spark: SparkSession, d: str) -> DataFrame:
     return validate.validate_graphs(graph_docs(spark, d).withColumn("value", value)).select(*KEY, "code", *long("item_pos"))
 
 
+def q_validate_graphs_typed(spark: SparkSession, d: str) -> DataFrame:
+    """Whole-number ids and ends; every kind of sample has a fault of its own."""
+    k, doc = F.col("sample_id").cast("long") % 8, F.regexp_replace("value", '"(id|from|to)":"([0-9]+)"', '"$1":$2')
+    swap = lambda a, b: F.replace(doc, F.lit(a), F.lit(b))
+    value = (
+        F.when(k == 0, F.col("value")).when(k == 1, F.regexp_replace(doc, r",(\d+)\]", ",-$1]")).when(k == 2, swap('"bbox"', '"box"')).when(k == 3, swap('"to"', '"t"'))
+        .when(k == 4, swap('"bbox":[', '"bbox":[0.5,')).when(k == 5, F.regexp_replace(doc, r"(\d+)\]", "$1.0]")).when(k == 6, swap('"id":2,', '"id":1,')).otherwise(F.substring(doc, 2, 1 << 30))
+    )
+    return validate.validate_graphs_typed(graph_docs(spark, d, ("from", "to")).withColumn("value", value)).select(*KEY, "code", *long("item_pos"))
+
+
 def bad_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = T.boxes(T.lines(spark, d))
     nodes = rows.select(*KEY, (F.col("n") - 1).alias("pos"), F.col("l_linenumber").cast("string").alias("node_id"), "x", "y", "w", F.when(F.col("l_discount") == 0, 0.0).otherwise(F.col("h")).alias("h"))
@@ -458,6 +469,7 @@ QUERIES = {
     "read_labels": q_read_labels, "node_display_label": q_node_display_label, "to_identifier": q_to_identifier, "resolve_labels": q_resolve_labels,
     "labels_template": lambda s, d: graphs.labels_template(T.gt_nodes(s, d)),
     "validate_graphs": q_validate_graphs, "validate_graphs_strict": lambda s, d: validate.validate_graphs_strict(*bad_graph(s, d)).select(*KEY, "code", "item"),
+    "validate_graphs_typed": q_validate_graphs_typed,
     "validate_bbox_bounds": lambda s, d: validate.validate_bbox_bounds(T.gt_nodes(s, d), sizes(s, d)),
     "validate_dataset_meta": lambda s, d: validate.validate_dataset_meta(meta_docs(s, d), ["s_suppkey"]),
     "validate_manifest": lambda s, d: validate.validate_manifest(manifest_docs(s, d), ["s_suppkey"]),
@@ -478,7 +490,7 @@ QUERIES = {
     "has_graph_supervision": lambda s, d: validate.has_graph_supervision(readers.parse_records(record_lists(s, d).withColumn("value", F.when(F.col("list_id") % 3 == 0, F.replace("value", F.lit("flowchart"), F.lit("drawing"))).otherwise(F.col("value"))), ["list_id"]), ["list_id"]),
     "convert_simflowchart": lambda s, d: converted(s, d)[0].select(*KEY, *long("pos"), "node_id", *long("x", "y", "w", "h")),
     "parse_mermaid_edges": lambda s, d: converted(s, d)[1].select(*KEY, *long("pos"), "source", "target"),
-    "links_to_edges": lambda s, d: converted(s, d)[1].where("sample_id % 5 = 0").select(*KEY, "source", "target"),
+    "links_to_edges": lambda s, d: convert.convert_flowcharts(records(s, d).where(F.size(X.parse_mermaid_edges(F.get_json_object("record", "$.mermaid"))) == 0), ["dataset"])[1].select(*KEY, "source", "target"),
     "convert_skipped": lambda s, d: converted(s, d)[2], "convert_minimal": q_convert_minimal,
     "xyxy_to_xywh": lambda s, d: read(s, d, "lineitem").select("l_orderkey", *[c.alias(n) for n, c in xyxy_to_xywh(F.col("l_quantity") / 2, F.col("l_partkey") / 4, F.col("l_quantity") / 2 + F.col("l_suppkey") / 4 - 5, F.col("l_partkey") / 2).items()]),
     "topo_order": lambda s, d: graphs.topo_order(T.gt_nodes(s, d), crossed_edges(s, d)).select(*KEY, "node_id", *long("ord"), "is_dag"),
@@ -541,6 +553,10 @@ SQLS = {
     "validate_graphs": f"""{WITH}, q AS (SELECT *, CAST(sample_id AS BIGINT) % 7 AS k FROM samples) SELECT {K}, 'invalid_json' AS code, CAST(-1 AS BIGINT) AS item_pos FROM q WHERE k = 0 UNION ALL SELECT {K}, unnest(['nodes_missing', 'edges_missing']), -1 FROM q WHERE k = 1
  UNION ALL SELECT {K}, 'edges_target', idx FROM {_EDGE} WHERE CAST(sample_id AS BIGINT) % 7 = 2 UNION ALL SELECT {K}, 'nodes_id', pos FROM gt_nodes WHERE CAST(sample_id AS BIGINT) % 7 = 3""",
     "validate_graphs_strict": f"{BAD} SELECT {K}, 'duplicate_id' AS code, node_id AS item FROM bi WHERE n > 1 UNION ALL SELECT {K}, 'empty_box', node_id FROM bi WHERE flat UNION ALL SELECT DISTINCT {K}, 'self_loop', source FROM be WHERE source = target UNION ALL SELECT DISTINCT {K}, 'unknown_node', target FROM be WHERE ({K}, target) NOT IN (SELECT ({K}, node_id) FROM bi)",
+    "validate_graphs_typed": f"""{WITH}, e AS (SELECT *, CAST(sample_id AS BIGINT) % 8 AS k FROM {_EDGE}), n AS (SELECT *, CAST(sample_id AS BIGINT) % 8 AS k FROM gt_nodes)
+ SELECT {K}, ['node_id_type', 'node_bbox_size', 'node_bbox_missing', '', 'node_bbox_shape', 'node_bbox_type', 'duplicate_id', ''][k + 1] AS code, pos AS item_pos FROM n WHERE k IN (0, 1, 2, 4, 5) OR (k = 6 AND node_id = '2')
+ UNION ALL SELECT {K}, CASE k WHEN 0 THEN 'edge_end_type' WHEN 3 THEN 'edge_end_missing' ELSE 'unknown_node' END, idx FROM e WHERE k IN (0, 3) OR (k = 6 AND '2' IN (source, target))
+ UNION ALL SELECT {K}, 'not_object', -1 FROM samples WHERE CAST(sample_id AS BIGINT) % 8 = 7""",
     "validate_bbox_bounds": f"{WITH} SELECT {K}, node_id FROM gt_nodes WHERE x < 0 OR y < 0 OR x + w > 520 OR y + h > 400",
     "validate_dataset_meta": "SELECT s_suppkey, unnest(CASE s_suppkey % 7 WHEN 0 THEN ['not_object'] WHEN 1 THEN ['schema_version_missing'] WHEN 2 THEN ['schema_version_type'] WHEN 3 THEN ['schema_version_unsupported', 'name_type'] WHEN 4 THEN ['not_object'] ELSE [] END) AS code FROM supplier",
     "validate_manifest": "SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'schema_version' WHEN 1 THEN 'missing_key' ELSE 'artifact_key' END AS code FROM supplier WHERE s_suppkey % 6 < 3",

@@ -213,6 +213,18 @@ def test_broken_graphs(spark):
         validate.raise_on_invalid(validate.validate_graphs(rows, ["k"]))
 
 
+def test_raw_types(spark):
+    box = '"bbox":[1,2,3,4]'
+    given = ["x", "[]", "{}", f'{{"nodes":[{{"id":1,{box}}}],"edges":[]}}', f'{{"nodes":[3,{{{box}}},{{"id":1}},{{"id":"1",{box}}},{{"id":1.0,{box}}},{{"id":true,{box}}},{{"id":null,{box}}},{{"id":5,{box}}},{{"id":5,{box}}}],"edges":[]}}',
+             '{"nodes":[{"id":1,"bbox":3},{"id":2,"bbox":[1,2,3]},{"id":3,"bbox":[1,2,3,4.0]},{"id":4,"bbox":[1,2,0,4]},{"id":5,"bbox":[1,2,3,"4"]}],"edges":{}}',
+             f'{{"nodes":[{{"id":1,{box}}},{{"id":2,{box}}}],"edges":[7,{{"from":1}},{{"from":1,"to":"2"}},{{"from":1,"to":9}},{{"from":2,"to":2}},{{"from":1,"to":2}}]}}']
+    rows = spark.createDataFrame(list(enumerate(given)), "k int, value string")
+    found = sorted((r.k, r.item_pos, r.code) for r in validate.validate_graphs_typed(rows, ["k"]).collect())
+    assert found == [(0, -1, "not_object"), (1, -1, "not_object"), (2, -1, "edges_missing"), (2, -1, "nodes_missing"), (4, 0, "node_not_object"), (4, 1, "node_id_missing"), (4, 2, "node_bbox_missing"),
+                     (4, 3, "node_id_type"), (4, 4, "node_id_type"), (4, 5, "node_id_type"), (4, 6, "node_id_type"), (4, 8, "duplicate_id"), (5, -1, "edges_missing"), (5, 0, "node_bbox_shape"),
+                     (5, 1, "node_bbox_shape"), (5, 2, "node_bbox_type"), (5, 3, "node_bbox_size"), (5, 4, "node_bbox_type"), (6, 0, "edge_not_object"), (6, 1, "edge_end_missing"), (6, 2, "edge_end_type"), (6, 3, "unknown_node"), (6, 4, "self_loop")]
+
+
 def test_samples(spark):
     key = "dataset string, sample_id string"
     images = spark.createDataFrame([("d", "1", "a"), ("d", "2", "b"), ("d", "3", "c")], f"{key}, path string")
