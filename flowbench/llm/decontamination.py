@@ -6,7 +6,12 @@ window, and windows below the least similarity are left out exactly (of the unio
 The others and the items get 64-bit SimHash fingerprints: each shingle gives its words their length as weight. A
 fingerprint is cut into radius + 1 blocks: two fingerprints within the radius agree in one at least, so an equi-join on
 block number and value finds every such pair; the exact weighted Jaccard similarity of the shingles then decides. A
-shingle weighs as many code points as its words have.
+shingle weighs as many code points as its words have. A window meets the blocks of those items alone whose shingles it
+holds enough of, so the block join grows with these pairs and not with all windows times all items.
+
+Shingles leave the texts only if a sieve of the items' hashes lets them through. It has a fixed number of bits, so it is
+broadcast however many items there are; with 10,000,000 of their shingles about one in seven others passes, and ends in
+the join.
 
 The radius is the only step that can lose a similar window: of windows with similarity 0.8 or more that words replaced,
 put in, taken out or moved had left, 99.9 percent were within 12 bits, of those below 0.85 too.
@@ -22,6 +27,8 @@ from flowbench.llm.pii import text_key
 
 #: Words in a shingle; least similarity, in percent; bits in which fingerprints may differ.
 SHINGLE, LEAST, RADIUS = 5, 80, 12
+#: The sieve has 2 ** SIEVE bits, in 2 ** (SIEVE - 6) rows of 64.
+SIEVE = 26
 
 
 def words_of(text: Column) -> Column:
@@ -65,15 +72,25 @@ def total(shingles: Column) -> Column:
     return F.aggregate(shingles, F.lit(0).cast("long"), lambda a, x: a + x["w"])
 
 
+def sieved(seen: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of seen whose ``h`` is, by SIEVE of its bits, one of items' ``h``: no such row is lost, some others pass."""
+    cell, bits = fresh(seen, "_cell", "_bits")
+    number = F.shiftrightunsigned(F.col("h").bitwiseAND((1 << SIEVE) - 1), 6)
+    marks = items.select(number.alias(cell), F.expr("shiftleft(1L, cast(h & 63 AS int))").alias("bit")).groupBy(cell).agg(F.bit_or("bit").alias(bits))
+    passed = seen.withColumn(cell, number).join(F.broadcast(marks), cell)
+    return passed.where(F.expr(f"shiftright({bits}, cast(h & 63 AS int)) & 1L = 1L")).select(seen.columns)
+
+
 def likely_windows(docs: DataFrame, items: DataFrame, text: str, shingle: int, least: int) -> DataFrame:
-    """Rows ``text_key, start, n_words``: the windows in which an item's shingles weigh enough, repeated ones counted too.
+    """Rows ``text_key, item_key, start, n_words``: windows in which an item's shingles weigh enough, repeated ones counted too.
 
     items has ``item_key, n_words, weight, h, w``. Only shared shingles leave the texts. The weight in a window changes
     where a shingle comes in or goes out, so a sum over these places, by text and item, gives it for all starts.
     """
     keyed = docs.select(text_key(F.coalesce(F.col(text), F.lit(""))), words_of(F.col(text)).alias("words"))
     seen = keyed.select("text_key", F.size("words").alias("n"), F.posexplode(hashes(F.col("words"), shingle)).alias("pos", "h"))
-    shared = saved(seen.join(small(items), "h").select("text_key", "n", "pos", "item_key", "n_words", "weight", "h", "w").distinct())
+    items = saved(items)
+    shared = saved(sieved(seen, items).join(small(items), "h").select("text_key", "n", "pos", "item_key", "n_words", "weight", "h", "w").distinct())
     # the whole text must hold enough of the item
     enough = shared.select("text_key", "item_key", "weight", "h", "w").distinct().groupBy("text_key", "item_key", "weight").agg(F.sum("w").alias("held"))
     enough = enough.where(F.col("held") * 100 >= F.col("weight") * least).select("text_key", "item_key")
@@ -87,7 +104,7 @@ def likely_windows(docs: DataFrame, items: DataFrame, text: str, shingle: int, l
     last = F.greatest(F.lit(0), F.col("n") - F.col("n_words"))
     inside = lambda at: F.greatest(F.lit(0), F.least(at, last))
     starts = F.explode(F.sequence(inside(F.col("at")), inside(F.col("next") - 1)))
-    return runs.select("text_key", "n_words", starts.alias("start")).distinct()
+    return runs.select("text_key", "item_key", "n_words", starts.alias("start")).distinct()
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", shingle: int = SHINGLE, least: int = LEAST, radius: int = RADIUS) -> DataFrame:
@@ -103,16 +120,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", shingle: int
     windows = saved(likely_windows(docs, item.select("item_key", "n_words", "weight", F.inline("item_shingles")), text, shingle, least))
     keyed = docs.select(text_key(F.coalesce(F.col(text), F.lit(""))), F.col(text).alias("text"))
     texts = keyed.join(small(windows.select("text_key").distinct()), "text_key", "left_semi").dropDuplicates(["text_key"])
-    cut = windows.join(texts.select("text_key", words_of(F.col("text")).alias("words")), "text_key").select(
+    place = ["text_key", "start", "n_words"]
+    cut = windows.select(place).distinct().join(texts.select("text_key", words_of(F.col("text")).alias("words")), "text_key").select(
         "text_key", "start", "n_words", F.slice("words", F.col("start") + 1, F.col("n_words")).alias("words")
     )
     cut = saved(cut.withColumn("window_key", text_key(F.concat_ws(" ", "words"))))
+    asked = windows.join(cut.select(*place, "window_key"), place).select("window_key", "n_words", "item_key").distinct()
     # equal windows are compared once
     own = cut.select("window_key", "n_words", "words").dropDuplicates(["window_key", "n_words"]).withColumn("print", fingerprint("words", shingle))
     own = saved(own.withColumn("b", F.explode(blocks("print", radius))).select("window_key", "n_words", "words", "print", "b.block", "b.value"))
     other = item.withColumn("item_print", fingerprint("words", shingle)).withColumn("b", F.explode(blocks("item_print", radius)))
     other = saved(other.select("item_key", "n_words", "item_print", "b.block", "b.value"))
-    near = own.drop("words").join(small(other), ["n_words", "block", "value"]).withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))))
+    near = asked.join(own.drop("words"), ["window_key", "n_words"]).join(small(other), ["item_key", "n_words", "block", "value"]).withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))))
     near = near.where(F.col("hamming") <= radius).select("window_key", "n_words", "item_key", "hamming").distinct()
     own = own.where("block = 0").select("window_key", "n_words", weighted(F.col("words"), shingle).alias("shingles"))
     shared = total(F.array_intersect("shingles", "item_shingles"))

@@ -198,6 +198,30 @@ def test_leaks_in_long_and_repeated_texts(spark):
     assert [r.text for r in kept.collect()] == ["clean"] and kept.columns == own.columns
 
 
+def test_sieve_loses_no_row(spark):
+    rng = random.Random(23)
+    held = [rng.getrandbits(64) - (1 << 63) for _ in range(3000)]
+    other = [rng.getrandbits(64) - (1 << 63) for _ in range(3000)]
+    seen = spark.createDataFrame([(h, k) for k, h in enumerate(held + other)], "h long, _cell int").unionByName(spark.createDataFrame([(None, -1)], "h long, _cell int"))
+    items = spark.createDataFrame([(h,) for h in [*held, held[0], None]], "h long")
+    found = decontamination.sieved(seen, items)
+    kept = {r["_cell"] for r in found.collect()}
+    size = 1 << decontamination.SIEVE
+    assert found.columns == seen.columns and kept == {k for k, h in enumerate(held + other) if h % size in {x % size for x in held}}
+
+
+def test_a_million_shingles_of_items(spark):
+    """More shingles than are broadcast: the sieve stands before the join, and what was planted is found."""
+    word = "concat('w', conv(substr(sha1(concat(id, ' ', k)), 1, 6), 16, 36))"
+    bench = spark.range(25000).withColumnRenamed("id", "id_").selectExpr("id_ AS id", "explode(sequence(0, 43)) AS k").selectExpr("id", f"struct(k, {word} AS w) AS w")
+    bench = bench.groupBy("id").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list("w")), lambda x: x["w"])).alias("text")).withColumnRenamed("id", "item_id")
+    planted = bench.where("item_id % 2500 = 7").select((F.col("item_id") + 100000).alias("doc_id"), F.concat(F.lit("some words before "), "text", F.lit(" and after")).alias("text"))
+    rng = random.Random(24)
+    docs = planted.unionByName(spark.createDataFrame([(k, " ".join(words(rng, 80))) for k in range(40)], "doc_id long, text string"))
+    found = {(r.doc_id, r.item_id, r.start, r.similarity) for r in decontamination.leaks(docs, bench).collect()}
+    assert found == {(100000 + i, i, 3, 1.0) for i in range(7, 25000, 2500)}
+
+
 def test_blocks_guarantee_the_radius(spark):
     rng = random.Random(1)
     rows = []
