@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowbench.llm.common import fresh, per_text, saved
+from flowbench.llm.common import fresh, per_text, saved, slices
 
 #: Texts beyond this many characters are cut, into chunks of so many, with this much overlap.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: Distinct pre-tokens, and parts, whose ids a Python worker keeps, and the longest of them in characters.
 CACHE, LONGEST = 1 << 17, 64
+#: Ids that are decoded at once, and those of a run of rows.
+BLOCK, RUN = 1 << 16, 1 << 18
 #: Bytes up to which pre-tokens are merged together.
 SHORT = 64
 #: The space before each part.
@@ -61,11 +63,15 @@ class Words:
     bytes: np.ndarray
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes that ids stand for, and where each id's bytes end."""
-        lengths = self.lengths[ids]
-        ends = np.cumsum(lengths)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[ids] - (ends - lengths), lengths)
-        return self.bytes[at], ends
+        """The bytes that ids stand for, and where each id's bytes end; byte by byte numbers are made for BLOCK ids at a time."""
+        ends = np.cumsum(self.lengths[ids])
+        out = np.empty(ends[-1] if len(ends) else 0, self.bytes.dtype)
+        for start in range(0, len(ids), BLOCK):
+            part, before = ids[start : start + BLOCK], int(ends[start - 1]) if start else 0
+            lengths, stop = self.lengths[part], int(ends[start + len(part) - 1])
+            shift = self.starts[part] - (ends[start : start + BLOCK] - lengths)
+            out[before:stop] = self.bytes[np.arange(before, stop) + np.repeat(shift, lengths)]
+        return out, ends
 
 
 class Vocabulary:
@@ -276,7 +282,7 @@ def stitched_pieces(docs: DataFrame, vocabulary: Vocabulary, key: str, text: str
     cut = docs.select(key, text).mapInArrow(pieces_of, f"{key} string, _no int, _last boolean, _chunk string").repartition(F.col(key), F.col("_no"))
 
     def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "_chunk")):
             rows = list(zip(*(b.column(c).to_pylist() for c in ("_no", "_last", "_chunk")), strict=True))
             seen = [boundaries(vocabulary, t, no == 0, last, chunk, overlap) for no, last, t in rows]
             yield pa.RecordBatch.from_arrays(
@@ -312,13 +318,13 @@ def stitched_pieces(docs: DataFrame, vocabulary: Vocabulary, key: str, text: str
 
 
 def encode(
-    docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP
+    docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP, keep: bool = True
 ) -> DataFrame:
     """docs with the ids of each whole text in ``out`` (array of int), as ordinary text without special tokens.
 
-    A null or empty text has no ids. Rows keep all their columns; a column called ``out`` is replaced. Texts of at
-    most ``chunk`` characters are encoded where they are read; longer ones are cut, once for each distinct text, and
-    the ids of their pieces meet again by the text's digest.
+    A null or empty text has no ids. Rows keep all their columns, but the text goes where keep is false; a column called
+    ``out`` is replaced. Texts of at most ``chunk`` characters are encoded where they are read; longer ones are cut, once
+    for each distinct text, and the ids of their pieces meet again by the text's digest.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     docs = docs.drop(out)
@@ -327,21 +333,22 @@ def encode(
     def ids_of(texts: list[str]) -> dict[str, pa.Array]:
         return {out: encoded(shared.value, texts)}
 
-    def with_ids(rows: DataFrame, column: str) -> DataFrame:
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        return rows.mapInArrow(per_text(column, ids_of), f"{fields}, {as_ids}")
+    def with_ids(rows: DataFrame, column: str, keep: bool) -> DataFrame:
+        fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if keep or f.name != column]
+        return rows.mapInArrow(per_text(column, ids_of, keep), ", ".join([*fields, as_ids]))
 
     if docs.where(F.length(text) > chunk).limit(1).count() == 0:
-        return with_ids(docs, text)
+        return with_ids(docs, text, keep)
     key, = fresh(docs, "_digest")
     short = docs.where(F.coalesce(F.length(text), F.lit(0)) <= chunk)
     long_ = docs.where(F.length(text) > chunk).withColumn(key, F.sha2(F.col(text), 256))
     texts = long_.select(key, F.col(text).alias("_text")).dropDuplicates([key])
-    parts = with_ids(stitched_pieces(texts, shared.value, key, "_text", chunk, overlap), "_piece")
+    parts = with_ids(stitched_pieces(texts, shared.value, key, "_text", chunk, overlap), "_piece", False)
     whole = parts.groupBy(key).agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_no", out))), lambda x: x[out])).alias(out)
     )
-    return with_ids(short, text).unionByName(long_.join(whole, key).drop(key))
+    long_ = long_ if keep else long_.drop(text)
+    return with_ids(short, text, keep).unionByName(long_.join(whole, key).drop(key))
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -351,8 +358,7 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 64):
-                batch = whole.slice(start, 64)
+            for batch in slices(whole, ids, RUN):
                 lists = batch.column(ids)
                 raw, ends = shared.value.decode(lists.flatten().to_numpy(zero_copy_only=False))
                 after = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
@@ -366,7 +372,7 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str =
 
 def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Per document the number of its ids, their digest, and the digest of what they decode to."""
-    coded = encode(docs.select("doc_id", "text"), vocabulary).drop("text")
+    coded = encode(docs.select("doc_id", "text"), vocabulary, keep=False)
     return decode(coded, vocabulary).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -67,8 +68,13 @@ def folded(text: Column) -> Column:
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Runs of a batch's rows whose texts have about ``most`` bytes together: memory stays bounded by the longest text."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    """Runs of a batch's rows whose texts have about ``most`` bytes, or lists so many members, together.
+
+    Memory stays bounded by the longest text.
+    """
+    rows = batch.column(column)
+    length = pa.compute.list_value_length if pa.types.is_list(rows.type) else pa.compute.binary_length
+    sizes = pa.compute.fill_null(length(rows), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if total and total + n > most:
@@ -79,14 +85,38 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[
         yield batch.slice(start)
 
 
-def per_text(text_column: str, function: Callable[[list[str]], dict[str, pa.Array]]) -> Callable:
-    """A mapInArrow function that appends the columns which ``function`` makes of each run of texts (null: empty)."""
+@contextmanager
+def arrow_bytes(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
+    """Within it, jobs send rows to Python workers in batches of about so many bytes, or of one longer row.
+
+    Batches stand in the executor's and in the worker's memory at once, once a core. The setting counts when a job
+    starts, so what is to run under it must be written within.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def per_text(text_column: str, function: Callable[[list[str]], dict[str, pa.Array]], keep: bool = True) -> Callable:
+    """A mapInArrow function that appends the columns which ``function`` makes of each run of texts (null: empty).
+
+    The texts themselves go on only if they are to be kept.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_column):
                 made = function([x or "" for x in part.column(text_column).to_pylist()])
                 columns = dict(zip(part.schema.names, part.columns, strict=True)) | made
+                if not keep:
+                    del columns[text_column]
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run

@@ -46,6 +46,21 @@ def test_digests(docs, reference):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
+@pytest.mark.parametrize("block", [1, 3, 1 << 16])
+def test_decode_by_blocks(monkeypatch, reference, block):
+    monkeypatch.setattr(bpe, "BLOCK", block)
+    for text in (t or "" for t in TEXTS):
+        ids = np.array(reference.encode_ordinary(text), np.int32)
+        raw, ends = vocabulary().words.decode(ids)
+        assert raw.tobytes() == text.encode() and ends.tolist() == np.cumsum([len(reference.decode_single_token_bytes(i)) for i in ids.tolist()]).tolist()
+
+
+def test_encode_without_texts(docs, reference):
+    rows = bpe.encode(docs.withColumn("copy", F.col("text")), vocabulary(), keep=False, chunk=150, overlap=32)
+    assert rows.columns == ["doc_id", "copy", "ids"]
+    assert all(list(r.ids) == reference.encode_ordinary(r["copy"] or "") for r in rows.collect())
+
+
 def test_parts_begin_where_pre_tokens_do(reference):
     """Encoding by parts is encoding the whole, for all white space and whatever stands beside it."""
     import sys
