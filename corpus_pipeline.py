@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowbench.llm import bpe, decontamination, jaccard, pii, toxicity
-from flowbench.llm.common import fresh, saved, shared_dir, table
+from flowbench.llm.common import arrow_bytes, fresh, saved, shared_dir, table
 from flowbench.llm.queries import vocabulary
 
 
@@ -38,11 +38,12 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document that is left, and whether they decode to its text; all other columns end here."""
     words = vocabulary()
+    texts = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    same = F.sha2("decoded", 256) == F.col("digest")
     # written in between: two Python workers a core at once would take twice the memory
-    coded = saved(bpe.encode(docs.select("doc_id", "text"), words).withColumn("text", F.sha2(F.coalesce("text", F.lit("")), 256)))
-    coded = bpe.decode(coded, words)
-    same = F.sha2("decoded", 256) == F.col("text")
-    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    with arrow_bytes(spark):
+        coded = saved(bpe.encode(texts, words, keep=False))
+        return saved(bpe.decode(coded, words).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip")))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
