@@ -2,8 +2,10 @@
 
 The counts of all words of the corpus are a table. Words whose count reaches ``cutoff`` have a number of their own and
 rows of the embedding; how many they are grows with the corpus. The rest share the numbers of hash buckets, and each
-has its share of its bucket's count, joined by word, as its probability there: no two words need score alike. A
-number's upper and lower half are predicted in turn from the two words before and the two after.
+has its share of its bucket's count as its probability there: no two words need score alike. The shares of the most
+frequent of these, of bounded number, are sent to all tasks, which add them up as they number the words; those of all
+others are joined by word. A number's upper and lower half are predicted in turn from the two words before and the two
+after.
 
 The network is trained in numpy on the words of all documents. These are dealt, by a hash of the row, into as many parts
 as the number of words asks for, and put in order within each; every part takes steps of its own from the common start,
@@ -32,26 +34,34 @@ from flowbench.llm.common import saved, slices, tree_sum
 HALF, HIDDEN, CUTOFF = 64, 24, 10
 WORDS, PAD = HALF * HALF, HALF * HALF
 OFFSETS = (-2, -1, 1, 2)
-ROW, IDS, RARE, SHARE = "_row", "_ids", "_rare", "_share"
-BATCH, RATE, BLOCK = 8192, 0.15, 1 << 14
+ROW, IDS, RARE, SHARE, REST = "_row", "_ids", "_rare", "_share", "_rest"
+#: Words of a step, and of those whose logits are made at once, so that they stay in a core's cache.
+BATCH, RATE, BLOCK, ROWS = 8192, 0.15, 1 << 14, 1 << 10
+#: Words without a number whose shares are sent to all tasks, at most; the others' are joined.
+SENT = 1 << 18
 #: Words that one part is to have about, and words of whole documents that a part's steps are cut from at once.
 PART, CHUNK = 1 << 22, 1 << 16
 
 
 class Numbers(dict):
-    """Word -> number; rare words fall into buckets, and only so many of them are kept."""
+    """Word -> code: its number, if it has its own; then the places of the words whose shares were sent; then buckets."""
 
-    def __init__(self, words: list[str]) -> None:
+    def __init__(self, words: list[str], sent: list[str]) -> None:
         super().__init__((w, k) for k, w in enumerate(words))
-        self.words, self.half = words, half_of(len(words))
-        self.pad, self.buckets = self.half**2, self.half**2 - len(words)
+        self.update((w, k) for k, w in enumerate(sent, len(words)))
+        self.first, self.buckets = len(self), buckets(len(words))
 
     def __missing__(self, word: str) -> int:
-        if len(self) > len(self.words) + (1 << 18):
-            self.clear()
-            self.update((w, k) for k, w in enumerate(self.words))
-        made = self[word] = len(self.words) + zlib.crc32(word.encode()) % self.buckets
-        return made
+        return self.first + bucket(word, self.buckets)
+
+
+def bucket(word: str, n: int) -> int:
+    return zlib.crc32(word.encode()) % n
+
+
+def buckets(n_words: int) -> int:
+    """Numbers that words without their own share, beside so many words."""
+    return half_of(n_words) ** 2 - n_words
 
 
 def half_of(n_words: int) -> int:
@@ -91,12 +101,29 @@ def vocabulary(counts: DataFrame) -> list[str]:
 
 
 def rare_words(counts: DataFrame, words: list[str]) -> DataFrame:
-    """Rows ``word, share`` of the words without a number of their own: the logarithm of the share of the bucket's count."""
+    """Rows ``word, n, share`` of the words without a number of their own: the logarithm of the share of the bucket's count."""
     spark = counts.sparkSession
     known = spark.createDataFrame([(w,) for w in words], "word string")
-    rest = counts.join(F.broadcast(known), "word", "left_anti").withColumn("bucket", F.crc32(F.col("word").cast("binary")) % (half_of(len(words)) ** 2 - len(words)))
+    rest = counts.join(F.broadcast(known), "word", "left_anti").withColumn("bucket", F.crc32(F.col("word").cast("binary")) % buckets(len(words)))
     mass = rest.groupBy("bucket").agg(F.sum("n").alias("mass"))  # as many rows as buckets
-    return rest.join(F.broadcast(mass), "bucket").select("word", F.log(F.col("n") / F.col("mass")).alias("share"))
+    return rest.join(F.broadcast(mass), "bucket").select("word", "n", F.log(F.col("n") / F.col("mass")).alias("share"))
+
+
+def parted(rare: DataFrame) -> tuple[list[str], np.ndarray, DataFrame]:
+    """The words of ``rare_words()`` whose shares are sent, and their shares; the rows of all others.
+
+    The first are all words from some count on, the least one that leaves no more than SENT of them.
+    """
+    least, total = None, 0
+    for r in rare.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect():  # counts below the cutoff
+        total += r.words
+        if total > SENT:
+            break
+        least = r.n
+    if least is None:
+        return [], np.zeros(0), rare
+    sent = rare.where(F.col("n") >= least).select("word", "share").toArrow()
+    return sent.column("word").to_pylist(), sent.column("share").to_numpy(), rare.where(F.col("n") < least)
 
 
 class Network:
@@ -115,46 +142,76 @@ class Network:
             at += n
 
     def hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The hidden layer, and a column of ones that the biases are multiplied with."""
         total = self.b + self.e[0][ids[at + OFFSETS[0]]]
         for k, o in enumerate(OFFSETS[1:], 1):
             total += self.e[k][ids[at + o]]
-        return np.tanh(total)
+        out = np.ones((len(at), HIDDEN + 1), np.float32)
+        np.tanh(total, out=out[:, :-1])
+        return out
+
+    def weights(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Those of both halves with the biases as last column; whether logits can pass 80 (hidden layers are within 1)."""
+        first, second = np.column_stack([self.u1, self.a1]), np.column_stack([self.u2, self.a2])
+        reach = 1 + np.append(np.abs(self.c).max(axis=0), 0)
+        return first, second, not max(np.abs(first).sum(axis=1).max(), (np.abs(second) @ reach).max()) < 80
 
-    def logits(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    def logits(self, ids: np.ndarray, at: np.ndarray, weights: tuple[np.ndarray, np.ndarray, bool]) -> tuple[np.ndarray, ...]:
         """Hidden layer, the one with the upper half's embedding, and the logits of both halves."""
         h = self.hidden(ids, at)
-        g = h + self.c[ids[at] // self.half]
-        x, y = h @ self.u1.T, g @ self.u2.T
-        x += self.a1
-        y += self.a2
-        return h, g, np.minimum(x, 80, out=x), np.minimum(y, 80, out=y)  # exp() stays finite
+        g = h.copy()
+        g[:, :-1] += self.c[ids[at] // self.half]
+        x, y = h @ weights[0].T, g @ weights[1].T
+        if weights[2]:  # exp() stays finite
+            np.minimum(x, 80, out=x)
+            np.minimum(y, 80, out=y)
+        return h, g, x, y
 
     def log_likelihood(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Log-probability of each word at these places."""
-        _, _, x, y = self.logits(ids, at)
-        rows, word = np.arange(len(at)), ids[at]
-        picked = x[rows, word // self.half] + y[rows, word % self.half]
-        sums = np.exp(x, out=x).sum(axis=1) * np.exp(y, out=y).sum(axis=1).astype(np.float64)
-        return picked - np.log(sums)
+        out, weights, ones = np.zeros(len(at)), self.weights(), np.ones(self.half, np.float32)
+        for k in range(0, len(at), ROWS):
+            some = at[k : k + ROWS]
+            _, _, x, y = self.logits(ids, some, weights)
+            rows, word = np.arange(len(some)), ids[some]
+            picked = x[rows, word // self.half] + y[rows, word % self.half]
+            sums = (np.exp(x, out=x) @ ones) * (np.exp(y, out=y) @ ones).astype(np.float64)
+            out[k : k + ROWS] = picked - np.log(sums)
+        return out
 
     def gradients(self, ids: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean negative log-likelihood; under "h" that of the sums which the context's rows of e share."""
-        h, g, p, q = self.logits(ids, at)
-        rows, word, n = np.arange(len(at)), ids[at], np.float32(1 / len(at))
-        for z, half in ((p, word // self.half), (q, word % self.half)):
-            np.exp(z, out=z)
-            z *= (n / z.sum(axis=1))[:, None]
-            z[rows, half] -= n
-        dg = q @ self.u2
-        dh = (p @ self.u1 + dg) * (1 - h * h)
+        weights, n = self.weights(), np.float32(1 / len(at))
+        upper, lower, ones = np.zeros_like(weights[0]), np.zeros_like(weights[1]), np.ones(self.half, np.float32)
+        dh, dg = (np.empty((len(at), HIDDEN), np.float32) for _ in range(2))
+        for k in range(0, len(at), ROWS):
+            some = at[k : k + ROWS]
+            h, g, p, q = self.logits(ids, some, weights)
+            rows, word = np.arange(len(some)), ids[some]
+            # of both halves: what is common to a row of the gradient is multiplied into the narrow sides
+            scales = []
+            for z, half in ((p, word // self.half), (q, word % self.half)):
+                sums = np.exp(z, out=z) @ ones
+                z[rows, half] -= sums
+                scales.append((n / sums)[:, None])
+            upper += p.T @ (h * scales[0])
+            lower += q.T @ (g * scales[1])
+            h = h[:, :-1]
+            dg[k : k + ROWS] = d = (q @ self.u2) * scales[1]
+            dh[k : k + ROWS] = ((p @ self.u1) * scales[0] + d) * (1 - h * h)
         dc = np.zeros_like(self.c)
-        add_rows(dc, word // self.half, dg)
-        return {"u1": p.T @ h, "a1": p.sum(axis=0), "u2": q.T @ g, "a2": q.sum(axis=0), "c": dc, "b": dh.sum(axis=0), "h": dh}
+        add_rows(dc, ids[at] // self.half, dg)
+        return {"u1": upper[:, :-1], "a1": upper[:, -1], "u2": lower[:, :-1], "a2": lower[:, -1], "c": dc, "b": dh.sum(axis=0), "h": dh}
+
+
+def sorting(index: np.ndarray) -> np.ndarray:
+    """The stable order of numbers from 0 on; small ones are sorted by their digits."""
+    return np.argsort(index.astype(np.uint16) if index.max(initial=0) < 1 << 16 else index, kind="stable")
 
 
 def summed(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct indices and the sums of their rows."""
-    order = np.argsort(index, kind="stable")
+    order = sorting(index)
     index = index[order]
     starts = np.flatnonzero(np.diff(index, prepend=-1))
     return index[starts], np.add.reduceat(rows[order], starts, axis=0)
@@ -185,7 +242,7 @@ class Trainer:
         first, last = at[0] - reach, at[-1] + reach + 1
         handed = np.zeros((last - first + 2 * reach, dh.shape[1]), np.float32)
         handed[at - first + reach] = dh
-        order = np.argsort(ids[first:last], kind="stable")
+        order = sorting(ids[first:last])
         index = ids[first:last][order]
         starts = np.flatnonzero(np.diff(index, prepend=-1))
         where = index[starts]
@@ -203,37 +260,44 @@ def joined(documents: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarra
     return ids, np.flatnonzero(ids != pad)
 
 
-def coded(docs: DataFrame, words: list[str], text: str = "text") -> DataFrame:
-    """docs without the text, with ``_row``, ``_ids`` (32-bit numbers) and ``_rare`` (the words without a number of their own)."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+def coded(docs: DataFrame, words: list[str], sent: list[str], shares: np.ndarray, text: str = "text") -> DataFrame:
+    """docs without the text, with ``_row``, ``_ids`` (32-bit numbers), ``_share`` (the sum of the sent words' shares) and
+    ``_rare`` (the words with neither a number of their own nor a share sent)."""
+    known, n = len(words), buckets(len(words))
+    # by code: the number, and what is added
+    number = np.concatenate([np.arange(known), known + np.array([bucket(w, n) for w in sent], np.int64), known + np.arange(n)]).astype(np.int32)
+    added = np.concatenate([np.zeros(known), shares, np.zeros(n)])
+    shared = docs.sparkSession.sparkContext.broadcast((words, sent, number, added))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        numbers, at, known = Numbers(shared.value), TaskContext.get().partitionId() << 40, len(shared.value)
+        words, sent, number, added = shared.value
+        numbers, at = Numbers(words, sent), TaskContext.get().partitionId() << 40
         for whole in batches:
             for b in slices(whole, text):
-                ids, rare = [], []
+                ids, share, rare = [], [], []
                 for t in b.column(text).to_pylist():
                     found = (t or "").lower().split()
                     made = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
-                    ids.append(made.tobytes())
-                    rare.append([found[k] for k in np.flatnonzero(made >= known).tolist()])
+                    ids.append(number[made].tobytes())
+                    share.append(float(added[made].sum()))
+                    rare.append([found[k] for k in np.flatnonzero(made >= numbers.first).tolist()])
                 kept = [(n, c) for n, c in zip(b.schema.names, b.columns, strict=True) if n != text]
                 yield pa.RecordBatch.from_arrays(
-                    [*(c for _, c in kept), pa.array(np.arange(at, at + len(ids))), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string()))],
-                    names=[*(n for n, _ in kept), ROW, IDS, RARE],
+                    [*(c for _, c in kept), pa.array(np.arange(at, at + len(ids))), pa.array(ids, pa.binary()), pa.array(share, pa.float64()), pa.array(rare, pa.list_(pa.string()))],
+                    names=[*(n for n, _ in kept), ROW, IDS, SHARE, RARE],
                 )
                 at += len(ids)
 
-    return docs.mapInArrow(run, f"{fields}, {ROW} long, {IDS} binary, {RARE} array<string>".removeprefix(", "))
+    return docs.mapInArrow(run, f"{fields}, {ROW} long, {IDS} binary, {SHARE} double, {RARE} array<string>".removeprefix(", "))
 
 
 def train(rows: DataFrame, words: list[str], n_parts: int) -> np.ndarray:
     """Parameters learned from all words of all rows of ``coded()`` in one pass, in so many parts."""
     half = half_of(len(words))
-    plain = [F.col(f"`{f.name}`") for f in rows.schema if f.name not in (ROW, RARE) and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    plain = [F.col(f"`{f.name}`") for f in rows.schema if f.name not in (ROW, SHARE, RARE) and not isinstance(f.dataType, (T.MapType, T.VariantType))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network, trainer, part, held, size, seen = None, None, -1, [], 0, 0
@@ -281,10 +345,10 @@ def train(rows: DataFrame, words: list[str], n_parts: int) -> np.ndarray:
     return (flat[:-1] / flat[-1]).astype(np.float32)
 
 
-def score(rows: DataFrame, words: list[str], flat: np.ndarray, counts: DataFrame) -> DataFrame:
+def score(rows: DataFrame, words: list[str], flat: np.ndarray, rare: DataFrame) -> DataFrame:
     """Rows of ``coded()`` with ``n_words`` and ``log_likelihood``, the sum over all words; both 0 for null and empty texts.
 
-    Columns with these names are replaced; the others stay.
+    rare has the shares that were not sent. Columns with these names are replaced; the others stay.
     """
     shared, half = rows.sparkSession.sparkContext.broadcast(flat), half_of(len(words))
     keep = [c for c in rows.columns if c not in (IDS, RARE, "n_words", "log_likelihood")]
@@ -306,8 +370,8 @@ def score(rows: DataFrame, words: list[str], flat: np.ndarray, counts: DataFrame
 
     made = rows.select(*[F.col(f"`{c}`") for c in keep], IDS).mapInArrow(run, f"{fields}, n_words long, log_likelihood double")
     asked = rows.select(ROW, F.explode(RARE).alias("word"))
-    extra = asked.join(rare_words(counts, words), "word").groupBy(ROW).agg(F.sum("share").alias(SHARE))
-    return made.join(extra, ROW, "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce(SHARE, F.lit(0.0))).drop(ROW, SHARE)
+    extra = asked.join(rare.select("word", "share"), "word").groupBy(ROW).agg(F.sum("share").alias(REST))
+    return made.join(extra, ROW, "left").withColumn("log_likelihood", F.col("log_likelihood") + F.col(SHARE) + F.coalesce(REST, F.lit(0.0))).drop(ROW, SHARE, REST)
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
@@ -316,7 +380,8 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     counts = saved(word_counts(rows))
     words = vocabulary(counts)
     n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    rows = saved(coded(rows, words))
-    return score(rows, words, train(rows, words, max(1, math.ceil(n_words / PART))), counts).select(
+    sent, shares, rest = parted(rare_words(counts, words))
+    rows = saved(coded(rows, words, sent, shares))
+    return score(rows, words, train(rows, words, max(1, math.ceil(n_words / PART))), rest).select(
         "doc_id", "n_words", "log_likelihood", (F.col("log_likelihood") / F.greatest("n_words", F.lit(1))).alias("mean_log_likelihood")
     )

@@ -442,6 +442,41 @@ def test_rare_words_have_probabilities_of_their_own(spark):
     assert len(rows) == 210 and rows[0].n_words == 240
 
 
+def test_shares_are_sent_or_joined(spark, monkeypatch):
+    """However many words' shares are sent, scores are the same; frequent words' are sent first, and only the rest is joined."""
+    rng = np.random.default_rng(5)
+    docs = table(spark, [(k, " ".join(f"w{n}" for n in (rng.pareto(0.6, 200) * 5).astype(int) % 30000)) for k in range(200)])
+    counts = pseudo.word_counts(docs)
+    known = pseudo.vocabulary(counts)
+    rare, scores = {r.word: r.n for r in pseudo.rare_words(counts, known).collect()}, []
+    for most in (0, 100, 1 << 18):
+        monkeypatch.setattr(pseudo, "SENT", most)
+        sent, shares, rest = pseudo.parted(pseudo.rare_words(counts, known))
+        rest = {r.word for r in rest.collect()}
+        assert len(sent) == len(shares) <= most and set(sent) | rest == set(rare) and len(sent) + len(rest) == len(rare)
+        assert min((rare[w] for w in sent), default=0) > max((rare[w] for w in rest), default=0) or not sent
+        rows = pseudo.coded(docs, known, sent, shares).collect()
+        assert {w for r in rows for w in r[pseudo.RARE]} == rest and bool(sent) == bool(most)
+        scores.append([r.log_likelihood for r in sorted(pseudo.pseudo_likelihood(docs).collect())])
+    assert np.allclose(scores[0], scores[1]) and np.allclose(scores[0], scores[2])
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_blocks_of_a_step(monkeypatch, large):
+    """A step's gradients and the scores do not depend on the blocks, and are finite where logits are large."""
+    rng = np.random.default_rng(4)
+    ids, at = pseudo.joined([rng.integers(0, 4096, n).astype(np.int32) for n in (300, 1, 70)], pseudo.PAD)
+    net = pseudo.Network()
+    net.a1[...] += 200 * large
+    found = []
+    for size in (7, 128, 1 << 10):
+        monkeypatch.setattr(pseudo, "ROWS", size)
+        found.append((net.gradients(ids, at), net.log_likelihood(ids, at)))
+    for grads, scores in found:
+        assert np.isfinite(scores).all() and np.allclose(scores, found[0][1], atol=1e-4)
+        assert all(np.isfinite(g).all() and np.allclose(g, found[0][0][k], atol=1e-6) for k, g in grads.items())
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
