@@ -127,11 +127,11 @@ def parted(rare: DataFrame) -> tuple[list[str], np.ndarray, DataFrame]:
 
 
 class Network:
-    """Parameters as one flat array, and views of it."""
+    """Parameters as one flat array, and views of it. A number's rows of all offsets lie side by side."""
 
     def __init__(self, flat: np.ndarray | None = None, half: int = HALF) -> None:
         self.half = half
-        shapes = {"e": (len(OFFSETS), half**2 + 1, HIDDEN), "b": (HIDDEN,), "u1": (half, HIDDEN), "a1": (half,), "c": (half, HIDDEN), "u2": (half, HIDDEN), "a2": (half,)}
+        shapes = {"wide": (half**2 + 1, len(OFFSETS) * HIDDEN), "b": (HIDDEN,), "u1": (half, HIDDEN), "a1": (half,), "c": (half, HIDDEN), "u2": (half, HIDDEN), "a2": (half,)}
         size = sum(int(np.prod(s)) for s in shapes.values())
         if flat is None:
             flat = (np.random.default_rng(7).standard_normal(size) * 0.1).astype(np.float32)
@@ -140,12 +140,16 @@ class Network:
             n = int(np.prod(shape))
             setattr(self, name, self.flat[at : at + n].reshape(shape))
             at += n
+        self.e = self.wide.reshape(-1, len(OFFSETS), HIDDEN).transpose(1, 0, 2)
 
     def hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The hidden layer, and a column of ones that the biases are multiplied with."""
-        total = self.b + self.e[0][ids[at + OFFSETS[0]]]
-        for k, o in enumerate(OFFSETS[1:], 1):
-            total += self.e[k][ids[at + o]]
+        first, n = at[0] + OFFSETS[0], at[-1] - at[0] + 1  # places are in order and near each other
+        near, total = self.wide[ids[first : at[-1] + OFFSETS[-1] + 1]], self.b
+        for k, o in enumerate(OFFSETS):
+            total = total + near[o - OFFSETS[0] :][:n, k * HIDDEN : (k + 1) * HIDDEN]
+        if n > len(at):
+            total = total[at - at[0]]
         out = np.ones((len(at), HIDDEN + 1), np.float32)
         np.tanh(total, out=out[:, :-1])
         return out
@@ -237,20 +241,21 @@ class Trainer:
             s = getattr(sq, name)
             s += g * g
             getattr(net, name)[...] -= RATE * g / np.sqrt(s)
-        # one order of the numbers serves all offsets: what a place hands to its neighbours lies so far away
+        # what a place hands to its neighbours lies so far away; all offsets side by side, as the parameters are
         reach = OFFSETS[-1]
         first, last = at[0] - reach, at[-1] + reach + 1
-        handed = np.zeros((last - first + 2 * reach, dh.shape[1]), np.float32)
-        handed[at - first + reach] = dh
+        handed = np.zeros((HIDDEN, last - first + 2 * reach))
+        handed[:, at - first + reach] = dh.T
         order = sorting(ids[first:last])
-        index = ids[first:last][order]
-        starts = np.flatnonzero(np.diff(index, prepend=-1))
-        where = index[starts]
-        for k, o in enumerate(OFFSETS):
-            g = np.add.reduceat(handed[order + reach - o], starts, axis=0)
-            squares = sq.e[k][where] + g * g
-            sq.e[k][where] = squares
-            net.e[k][where] -= RATE * g / np.sqrt(squares)
+        new = np.diff(ids[first:last][order], prepend=-1) != 0
+        where, place = ids[first:last][order[new]], np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        # numbers are many and mostly seen a few times: counting column by column is the quickest sum
+        sums = np.array([np.bincount(place, column[reach - o :][: last - first], len(where)) for o in OFFSETS for column in handed])
+        g = np.ascontiguousarray(sums.T, np.float32)
+        squares = sq.wide[where] + g * g
+        sq.wide[where] = squares
+        net.wide[where] -= RATE * g / np.sqrt(squares)
 
 
 def joined(documents: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
