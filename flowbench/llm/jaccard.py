@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowbench.llm.common import fresh, saved, slices, small, tree_sum
+from flowbench.llm.common import arrow_bytes, fresh, saved, slices, small, tree_sum
 from flowbench.llm.components import connected_components
 
 #: Counters of the sketch that orders shingles, in blocks; they bound what every task is sent (8 bytes each).
@@ -340,8 +340,10 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_
     hashed, verdict, number = fresh(docs, "_text_key", "_verdict", "_number")
     keyed = docs.withColumn(hashed, text_key(F.coalesce(F.col(text), F.lit(""))))
     slim = keyed.select(F.col(key).alias("_doc_id"), F.col(hashed).alias("_key"), F.col(text).alias("_text"))
-    found = saved(profiles(slim, "_text", n, percent).drop("_text"))
-    roots = join_classes(found, slim.drop("_key"), "_text", n, percent)
+    # a stage among others: workers and executors still hold what earlier ones left, so texts go over in small batches
+    with arrow_bytes(docs.sparkSession):
+        found = saved(profiles(slim, "_text", n, percent).drop("_text"))
+        roots = join_classes(found, slim.drop("_key"), "_text", n, percent)
     # one row a text and id, with how often it occurs
     rows = found.where("n_shingles > 0").groupBy("class_id", "_key", "_doc_id").agg(F.count(F.lit(1)).alias("times"))
     rows = rows.join(roots, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))

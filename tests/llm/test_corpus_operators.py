@@ -477,6 +477,16 @@ def test_blocks_of_a_step(monkeypatch, large):
         assert all(np.isfinite(g).all() and np.allclose(g, found[0][0][k], atol=1e-6) for k, g in grads.items())
 
 
+def test_near_copies_go_to_workers_in_small_batches(spark, monkeypatch):
+    """The stage's tables are written in batches of 4 MB, and the setting is as before afterwards."""
+    name, seen, plain = "spark.sql.execution.arrow.maxBytesPerBatch", [], jaccard.saved
+    before = spark.conf.get(name, None)
+    monkeypatch.setattr(jaccard, "saved", lambda df: seen.append(spark.conf.get(name, None)) or plain(df))
+    docs = table(spark, [(k, "one two three four five six seven") for k in range(3)] + [(3, "a b c d e f g h"), (4, None)])
+    assert sorted(r.doc_id for r in jaccard.one_of_each(docs).collect()) == [0, 3, 4]
+    assert seen[0] == seen[1] == str(4 << 20) and spark.conf.get(name, None) == before
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
