@@ -22,6 +22,8 @@ FEATURES = (
 )
 
 
+SIZE = ["width", "height"]
+
 #: Nodes beyond which a sample's pairs are searched by a helper and not made as rows.
 LARGE = 500
 
@@ -34,12 +36,42 @@ def by_size(nodes: DataFrame, large: int) -> tuple[DataFrame, DataFrame]:
 
 def node_pairs(nodes: DataFrame) -> DataFrame:
     """All ordered pairs of nodes with different ids, with boxes ``s*``, ``t*`` and steps between centres."""
-    side = lambda name, p: nodes.select(*KEY, F.col("node_id").alias(name), F.col("pos").alias(f"{name}_pos"), *[F.col(c).cast("double").alias(f"{p}{c}") for c in "xywh"])
-    left, right = side("src", "s"), side("dst", "t")
+    return paired(nodes)
+
+
+def paired(nodes: DataFrame, *more: str) -> DataFrame:
+    """node_pairs() with further columns of the source."""
+    side = lambda name, p, *own: nodes.select(*KEY, F.col("node_id").alias(name), F.col("pos").alias(f"{name}_pos"), *[F.col(c).cast("double").alias(f"{p}{c}") for c in "xywh"], *own)
+    left, right = side("src", "s", *more), side("dst", "t")
     pairs = left.join(right, KEY).where(F.col("src") != F.col("dst"))
     return pairs.select("*", *[c.alias(n) for n, c in pair_delta(Box.of("s"), Box.of("t")).items()])
 
 
+def labelled_pairs(nodes: DataFrame, gold: DataFrame, *more: str) -> DataFrame:
+    """label_pairs(paired(nodes, *more), gold) by a join on the sample alone: pairs, which are many, are not dealt anew.
+
+    A sample's gold edges go to its nodes as a list, and each source keeps its own targets.
+    """
+    edges = gold.groupBy(*KEY).agg(F.collect_set(F.struct("source", "target")).alias("_gold"))
+    own = F.transform(F.filter("_gold", lambda e: e["source"] == F.col("node_id")), lambda e: e["target"])
+    pairs = paired(nodes.join(edges, KEY, "left").withColumn("_targets", own), "_targets", *more)
+    hit = F.coalesce(F.array_contains("_targets", F.col("dst")), F.lit(False))
+    return pairs.withColumn("label", F.when(hit, 1).otherwise(0)).drop("_targets")
+
+
+def ranked_pairs(pairs: DataFrame) -> DataFrame:
+    """nearest_right_down(rank_features(pairs)) in three sorts, one a rank."""
+    own = W.partitionBy(*KEY, "src", "src_pos")
+    near, across, down = (own.orderBy(c, "dst_pos") for c in (F.col("euclidean"), F.abs("dx"), F.abs("dy")))
+    every, so_far = near.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), near.rowsBetween(W.unboundedPreceding, W.currentRow)
+    place = lambda w: F.row_number().over(w)
+    first = lambda step: (F.col(step) > 0) & (F.count_if(F.col(step) > 0).over(so_far) == 1)
+    return pairs.select(
+        "*", place(near).alias("rank_distance"), place(across).alias("rank_dx"), place(down).alias("rank_dy"),
+        F.count(F.lit(1)).over(every).alias("candidates"), first("dx").alias("nearest_right"), first("dy").alias("nearest_down"),
+    )
+
+
 def rank_features(pairs: DataFrame) -> DataFrame:
     """Ranks from 1 of each pair among those of its source, by distance and by steps across and down; ties by position."""
     own = W.partitionBy(*KEY, "src", "src_pos")
@@ -102,20 +134,35 @@ def pair_features(nodes: DataFrame, sizes: DataFrame | None = None) -> DataFrame
 
     A feature that is no finite number raises an error when the row is made.
     """
-    return features_of(nearest_right_down(rank_features(node_pairs(nodes))), nodes, sizes)
+    return features_of(ranked_pairs(paired(with_extent(nodes, sizes), *SIZE)))
+
+
+def labelled_features(nodes: DataFrame, gold: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """label_pairs(pair_features(nodes, sizes), gold), labelled before pairs are ranked."""
+    return features_of(ranked_pairs(labelled_pairs(with_extent(nodes, sizes), gold, *SIZE)), "label")
 
 
-def features_of(ranked: DataFrame, nodes: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """The 28 features of pairs with ranks and nearest flags."""
-    ranked = ranked.join(image_extent(nodes, sizes), KEY)
+def with_extent(nodes: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Nodes with ``width`` and ``height`` of their image, which their pairs carry on."""
+    return nodes.select(*KEY, "pos", "node_id", "x", "y", "w", "h").join(image_extent(nodes, sizes), KEY)
+
+
+def features_of(ranked: DataFrame, *more: str) -> DataFrame:
+    """The 28 features of pairs with ranks, nearest flags, width and height, and further columns as they are.
+
+    In whole-stage code they would be one method that is longer than what the JVM compiles, and so be interpreted; a
+    higher-order function has no such code, and Spark then makes many small methods of this step.
+    """
 
     def finite(name: str, c: Column) -> Column:
         # boxes that are no numbers, or of negative size, show in these
         if name not in ("dx_norm", "dy_norm", "log_w_ratio", "log_h_ratio"):
             return c
-        return F.when(F.abs(c) < float("inf"), c).otherwise(F.raise_error(F.lit(f"{name} is not finite")).cast("double"))
+        sound = F.abs(c) < float("inf") if name != "dx_norm" else F.exists(F.array(c), lambda v: F.abs(v) < float("inf"))
+        return F.when(sound, c).otherwise(F.raise_error(F.lit(f"{name} is not finite")).cast("double"))
 
-    return ranked.select(*KEY, "src", "dst", "src_pos", "dst_pos", *[finite(n, c).alias(n) for n, c in feature_columns().items()])
+    key = [c for c in (*KEY, "src", "dst", "src_pos", "dst_pos") if c in ranked.columns]
+    return ranked.select(*key, *[finite(n, c).alias(n) for n, c in feature_columns().items()], *more)
 
 
 def asked_features(nodes: DataFrame, asked: DataFrame, sizes: DataFrame | None = None, large: int = LARGE) -> DataFrame:
@@ -124,9 +171,10 @@ def asked_features(nodes: DataFrame, asked: DataFrame, sizes: DataFrame | None =
     In samples of more than ``large`` nodes ranks are counted in the coordinates, so that other pairs are not made as rows:
     time grows with the asked pairs times the nodes, rows with the asked pairs.
     """
-    wanted = asked.select(*KEY, "src", "dst").distinct()
+    wanted = asked.select(*KEY, "src", "dst")
     few, many = by_size(nodes, large)
-    plain = nearest_right_down(rank_features(node_pairs(few))).join(wanted, [*KEY, "src", "dst"], "left_semi")
+    gold = wanted.withColumnsRenamed({"src": "source", "dst": "target"})
+    plain = ranked_pairs(labelled_pairs(with_extent(few, sizes), gold, *SIZE)).where("label = 1")
     boxes = many.select(*KEY, "node_id", "pos", *[F.col(c).cast("double").alias(c) for c in "xywh"])
     schema = "dataset string, sample_id string, src string, dst string, src_pos int, dst_pos int, " + ", ".join(f"{p}{c} double" for p in "st" for c in "xywh")
     schema += ", dx double, dy double, euclidean double, manhattan double, rank_distance long, rank_dx long, rank_dy long, candidates long, nearest_right boolean, nearest_down boolean"
@@ -144,9 +192,9 @@ def asked_features(nodes: DataFrame, asked: DataFrame, sizes: DataFrame | None =
         made |= {"dx": dx, "dy": dy, "euclidean": np.hypot(dx, dy), "manhattan": np.abs(dx) + np.abs(dy)}
         return pd.DataFrame(made | asked_ranks(x, y, own["pos"].to_numpy(), ids, source, target))
 
-    far = wanted.join(many.select(*KEY).distinct(), KEY, "left_semi")
-    counted = boxes.groupBy(*KEY).cogroup(far.groupBy(*KEY)).applyInPandas(ranks, schema)
-    return features_of(plain.select(*counted.columns).unionByName(counted), nodes, sizes)
+    far = wanted.join(many.select(*KEY).distinct(), KEY, "left_semi").distinct()
+    counted = boxes.groupBy(*KEY).cogroup(far.groupBy(*KEY)).applyInPandas(ranks, schema).join(image_extent(many, sizes), KEY)
+    return features_of(plain.select(*counted.columns)).unionByName(features_of(counted))
 
 
 def label_pairs(pairs: DataFrame, gold: DataFrame) -> DataFrame:

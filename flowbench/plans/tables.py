@@ -370,7 +370,7 @@ def train_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def q_train_edge_model(spark: SparkSession, d: str) -> DataFrame:
     """The gradient of the objective at the fitted model, which only the optimum has at 0."""
-    rows = train_rows(spark, d)
+    rows = training.stored_rows(training.chosen_pairs(T.gt_nodes(spark, d), T.gt_edges(spark, d), T.samples(spark, d)))
     found = training.loss_gradient(rows, training.train_edge_model(rows))
     return found.select("feature", F.abs(F.round("gradient", 3)).alias("gradient"))
 

@@ -6,18 +6,26 @@ An order is a diagram and its lines are the nodes, numbered from 1.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a sample with its lines in their order as ``li``, dealt by sample as all that follows wants them.
+
+    Whatever is made of the lines reads this one exchange again: a list is sent whole, so plans that need other fields of
+    it don't differ below the exchange.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    key = [F.concat(F.lit("ds_"), (F.col("l_orderkey") % 3).cast("string")).alias("dataset"), F.col("l_orderkey").cast("string").alias("sample_id")]
+    return rows.select(*key, line.alias("line")).groupBy("dataset", "sample_id").agg(F.sort_array(F.collect_list("line")).alias("li"))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines with their sample, dataset and number, dealt by sample as all that follows wants them."""
-    order = W.partitionBy("dataset", "sample_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        F.concat(F.lit("ds_"), (F.col("l_orderkey") % 3).cast("string")).alias("dataset"), F.col("l_orderkey").cast("string").alias("sample_id"),
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_extendedprice", "l_shipdate",
-    )
-    return rows.select("*", F.row_number().over(order).alias("n")).drop("l_extendedprice", "l_shipdate")
+    """Order lines with their sample, dataset and number, and the number of the sample's last."""
+    names = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+    rows = orders(spark, sf_dir).select("dataset", "sample_id", F.size("li").alias("last"), F.posexplode("li").alias("k", "line"))
+    return rows.select("dataset", "sample_id", F.col("sample_id").cast("long").alias("l_orderkey"), *[f"line.{c}" for c in names], (F.col("k") + 1).alias("n"), "last")
 
 
 def boxes(rows: DataFrame) -> DataFrame:
@@ -44,9 +52,8 @@ def pred_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def steps(rows: DataFrame, prefix: str, choices: list[tuple]) -> DataFrame:
     """Edges from each line by rules (condition, from, to) in terms of n, within the sample."""
-    last = F.max("n").over(W.partitionBy("dataset", "sample_id"))
     made = F.array(*[F.when(c, F.struct(F.lit(k).alias("k"), a.alias("a"), b.alias("b"))) for k, (c, a, b) in enumerate(choices)])
-    rows = rows.withColumn("last", last).select("dataset", "sample_id", "n", "last", F.explode(made).alias("e")).where("e is not null and e.a <= last and e.b <= last")
+    rows = rows.select("dataset", "sample_id", "n", "last", F.explode(made).alias("e")).where("e is not null and e.a <= last and e.b <= last")
     name = lambda c: F.concat(F.lit(prefix), c.cast("string"))
     return rows.select("dataset", "sample_id", (F.col("n") * 4 + F.col("e.k")).cast("int").alias("pos"), name(F.col("e.a")).alias("source"), name(F.col("e.b")).alias("target"))
 
@@ -64,12 +71,8 @@ def pred_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("l_orderkey") % 10
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey").distinct()
-    return rows.select(
-        F.concat(F.lit("ds_"), (F.col("l_orderkey") % 3).cast("string")).alias("dataset"), F.col("l_orderkey").cast("string").alias("sample_id"),
-        F.when(k <= 6, "train").when(k <= 8, "test").otherwise("all").alias("split"),
-    )
+    k = F.col("sample_id").cast("long") % 10
+    return orders(spark, sf_dir).select("dataset", "sample_id", F.when(k <= 6, "train").when(k <= 8, "test").otherwise("all").alias("split"))
 
 
 #: The same tables for DuckDB, as common table expressions.
