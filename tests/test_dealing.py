@@ -7,7 +7,8 @@ import re
 import numpy as np
 import pytest
 
-from flowbench.operators import pairs, training
+from flowbench.operators import metrics, pairs, training
+from flowbench.plans import testdata as T
 
 NODE = "dataset string, sample_id string, pos int, node_id string, x double, y double, w double, h double"
 EDGE = "dataset string, sample_id string, pos int, source string, target string"
@@ -65,3 +66,12 @@ def test_features_are_no_whole_stage_code(spark, graph):
     code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan)
     assert all(int(n) < 8000 for n in re.findall(r"maxMethodCodeSize:(\d+)", code))
 
+
+def test_scores_stay_with_their_sample(spark):
+    d = "/root/testdata/sf0.001"
+    found = metrics.sample_metrics(T.samples(spark, d), T.gt_nodes(spark, d), T.gt_edges(spark, d), T.pred_nodes(spark, d), T.pred_edges(spark, d), ["shifted"])
+    sent = {re.sub(r"#\d+L?", "", e) for e in exchanges(found)}
+    assert "dataset, sample_id, 4" in sent
+    # the other two are of samples with over 200 nodes
+    assert sent <= {"dataset, sample_id, 4", "predictor, dataset, sample_id, 4", "dataset, sample_id, level, across, down, 4"}
+    assert found.count() > 0
