@@ -7,8 +7,9 @@ import re
 import numpy as np
 import pytest
 
-from flowbench.operators import metrics, pairs, training
+from flowbench.operators import metrics, pairs, predictors, training
 from flowbench.plans import testdata as T
+from flowbench.plans.evaluation import MODEL
 
 NODE = "dataset string, sample_id string, pos int, node_id string, x double, y double, w double, h double"
 EDGE = "dataset string, sample_id string, pos int, source string, target string"
@@ -75,3 +76,13 @@ def test_scores_stay_with_their_sample(spark):
     # the other two are of samples with over 200 nodes
     assert sent <= {"dataset, sample_id, 4", "predictor, dataset, sample_id, 4", "dataset, sample_id, level, across, down, 4"}
     assert found.count() > 0
+
+
+def test_learned_scores_once(spark, graph):
+    """Same edges as by the fold over features, and the score stands in the plan once."""
+    nodes = graph[0]
+    scored = pairs.pair_features(nodes).withColumn("score", predictors.sigmoid_score([pairs.F.col(f) for f in pairs.FEATURES], MODEL))
+    plain = predictors.learned_edges(scored, MODEL).selectExpr("dataset", "sample_id", "src AS source", "dst AS target")
+    edges = predictors.predict_learned(nodes, MODEL)[1]
+    assert rows_of(edges.select(plain.columns)) == rows_of(plain)
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("EXP(") <= 1
